@@ -48,7 +48,7 @@ def training_rows(
 
 def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, F.Column]:
     """One-pass mean, population spread and co-moments, all in numerically stable running form."""
-    out = {"n_train": F.count(F.lit(1))}
+    out = {}
     for i, f in enumerate(features):
         out[f"mean_{i}"], out[f"spread_{i}"] = F.avg(f), F.stddev_pop(f)
         for j in range(i):
@@ -60,7 +60,7 @@ def scaler(train: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY)
     """Per cell mean and population standard deviation of each feature; a zero scale is 1."""
     aggregates = moment_aggregates(features)
     wanted = {n: a for n, a in aggregates.items() if not n.startswith("co_")}
-    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in wanted.items()])
+    sums = train.groupBy(key).agg(F.count(F.lit(1)).alias("n_train"), *[a.alias(n) for n, a in wanted.items()])
     return sums.select(key, "n_train", *_scaler_columns(len(features)))
 
 
@@ -91,18 +91,14 @@ def _moment_matrix(p: int, standardize: bool) -> F.Column:
 def moment_matrix(
     train: DataFrame, standardize: bool = True, features: Sequence[str] = FEATURES, key: str = KEY
 ) -> DataFrame:
-    """``(cell_id, n_train, mean, scale, moments)``, one row per cell with training rows."""
-    aggregates = moment_aggregates(features)
-    if "_weeks" in train.columns:
-        aggregates["_weeks"] = F.first("_weeks")
-    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    """``(cell_id, mean, scale, moments)``, one row per cell with training rows."""
+    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in moment_aggregates(features).items()])
     p = len(features)
     mean, scale = _scaler_columns(p)
     if not standardize:
         mean = F.array(*[F.lit(0.0)] * p).alias("mean")
         scale = F.array(*[F.lit(1.0)] * p).alias("scale")
-    carried = [c for c in ("_weeks",) if c in sums.columns]
-    return sums.select(key, "n_train", mean, scale, _moment_matrix(p, standardize).alias("moments"), *carried)
+    return sums.select(key, mean, scale, _moment_matrix(p, standardize).alias("moments"))
 
 
 class SubspaceDetector:
@@ -119,7 +115,9 @@ class SubspaceDetector:
     ):
         self.features, self.key, self.time = tuple(features), key, time
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
-        self.lookup = Lookup(traffic.select(key, time, *features), key, reference_weeks.count(), limit)
+        # The same filtered columns feed every pass, so a shuffled panel is one exchange for all of them.
+        panel = traffic.select(key, time, *features).where(F.col(time).isNotNull())
+        self.lookup = Lookup(panel, key, reference_weeks.count(), limit)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
             F.collect_set(label_number("reference_week")).alias("_weeks")
@@ -133,22 +131,21 @@ class SubspaceDetector:
         """Standardisation and axes per cell, before the error threshold is known."""
         moments = moment_matrix(self._training(self.weeks), self.standardize, self.features, self.key)
         axes = principal_axes(self.k, len(self.features))
-        return moments.withColumn("_axes", axes("moments")).select(
-            self.key, "n_train", "mean", "scale", "_axes.*", "_weeks"
-        )
+        return moments.withColumn("_axes", axes("moments")).select(self.key, "mean", "scale", "_axes.*")
 
     def model(self) -> DataFrame:
         """One row per cell: scaler, rank, axes, residual map and the training-error threshold."""
         basis = self.basis()
-        errors = (
-            self._training(basis.select(self.key, *_MODEL_COLUMNS, "_weeks"))
-            .groupBy(self.key)
-            .agg(F.avg(residual_norm(self.features)).alias("mean_error"),
-                 F.stddev_pop(residual_norm(self.features)).alias("_spread"))
+        # The joins below are between tables of one row per cell.
+        residuals = self._training(basis.select(self.key, *_MODEL_COLUMNS).join(self.weeks, self.key)).select(
+            self.key, residual_norm(self.features).alias("_r")
+        )
+        errors = residuals.groupBy(self.key).agg(
+            F.count("_r").alias("n_train"), F.avg("_r").alias("mean_error"), F.stddev_pop("_r").alias("_spread")
         )
         std_error = F.when(F.col("_spread") <= F.lit(ZERO_RESIDUAL), F.lit(0.0)).otherwise(F.col("_spread"))
         return (
-            basis.drop("_weeks").join(errors, self.key)
+            basis.join(errors, self.key)
             .withColumn("std_error", std_error)
             .withColumn("threshold", F.col("mean_error") + F.lit(self.t) * F.col("std_error"))
             .drop("_spread")
