@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,11 @@ from gridpulse.sources.raw import ingest, require_rows
 MAP_METRICS = (COUNT_METRIC, "weighted_severity")
 
 
+def _folder(spark: SparkSession, given: str | None, kind: str) -> str:
+    fresh = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    return (given or fresh).rstrip("/")
+
+
 def run(
     spark: SparkSession, raw_dir: str | None = None, ingested: DataFrame | None = None, out_dir: str | None = None,
     n_components: int = 2, anomaly_threshold: float = 2.0, num_weeks: int = 4, mad_threshold: float = 1.5,
@@ -32,7 +38,7 @@ def run(
     from ``out_dir`` (by default a folder of the shared directory) and the ``summary`` report.
     """
     configure(spark)
-    out = (out_dir or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/run").rstrip("/")
+    out = _folder(spark, out_dir, "run")
 
     def staged(df: DataFrame, name: str, clustered: bool = False) -> DataFrame:
         path = f"{out}/{name}"
@@ -65,7 +71,7 @@ def map_tables(
 
     A metric that is no column of the statistics is left out of the result.
     """
-    out = (out_dir or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/map").rstrip("/")
+    out = _folder(spark, out_dir, "map")
     computed = cell_stats(anomalies)
     write_parquet(computed, f"{out}/cell_stats", codec="zstd")
     stats = spark.read.schema(computed.schema).parquet(f"{out}/cell_stats")

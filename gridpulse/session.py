@@ -45,13 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return the table.
-
-    Cuts the lineage at a stage boundary: later stages read columns and row groups
-    they need, know the exact size, and survive the loss of any executor.
-    """
+def write_stage(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a Parquet table of its own in the shared folder and return its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: cuts the lineage at a stage boundary.
+
+    Later stages read only the columns and row groups they need, know the exact size, and
+    survive the loss of any executor.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name))
