@@ -38,22 +38,16 @@ def residual_norm(features: Sequence[str], residual_map: str = "residual_map") -
     return snap(F.sqrt(squares))
 
 
-def kept_rank(eigenvalues: np.ndarray, k: int) -> np.ndarray:
-    """How many of the descending eigenvalues to keep: at most k that are above round-off,
-    and with them any that equal the last one kept, because a tie has no first axis."""
-    k = min(k, eigenvalues.shape[1])
-    if k == 0:
-        return np.zeros(len(eigenvalues), dtype=int)
-    floor = np.maximum(eigenvalues[:, k - 1] - ZERO_EIGENVALUE, ZERO_EIGENVALUE)
-    return (eigenvalues > floor[:, None]).sum(axis=1)
-
-
 def principal_axes(k: int, p: int):
     """Pandas UDF: flat p×p second-moment matrix of one cell to its axes and residual map.
 
-    One row per cell, decomposed a batch at a time. The residual map I - VVᵀ does not depend
-    on the sign or order of the axes; the axes are signed so that their largest entry is positive.
+    One row per cell, decomposed a batch at a time. Kept are at most k axes whose eigenvalue is above
+    round-off, and with them any that equal the last one kept, because a tie has no first axis. The
+    residual map I - VVᵀ does not depend on the sign or order of the axes; the axes are signed so that
+    their largest entry is positive. The function refers to nothing in this package, so executors
+    need not have it installed.
     """
+    tiny = ZERO_EIGENVALUE
 
     @F.pandas_udf(AXES)
     def axes(moments: pd.Series) -> pd.DataFrame:
@@ -63,7 +57,8 @@ def principal_axes(k: int, p: int):
         values, vectors = values[:, ::-1], np.swapaxes(vectors, 1, 2)[:, ::-1, :]
         largest = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
         vectors = vectors * np.where(largest < 0, -1.0, 1.0)
-        rank = kept_rank(values, k)
+        floor = np.maximum(values[:, min(k, p) - 1] - tiny, tiny)
+        rank = (values > floor[:, None]).sum(axis=1)
         dropped = vectors * (np.arange(p)[None, :] >= rank[:, None])[:, :, None]
         outside = np.einsum("nij,nik->njk", dropped, vectors).reshape(-1, p * p)
         rows = [

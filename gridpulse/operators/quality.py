@@ -23,13 +23,31 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = (KEY, TIME)) -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def column_profile(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]] = VALUE_RANGES) -> DataFrame:
+    """``(column, rows, nulls, min_value, max_value, violations)`` of every column in one pass.
+
+    Extremes and violations are NULL for a column without a range."""
+    profiles = []
+    for c in df.columns:
+        x = _scalar_key(df, c)
+        ranged = c in ranges
+        none = F.lit(None).cast("double")
+        profiles.append(F.struct(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"),
+            (F.min(x).cast("double") if ranged else none).alias("min_value"),
+            (F.max(x).cast("double") if ranged else none).alias("max_value"),
+            (F.count_if(_outside(x, *ranges[c])) if ranged else F.lit(None).cast("bigint")).alias("violations"),
+        ))
+    return df.agg(F.array(*profiles).alias("a")).select(F.explode("a").alias("c")).select("c.*")
+
+
+def null_share() -> Column:
+    return F.try_divide(F.col("nulls").cast("double"), F.col("rows").cast("double"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """``(column, nulls, null_share)`` of every column in one pass."""
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in df.columns])
-    return row.select(F.explode(items).alias("i"), "_rows").select(
-        "i.column", "i.nulls", F.try_divide(F.col("i.nulls").cast("double"), F.col("_rows").cast("double")).alias("null_share")
-    )
+    return column_profile(df, {}).select("column", "nulls", null_share().alias("null_share"))
 
 
 def require_clean(traffic: DataFrame, keys: Sequence[str] = (KEY, TIME)) -> DataFrame:
@@ -91,14 +109,7 @@ def _outside(x: Column, low: float | None, high: float | None) -> Column:
 def range_checks(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]] = VALUE_RANGES) -> DataFrame:
     """``(column, min_value, max_value, violations)`` of each column with a range, in one pass."""
     columns = [c for c in ranges if c in df.columns]
-    aggregates = []
-    for c in columns:
-        x = _scalar_key(df, c)
-        aggregates.append(F.struct(
-            F.lit(c).alias("column"), F.min(x).cast("double").alias("min_value"),
-            F.max(x).cast("double").alias("max_value"), F.count_if(_outside(x, *ranges[c])).alias("violations"),
-        ))
-    return df.agg(F.array(*aggregates).alias("a")).select(F.explode("a").alias("c")).select("c.*")
+    return column_profile(df.select(*columns), ranges).select("column", "min_value", "max_value", "violations")
 
 
 def negative_counts(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
@@ -151,10 +162,6 @@ def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str
     return table.withColumn("same_cells", F.col("cells") == first)
 
 
-def _level(share: Column, warn_above: float, error_above: float) -> Column:
-    return F.when(share > error_above, ERROR).when(share > warn_above, WARNING)
-
-
 def validate(
     df: DataFrame, contract: str = "auto", grid: DataFrame | None = None, null_warning: float = 0.0,
     null_error: float = 0.1, key: str = KEY,
@@ -169,13 +176,15 @@ def validate(
     if name is None:
         return spark.createDataFrame([("unknown_schema", ",".join(df.columns), ERROR, 1)], FINDING)
     parts = [schema_check(df, name)]
-    nulls = null_counts(df).withColumn("level", _level(F.col("null_share"), null_warning, null_error))
-    parts.append(nulls.where("level is not null").select(
-        F.lit("nulls").alias("check"), F.col("column").alias("subject"), "level", F.col("nulls").alias("n")))
-    if any(c in df.columns for c in VALUE_RANGES):
-        parts.append(range_checks(df).where("violations > 0").select(
+    level = F.when(null_share() > null_error, ERROR).when(null_share() > null_warning, WARNING)
+    found = F.filter(F.array(
+        F.struct(F.lit("nulls").alias("check"), F.col("column").alias("subject"), level.alias("level"), F.col("nulls").alias("n")),
+        F.struct(
             F.lit("range").alias("check"), F.col("column").alias("subject"),
-            F.lit(WARNING).alias("level"), F.col("violations").alias("n")))
+            F.when(F.col("violations") > 0, WARNING).alias("level"), F.col("violations").alias("n"),
+        ),
+    ), lambda f: f["level"].isNotNull())
+    parts.append(column_profile(df).select(F.explode(found).alias("f")).select("f.*"))
     if "reference_week" in df.columns:
         parts.append(week_format(df).where("malformed > 0").select(
             F.lit("week_format").alias("check"), F.lit("reference_week").alias("subject"),

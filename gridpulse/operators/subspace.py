@@ -113,6 +113,8 @@ class SubspaceDetector:
         anomaly_threshold: float = 2.0, standardize: bool = True, features: Sequence[str] = FEATURES,
         key: str = KEY, time: str = TIME, limit: int = BROADCAST_ROWS,
     ):
+        if n_components < 1:
+            raise ValueError("n_components must be at least 1")
         self.features, self.key, self.time = tuple(features), key, time
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
         # The same filtered columns feed every pass, so a shuffled panel is one exchange for all of them.

@@ -124,6 +124,11 @@ def anomaly_summary(anomalies: DataFrame, key: str = KEY, time: str = TIME) -> D
         calendar_date(F.min(time)).alias("first"), calendar_date(F.max(time)).alias("last"),
     ).where("n > 0")
     described = describe(anomalies, "severity_score")
+    # 168 rows at most; both sections below sum them up again out of the same exchange.
+    hours = value_counts(
+        anomalies, weekday_name(time).alias("day"), weekday_index(time).alias("d"), hour_of_day(time).alias("hour")
+    )
+    days, day_hours = hours.groupBy("day", "d").agg(F.sum("n").alias("n")), hours.groupBy("hour").agg(F.sum("n").alias("n"))
     parts = [
         facts(overview, "overview", 0, {
             "Total Anomalies Detected": grouped_digits(F.col("n")),
@@ -133,10 +138,7 @@ def anomaly_summary(anomalies: DataFrame, key: str = KEY, time: str = TIME) -> D
         section(described, "severity_score", 100, F.col("statistic"),
                 fixed_text(round_half_even("value"), 2), [F.col("position")]),
         section(top_cells(anomalies, 5, key), "top_cells", 200, F.col(key), F.col("n"), [F.desc("n"), F.col(key)]),
-        section(
-            value_counts(anomalies, weekday_name(time).alias("day"), weekday_index(time).alias("d")), "day_of_week", 300,
-            F.col("day"), F.col("n"), [F.desc("n"), F.col("d")],
-        ),
-        section(value_counts(anomalies, hour_of_day(time).alias("hour")), "hour", 400, F.col("hour"), F.col("n"), [F.col("hour")]),
+        section(days, "day_of_week", 300, F.col("day"), F.col("n"), [F.desc("n"), F.col("d")]),
+        section(day_hours, "hour", 400, F.col("hour"), F.col("n"), [F.col("hour")]),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -19,10 +19,10 @@ def most_extreme_cell(anomalies: DataFrame, key: str = KEY) -> DataFrame:
     return counts.orderBy(F.desc("n"), key).limit(1)
 
 
-def cell_timeline(
+def cell_rows(
     anomalies: DataFrame, cell_id: int | None = None, key: str = KEY, time: str = TIME
 ) -> DataFrame:
-    """One cell's anomalies in time order with calendar columns; the most extreme cell by default.
+    """One cell's anomalies with calendar columns, unordered; the most extreme cell by default.
 
     A given cell is a literal that prunes row groups; a cell without anomalies is an error.
     """
@@ -36,7 +36,14 @@ def cell_timeline(
     return rows.withColumns({
         "hour": hour_of_day(time), "date": calendar_date(time),
         "day_of_week": weekday_name(time), "week": iso_week(time),
-    }).orderBy(time)
+    })
+
+
+def cell_timeline(
+    anomalies: DataFrame, cell_id: int | None = None, key: str = KEY, time: str = TIME
+) -> DataFrame:
+    """`cell_rows` in time order, for a listing; the tables below need no order."""
+    return cell_rows(anomalies, cell_id, key, time).orderBy(time)
 
 
 def daily_stats(timeline: DataFrame) -> DataFrame:

@@ -571,7 +571,7 @@ def cell_timeline(spark, sf):
 
 
 def _timeline(spark, sf):
-    return timeline.cell_timeline(p.event_anomalies(spark, sf))
+    return timeline.cell_rows(p.event_anomalies(spark, sf))
 
 
 @query
@@ -586,7 +586,7 @@ def hourly_stats(spark, sf):
 
 @query
 def weekday_stats(spark, sf):
-    return comparable(timeline.weekday_stats(timeline.cell_timeline(p.anomalies(spark, sf))))
+    return comparable(timeline.weekday_stats(timeline.cell_rows(p.anomalies(spark, sf))))
 
 
 @query
@@ -611,7 +611,7 @@ def severity_guides(spark, sf):
 
 @query
 def traffic_stack(spark, sf):
-    return comparable(timeline.traffic_stack(timeline.cell_timeline(p.anomalies(spark, sf))))
+    return comparable(timeline.traffic_stack(timeline.cell_rows(p.anomalies(spark, sf))))
 
 
 @query
@@ -626,7 +626,7 @@ def short_days(spark, sf):
 
 @query
 def cell_report(spark, sf):
-    return comparable(reports.cell_report(timeline.cell_timeline(p.anomalies(spark, sf))))
+    return comparable(reports.cell_report(timeline.cell_rows(p.anomalies(spark, sf))))
 
 
 # --- distribution -----------------------------------------------------------------------------
