@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,8 @@ def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     return df
 
 
-def rejected_count(raw: DataFrame) -> Column:
-    """Aggregate: how many rows of a ``keep_rejects`` read were imperfect."""
-    return F.count(REJECTED)
+def rejects(raw: DataFrame) -> DataFrame:
+    """The rows of a ``keep_rejects`` read with a field that is no number (NULL tokens included) or
+    with too few or too many fields, each with its source line. Write them before counting them:
+    Spark does not read the source-line column alone."""
+    return raw.where(F.col(REJECTED).isNotNull())
