@@ -14,7 +14,7 @@ ZERO_SCALE = 1e-12
 ZERO_EIGENVALUE = 1e-9
 ZERO_RESIDUAL = 1e-6
 
-AXES = "rank int, eigenvalues array<double>, components array<array<double>>, residual_map array<double>"
+AXES = "rank int, eigenvalues array<double>, components array<array<double>>, outside array<double>"
 
 
 def snap(x: Column) -> Column:
@@ -26,25 +26,39 @@ def standardised(features: Sequence[str], mean: str = "mean", scale: str = "scal
     return [(F.col(f) - F.col(mean)[i]) / F.col(scale)[i] for i, f in enumerate(features)]
 
 
-def residual_norm(features: Sequence[str], residual_map: str = "residual_map") -> Column:
-    """Length of the part of a standardised row outside the kept axes."""
-    z, p = standardised(features), len(features)
-    squares = F.lit(0.0)
+def flat_model(features: Sequence[str], mean: str = "mean", residual_map: str = "residual_map") -> list[Column]:
+    """The model's arrays as scalar columns, which is how rows are scored: an array access costs a
+    null and a bounds check in the generated code each time, and there would be p² + p of them."""
+    p = len(features)
+    means = [F.col(mean)[i].alias(f"_m{i}") for i in range(p)]
+    return means + [F.col(residual_map)[i * p + j].alias(f"_r{i}_{j}") for i in range(p) for j in range(p)]
+
+
+def raw_residual(features: Sequence[str]) -> Column:
+    """Length of the part of a row outside the kept axes, from `flat_model` columns.
+
+    Every operand occurs once (hence the power instead of a product): a filter on this value is
+    merged into the join before it, where nothing removes repeated terms.
+    """
+    p = len(features)
+    squares = None
     for i in range(p):
-        part = F.lit(0.0)
-        for j in range(p):
-            part = part + F.col(residual_map)[i * p + j] * z[j]
-        squares = squares + part * part
-    return snap(F.sqrt(squares))
+        part = None
+        for j, f in enumerate(features):
+            term = F.col(f"_r{i}_{j}") * (F.col(f) - F.col(f"_m{j}"))
+            part = term if part is None else part + term
+        square = F.pow(part, F.lit(2.0))
+        squares = square if squares is None else squares + square
+    return F.sqrt(squares)
 
 
 def principal_axes(k: int, p: int):
-    """Pandas UDF: flat p×p second-moment matrix of one cell to its axes and residual map.
+    """Pandas UDF: flat p×p second-moment matrix of one cell to its axes and the map onto the rest.
 
     One row per cell, decomposed a batch at a time. Kept are at most k axes whose eigenvalue is above
     round-off, and with them any that equal the last one kept, because a tie has no first axis. The
-    residual map I - VVᵀ does not depend on the sign or order of the axes; the axes are signed so that
-    their largest entry is positive. The function refers to nothing in this package, so executors
+    map I - VVᵀ onto the rest does not depend on the sign or order of the axes; the axes are signed so
+    that their largest entry is positive. The function refers to nothing in this package, so executors
     need not have it installed.
     """
     tiny = ZERO_EIGENVALUE
@@ -66,6 +80,6 @@ def principal_axes(k: int, p: int):
             else (None, None, None, None)
             for i, r in enumerate(rank)
         ]
-        return pd.DataFrame(rows, columns=["rank", "eigenvalues", "components", "residual_map"])
+        return pd.DataFrame(rows, columns=["rank", "eigenvalues", "components", "outside"])
 
     return axes

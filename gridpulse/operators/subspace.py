@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.functions.subspace import ZERO_RESIDUAL, ZERO_SCALE, principal_axes, residual_norm
+from gridpulse.functions.subspace import (
+    ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
+)
 from gridpulse.functions.timekeys import label_number, week_number
 from gridpulse.operators.joins import BROADCAST_ROWS, Lookup
 from gridpulse.schemas import FEATURES, KEY, TIME
 
-_MODEL_COLUMNS = ("mean", "scale", "residual_map")
+_ERRORS = ("mean_error", "std_error", "threshold")
 
 
 def _week_keys(reference_weeks: DataFrame, key: str) -> DataFrame:
@@ -131,17 +133,22 @@ class SubspaceDetector:
 
     def basis(self) -> DataFrame:
         """Standardisation and axes per cell, before the error threshold is known."""
+        p = len(self.features)
         moments = moment_matrix(self._training(self.weeks), self.standardize, self.features, self.key)
-        axes = principal_axes(self.k, len(self.features))
-        return moments.withColumn("_axes", axes("moments")).select(self.key, "mean", "scale", "_axes.*")
+        axes = moments.withColumn("_axes", principal_axes(self.k, p)("moments"))
+        # Applied to a row less the mean, so the scaling is part of the map.
+        scaled = [F.col("_axes.outside")[i * p + j] / F.col("scale")[j] for i in range(p) for j in range(p)]
+        return axes.select(
+            self.key, "mean", "scale", "_axes.rank", "_axes.eigenvalues", "_axes.components",
+            F.array(*scaled).alias("residual_map"),
+        )
 
     def model(self) -> DataFrame:
         """One row per cell: scaler, rank, axes, residual map and the training-error threshold."""
         basis = self.basis()
         # The joins below are between tables of one row per cell.
-        residuals = self._training(basis.select(self.key, *_MODEL_COLUMNS).join(self.weeks, self.key)).select(
-            self.key, residual_norm(self.features).alias("_r")
-        )
+        flat = basis.select(self.key, *flat_model(self.features)).join(self.weeks, self.key)
+        residuals = self._training(flat).select(self.key, snap(raw_residual(self.features)).alias("_r"))
         errors = residuals.groupBy(self.key).agg(
             F.count("_r").alias("n_train"), F.avg("_r").alias("mean_error"), F.stddev_pop("_r").alias("_spread")
         )
@@ -155,20 +162,27 @@ class SubspaceDetector:
 
     def scores(self, model: DataFrame | None = None) -> DataFrame:
         """Every row of every modelled cell with its ``anomaly_score`` and the cell's error statistics."""
-        model = self.model() if model is None else model
-        table = model.select(self.key, *_MODEL_COLUMNS, "mean_error", "std_error", "threshold")
-        return self.lookup.join(table).select(
-            self.key, self.time, residual_norm(self.features).alias("anomaly_score"), *self.features,
-            "mean_error", "std_error", "threshold",
-        )
+        return _scored(self.lookup, self.model() if model is None else model, self.features, self.time)
 
     def anomalies(self, model: DataFrame | None = None) -> DataFrame:
         """Rows above their cell's threshold with the severity in standard deviations."""
+        model = self.model() if model is None else model
+        # Above the threshold after snapping is the same as above it and above round-off.
+        floor = F.greatest("threshold", F.lit(ZERO_RESIDUAL)).alias("_floor")
+        table = model.select(self.key, *flat_model(self.features), "mean_error", "std_error", floor)
+        score = raw_residual(self.features).alias("anomaly_score")
+        rows = self.lookup.join(table).select(
+            self.key, self.time, score, *self.features, "mean_error", "std_error", "_floor"
+        ).where(F.col("anomaly_score") > F.col("_floor"))
         excess = F.col("anomaly_score") - F.col("mean_error")
         severity = F.when(F.col("std_error") != 0, excess / F.col("std_error")).otherwise(excess)
-        return self.scores(model).where(F.col("anomaly_score") > F.col("threshold")).select(
-            self.key, self.time, "anomaly_score", *self.features, severity.alias("severity_score")
-        )
+        return rows.select(self.key, self.time, "anomaly_score", *self.features, severity.alias("severity_score"))
+
+
+def _scored(lookup: Lookup, model: DataFrame, features: Sequence[str], time: str) -> DataFrame:
+    table = model.select(lookup.key, *flat_model(features), *_ERRORS)
+    score = snap(raw_residual(features)).alias("anomaly_score")
+    return lookup.join(table).select(lookup.key, time, score, *features, *_ERRORS)
 
 
 def fit(traffic: DataFrame, reference_weeks: DataFrame, **options) -> DataFrame:
@@ -182,10 +196,7 @@ def score(
 ) -> DataFrame:
     """Score any panel against a stored model table."""
     lookup = Lookup(traffic.select(key, time, *features), key, model.count(), limit)
-    table = model.select(key, *_MODEL_COLUMNS, "mean_error", "std_error", "threshold")
-    return lookup.join(table).select(
-        key, time, residual_norm(features).alias("anomaly_score"), *features, "mean_error", "std_error", "threshold"
-    )
+    return _scored(lookup, model, features, time)
 
 
 def detect(traffic: DataFrame, reference_weeks: DataFrame, **options) -> DataFrame:

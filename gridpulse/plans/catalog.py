@@ -276,7 +276,7 @@ def osp_model(spark, sf):
 def osp_residual_map(spark, sf):
     """The map onto what the kept axes do not explain; unlike the axes it has no free sign."""
     model = p.detector(spark, sf, 1).model()
-    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    pairs = [(i, j) for i in range(3) for j in range(3)]
     return comparable(model.select(KEY, *[F.col("residual_map")[3 * i + j].alias(f"r{i}{j}") for i, j in pairs]))
 
 

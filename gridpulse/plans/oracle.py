@@ -411,7 +411,9 @@ ORACLE: dict[str, str] = {
         + " FROM traffic t JOIN scaled s ON s.cell_id = t.cell_id"),
     "moment_matrix": chain("scaled", f"SELECT cell_id, {', '.join(r(f'm{i}{j}') for i, j in PAIRS)} FROM scaled"),
     "osp_model": chain("errors", f"SELECT {MODEL_COLUMNS} FROM moments m JOIN axes x ON x.cell_id = m.cell_id JOIN errors e ON e.cell_id = m.cell_id"),
-    "osp_residual_map": chain("axes", f"SELECT cell_id, {', '.join(r(f'r{i}{j}') for i, j in PAIRS)} FROM axes", k=1),
+    "osp_residual_map": chain("axes", "SELECT x.cell_id, " + ", ".join(
+        r(f"r{min(i, j)}{max(i, j)} / scale{j}", f"r{i}{j}") for i in range(3) for j in range(3))
+        + " FROM axes x JOIN scaled s ON s.cell_id = x.cell_id", k=1),
     "osp_scores": chain("scored", f"SELECT cell_id, timestamp, {r('score', 'anomaly_score')}, {r('threshold')} FROM scored"),
     "osp_anomalies_k1": chain("anomalies", f"SELECT {ANOMALY_COLUMNS} FROM anomalies", k=1),
     "osp_anomalies_k2": chain("anomalies", f"SELECT {ANOMALY_COLUMNS} FROM anomalies", k=2),
