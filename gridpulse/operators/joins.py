@@ -7,13 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A looked-up row here is at most a few hundred bytes, so this is some tens of MB per executor.
-BROADCAST_ROWS = 100_000
+# A table is broadcast only if its known row count times its width stays below this.
+BROADCAST_BYTES = 32 * 1024 * 1024
 # A key holding more than 1/HOT_PARTS of all rows is split; at most HOT_PARTS keys can.
 HOT_PARTS = 1000
 _SALT, _SALTS = "_salt", "_salts"
 
 
+def broadcast_rows(columns: int) -> int:
+    """How many rows of ``columns`` eight-byte values (and some row overhead) may be broadcast."""
+    return BROADCAST_BYTES // (8 * (columns + 4))
+
+
 def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
     """``(key, _salts)`` of the keys with more than 1/``parts`` of the rows.
 
@@ -28,15 +33,15 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
 class Lookup:
     """Joins several lookup tables to one panel, choosing the strategy once from a checked size.
 
-    ``rows`` bounds the row count of every table that will be joined. Up to ``limit`` they
-    are broadcast and the panel is never shuffled. Beyond it both sides are shuffled on the
-    key plus a salt that is zero except for hot keys, so that no task gets more than about
-    1/HOT_PARTS of the panel; the panel side is the same exchange for every table joined, and
-    Spark reuses it.
+    ``rows`` and ``columns`` bound the size of every table that will be joined. Up to the
+    broadcast limit (or ``limit`` rows, if given) they are broadcast and the panel is never
+    shuffled. Beyond it both sides are shuffled on the key plus a salt that is zero except for
+    hot keys, so that no task gets more than about 1/HOT_PARTS of the panel; the panel side is
+    the same exchange for every table joined, and Spark reuses it.
     """
 
-    def __init__(self, panel: DataFrame, key: str, rows: int, limit: int = BROADCAST_ROWS):
-        self.key, self.broadcast = key, rows <= limit
+    def __init__(self, panel: DataFrame, key: str, rows: int, columns: int = 4, limit: int | None = None):
+        self.key, self.broadcast = key, rows <= (broadcast_rows(columns) if limit is None else limit)
         if self.broadcast:
             self.panel = panel
             return

@@ -149,7 +149,8 @@ def severity_bands(anomalies: DataFrame) -> DataFrame:
 
 
 def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str = TIME) -> DataFrame:
-    """Per stage: rows, cells and time range, and whether cells agree with the first stage."""
+    """Per stage: rows, cells and time range, and whether both fit the first stage: as many cells,
+    no time outside its range (NULL for a stage without times)."""
     rows = []
     for i, (name, df) in enumerate(stages.items()):
         when = F.col(time) if time in df.columns else F.lit(None).cast("timestamp")
@@ -158,8 +159,11 @@ def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str
             F.min(when).alias("first_time"), F.max(when).alias("last_time"),
         ).select(F.lit(i).alias("position"), F.lit(name).alias("stage"), "rows", "cells", "first_time", "last_time"))
     table = reduce(DataFrame.unionByName, rows)
-    first = rows[0].select("cells").scalar()
-    return table.withColumn("same_cells", F.col("cells") == first)
+    cells, start, end = [rows[0].select(c).scalar() for c in ("cells", "first_time", "last_time")]
+    return table.withColumns({
+        "same_cells": F.col("cells") == cells,
+        "time_within": (F.col("first_time") >= start) & (F.col("last_time") <= end),
+    })
 
 
 def validate(
@@ -193,3 +197,11 @@ def validate(
         parts.append(unknown_cells(df, grid, key).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
             F.lit("unknown_cells").alias("check"), F.lit(key).alias("subject"), F.lit(ERROR).alias("level"), "n"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def validate_stages(stages: Mapping[str, DataFrame], grid: DataFrame | None = None, **options) -> DataFrame:
+    """`validate` for several tables at once, with the table's name in the column ``stage``."""
+    parts = [
+        validate(df, grid=grid, **options).select(F.lit(name).alias("stage"), "*") for name, df in stages.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -16,31 +16,36 @@ from gridpulse.functions.subspace import (
     ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
 )
 from gridpulse.functions.timekeys import label_number, week_number
-from gridpulse.operators.joins import BROADCAST_ROWS, Lookup
+from gridpulse.operators.joins import Lookup
 from gridpulse.schemas import FEATURES, KEY, TIME
 
 _ERRORS = ("mean_error", "std_error", "threshold")
 
 
+def _width(features: Sequence[str]) -> int:
+    """Values in a row of the flat model: map, means, error statistics."""
+    return len(features) * (len(features) + 1) + len(_ERRORS) + 1
+
+
 def _week_keys(reference_weeks: DataFrame, key: str) -> DataFrame:
     return reference_weeks.select(key, label_number("reference_week").alias("year_week")).distinct()
 
 
 def mark_reference(
-    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int = BROADCAST_ROWS
+    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int | None = None
 ) -> DataFrame:
     """All rows, with ``is_reference``: is the row's ISO week a reference week of its cell?"""
     marks = _week_keys(reference_weeks, key).withColumn("is_reference", F.lit(True))
-    lookup = Lookup(traffic, key, reference_weeks.count(), limit)
+    lookup = Lookup(traffic, key, reference_weeks.count(), limit=limit)
     marked = lookup.join(marks, "left", ["year_week"], lambda p: p.withColumn("year_week", week_number(time)))
     return marked.select(*traffic.columns, F.coalesce("is_reference", F.lit(False)).alias("is_reference"))
 
 
 def training_rows(
-    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int = BROADCAST_ROWS
+    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int | None = None
 ) -> DataFrame:
     """Only the rows in a reference week of their cell."""
-    lookup = Lookup(traffic, key, reference_weeks.count(), limit)
+    lookup = Lookup(traffic, key, reference_weeks.count(), limit=limit)
     kept = lookup.join(
         _week_keys(reference_weeks, key), "left_semi", ["year_week"],
         lambda p: p.withColumn("year_week", week_number(time)),
@@ -113,7 +118,7 @@ class SubspaceDetector:
     def __init__(
         self, traffic: DataFrame, reference_weeks: DataFrame, n_components: int = 2,
         anomaly_threshold: float = 2.0, standardize: bool = True, features: Sequence[str] = FEATURES,
-        key: str = KEY, time: str = TIME, limit: int = BROADCAST_ROWS,
+        key: str = KEY, time: str = TIME, limit: int | None = None,
     ):
         if n_components < 1:
             raise ValueError("n_components must be at least 1")
@@ -121,7 +126,7 @@ class SubspaceDetector:
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
         # The same filtered columns feed every pass, so a shuffled panel is one exchange for all of them.
         panel = traffic.select(key, time, *features).where(F.col(time).isNotNull())
-        self.lookup = Lookup(panel, key, reference_weeks.count(), limit)
+        self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
             F.collect_set(label_number("reference_week")).alias("_weeks")
@@ -192,10 +197,10 @@ def fit(traffic: DataFrame, reference_weeks: DataFrame, **options) -> DataFrame:
 
 def score(
     traffic: DataFrame, model: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY, time: str = TIME,
-    limit: int = BROADCAST_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Score any panel against a stored model table."""
-    lookup = Lookup(traffic.select(key, time, *features), key, model.count(), limit)
+    lookup = Lookup(traffic.select(key, time, *features), key, model.count(), _width(features), limit)
     return _scored(lookup, model, features, time)
 
 

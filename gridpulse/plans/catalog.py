@@ -146,6 +146,13 @@ def validate_traffic(spark, sf):
     return quality.validate(p.events_traffic(spark, sf), grid=p.small_grid(spark, sf))
 
 
+@query
+def validate_stages(spark, sf):
+    """Traffic and reference weeks against the grid that covers them."""
+    return quality.validate_stages(
+        {"traffic": p.events_traffic(spark, sf), "reference_weeks": p.events_weeks(spark, sf)}, p.grid(spark, sf))
+
+
 # --- weeks ------------------------------------------------------------------------------------
 
 @query

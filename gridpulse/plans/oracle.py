@@ -371,12 +371,19 @@ ORACLE: dict[str, str] = {
     "stage_consistency": chain("anomalies", " UNION ALL ".join(
         f"""SELECT {i}::BIGINT AS position, '{'reference_weeks' if n == 'refs' else n}' AS stage, count(*) AS rows, count(DISTINCT cell_id) AS cells,
             {'min(timestamp)' if timed else 'NULL::TIMESTAMP'} AS first_time, {'max(timestamp)' if timed else 'NULL::TIMESTAMP'} AS last_time,
-            count(DISTINCT cell_id) = (SELECT count(DISTINCT cell_id) FROM ingested) AS same_cells FROM {n}"""
+            count(DISTINCT cell_id) = (SELECT count(DISTINCT cell_id) FROM ingested) AS same_cells, {
+            'min(timestamp) >= (SELECT min(timestamp) FROM ingested) AND max(timestamp) <= (SELECT max(timestamp) FROM ingested)'
+            if timed else 'NULL::BOOLEAN'} AS time_within FROM {n}"""
         for i, (n, timed) in enumerate(STAGES))),
     "severity_bands": chain("anomalies", """SELECT count(*) AS anomalies, count(*) FILTER (severity_score > 10) AS severe,
         count(*) FILTER (severity_score > 100) AS extreme FROM anomalies"""),
     "week_format": chain("refs", r"""SELECT count(*) AS labels,
         count(*) FILTER (NOT regexp_full_match(reference_week, '\d{4}_W\d{2}')) AS malformed FROM refs"""),
+    "validate_stages": chain("refs", """SELECT * FROM (
+        SELECT 'traffic' AS stage, 'range' AS "check", 'cell_id' AS subject, 'warning' AS level, count(*) FILTER (cell_id < 1 OR cell_id > 100000) AS n FROM traffic
+        UNION ALL SELECT 'reference_weeks', 'range', 'cell_id', 'warning', count(*) FILTER (cell_id < 1 OR cell_id > 100000) FROM refs
+        UNION ALL SELECT 'reference_weeks', 'extra_column', 'stability_score', 'info', 1
+        ) WHERE n > 0"""),
     "validate_traffic": chain("traffic", """SELECT * FROM (
         SELECT 'range' AS "check", 'cell_id' AS subject, 'warning' AS level, count(*) FILTER (cell_id < 1 OR cell_id > 100000) AS n FROM traffic
         UNION ALL SELECT 'range', 'sms_total', 'warning', count(*) FILTER (sms_total < 0 OR sms_total > 50000) FROM traffic

@@ -30,12 +30,15 @@ def _folder(spark: SparkSession, given: str | None, kind: str) -> str:
 def run(
     spark: SparkSession, raw_dir: str | None = None, ingested: DataFrame | None = None, out_dir: str | None = None,
     n_components: int = 2, anomaly_threshold: float = 2.0, num_weeks: int = 4, mad_threshold: float = 1.5,
-    check: bool = True,
+    check: bool = True, keep_ingested: bool = True, keep_model: bool = True,
 ) -> dict[str, DataFrame]:
     """Ingest, aggregate, select weeks, detect, summarise.
 
-    Returns the stage tables ``ingested, traffic, reference_weeks, model, anomalies`` as read back
+    Returns the stage tables (ingested, traffic, reference_weeks, model, anomalies) as read back
     from ``out_dir`` (by default a folder of the shared directory) and the ``summary`` report.
+    Without ``keep_ingested`` the raw text goes straight into the aggregation, which saves writing and
+    reading every raw record; without ``keep_model`` detection is one plan that shuffles a panel of
+    too many cells for a broadcast once instead of twice.
     """
     configure(spark)
     out = _folder(spark, out_dir, "run")
@@ -48,18 +51,23 @@ def run(
             write_parquet(df, path, codec="zstd")
         return spark.read.schema(df.schema).parquet(path)
 
+    tables = {}
     if ingested is None:
-        ingested = require_rows(staged(ingest(spark, raw_dir), "ingested"), "the raw files")
+        ingested = ingest(spark, raw_dir)
+        if keep_ingested:
+            ingested = tables["ingested"] = require_rows(staged(ingested, "ingested"), "the raw files")
     traffic = staged(build_traffic(ingested), "traffic", clustered=True)
+    require_rows(traffic, "the panel")
     if check:
         require_clean(traffic)
     weeks = staged(select_reference_weeks(traffic, num_weeks, mad_threshold), "reference_weeks")
     detector = SubspaceDetector(traffic, weeks, n_components, anomaly_threshold)
-    model = staged(detector.model(), "model")
+    model = None
+    if keep_model:
+        model = tables["model"] = staged(detector.model(), "model")
     anomalies = staged(detector.anomalies(model), "anomalies", clustered=True)
-    return {
-        "ingested": ingested, "traffic": traffic, "reference_weeks": weeks, "model": model,
-        "anomalies": anomalies, "summary": anomaly_summary(anomalies),
+    return tables | {
+        "traffic": traffic, "reference_weeks": weeks, "anomalies": anomalies, "summary": anomaly_summary(anomalies),
     }
 
 

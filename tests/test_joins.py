@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.operators.joins import HOT_PARTS, Lookup, hot_keys
+from gridpulse.operators.joins import HOT_PARTS, Lookup, broadcast_rows, hot_keys
 
 
 @pytest.fixture
@@ -31,6 +31,10 @@ def test_salted_join_equals_plain_join(spark, skewed, how, on):
     assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
+def test_wide_tables_are_broadcast_up_to_fewer_rows():
+    assert broadcast_rows(16) == 209_715 and broadcast_rows(1000) < 5000
+
+
 def test_hot_rows_spread_over_partitions(spark, skewed):
     panel = Lookup(skewed, "cell_id", rows=10**9).panel
     salts = panel.where("cell_id = 7").groupBy("_salt").count()

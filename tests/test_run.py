@@ -50,6 +50,8 @@ def test_run_from_raw_files(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["anomalies", "ingested", "model", "reference_weeks", "traffic"]
     assert tables["summary"].where("key = 'Total Anomalies Detected'").first().value == "89"
     assert stages.run(spark, ingested=tables["ingested"], n_components=1)["anomalies"].count() == 84
+    short = stages.run(spark, str(tmp_path / "raw"), keep_ingested=False, keep_model=False)
+    assert sorted(short) == ["anomalies", "reference_weeks", "summary", "traffic"] and short["anomalies"].count() == 89
     maps = stages.map_tables(spark, tables["anomalies"], panels.grid(spark, SF_DIR), metrics=("anomaly_count", "nothing"))
     assert sorted(maps) == ["cell_stats", "classified_anomaly_count", "extreme_cells", "report_anomaly_count", "report_extreme"]
     assert maps["classified_anomaly_count"].count() == 150
