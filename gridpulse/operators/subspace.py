@@ -124,8 +124,11 @@ class SubspaceDetector:
             raise ValueError("n_components must be at least 1")
         self.features, self.key, self.time = tuple(features), key, time
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
-        # The same filtered columns feed every pass, so a shuffled panel is one exchange for all of them.
-        panel = traffic.select(key, time, *features).where(F.col(time).isNotNull())
+        # The same columns and filter feed every pass, so a shuffled panel is one exchange for all of
+        # them. A clean panel has no NULLs; a row with one could be neither trained on nor scored.
+        panel = traffic.select(key, time, *features)
+        for column in panel.columns:
+            panel = panel.where(F.col(column).isNotNull())
         self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
