@@ -31,6 +31,16 @@ def week_number(t: Column | str) -> Column:
     return iso_year(t) * 100 + iso_week(t)
 
 
+def week_index(t: Column | str) -> Column:
+    """UTC weeks since the Monday before 1970: plain arithmetic, so the cheap key to group rows by."""
+    return F.floor((F.unix_seconds(_col(t).cast("timestamp")) + 259_200) / 604_800)
+
+
+def index_monday(index: Column | str) -> Column:
+    """The first day of a `week_index`."""
+    return F.date_from_unix_date((_col(index) * 7 - 3).cast("int"))
+
+
 def label_number(label: Column | str) -> Column:
     """``2013_W47`` to ``201347``; NULL for text that is no week label."""
     return F.replace(_col(label), F.lit("_W"), F.lit("")).try_cast("int")

@@ -150,7 +150,7 @@ def severity_bands(anomalies: DataFrame) -> DataFrame:
 
 def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str = TIME) -> DataFrame:
     """Per stage: rows, cells and time range, and whether both fit the first stage: as many cells,
-    no time outside its range (NULL for a stage without times)."""
+    no time outside its range."""
     rows = []
     for i, (name, df) in enumerate(stages.items()):
         when = F.col(time) if time in df.columns else F.lit(None).cast("timestamp")
@@ -162,7 +162,7 @@ def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str
     cells, start, end = [rows[0].select(c).scalar() for c in ("cells", "first_time", "last_time")]
     return table.withColumns({
         "same_cells": F.col("cells") == cells,
-        "time_within": (F.col("first_time") >= start) & (F.col("last_time") <= end),
+        "time_within": F.coalesce((F.col("first_time") >= start) & (F.col("last_time") <= end), F.lit(True)),
     })
 
 

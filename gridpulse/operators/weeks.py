@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from gridpulse.functions.timekeys import week_label
+from gridpulse.functions.timekeys import index_monday, week_index, week_label
 from gridpulse.schemas import FEATURES, KEY, TIME
 
 EPSILON = 1e-8
@@ -15,8 +15,12 @@ _WEEK = "year_week"
 
 
 def weekly_totals(traffic: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Sums per cell and ISO week: however hot a cell, it leaves one row per calendar week."""
-    return traffic.groupBy(key, week_label(time).alias(_WEEK)).agg(*[F.sum(f).alias(f) for f in features])
+    """Sums per cell and ISO week: however hot a cell, it leaves one row per calendar week.
+
+    Rows are grouped by a week number that costs no calendar arithmetic; only the weekly rows get the label.
+    """
+    sums = traffic.groupBy(key, week_index(time).alias("_w")).agg(*[F.sum(f).alias(f) for f in features])
+    return sums.select(key, week_label(index_monday("_w")).alias(_WEEK), *features)
 
 
 def with_deviation(weekly: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:

@@ -373,7 +373,7 @@ ORACLE: dict[str, str] = {
             {'min(timestamp)' if timed else 'NULL::TIMESTAMP'} AS first_time, {'max(timestamp)' if timed else 'NULL::TIMESTAMP'} AS last_time,
             count(DISTINCT cell_id) = (SELECT count(DISTINCT cell_id) FROM ingested) AS same_cells, {
             'min(timestamp) >= (SELECT min(timestamp) FROM ingested) AND max(timestamp) <= (SELECT max(timestamp) FROM ingested)'
-            if timed else 'NULL::BOOLEAN'} AS time_within FROM {n}"""
+            if timed else 'true'} AS time_within FROM {n}"""
         for i, (n, timed) in enumerate(STAGES))),
     "severity_bands": chain("anomalies", """SELECT count(*) AS anomalies, count(*) FILTER (severity_score > 10) AS severe,
         count(*) FILTER (severity_score > 100) AS extreme FROM anomalies"""),

@@ -30,6 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="gridpulse-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACK:
+        _FALLBACK[application] = tempfile.mkdtemp(prefix="spark-gridpulse-")
+    return _FALLBACK[application]
 
 
 def write_stage(df: DataFrame, name: str) -> str:

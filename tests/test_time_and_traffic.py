@@ -15,6 +15,13 @@ def test_iso_years_at_the_borders(frame):
         ("2014_W01", 201401, "Tuesday", "Tue"), ("2015_W53", 201553, "Friday", "Fri"), ("2013_W47", 201347, "Monday", "Mon")]
 
 
+def test_week_index_is_the_iso_week(spark):
+    hours = spark.sql("SELECT timestamp '1968-12-20 05:00:00' + make_interval(0, 0, 0, id, id % 24) AS t FROM range(20000)")
+    wrong = hours.where(tk.week_label("t") != tk.week_label(tk.index_monday(tk.week_index("t"))))
+    assert wrong.count() == 0
+    assert hours.where(tk.weekday_name(tk.index_monday(tk.week_index("t"))) != "Monday").count() == 0
+
+
 def test_labels_round_trip_and_bad_labels_are_null(frame):
     df = frame([("2013_W47",), ("soon",)], "label string")
     assert [r[0] for r in df.select(tk.label_number("label")).collect()] == [201347, None]
