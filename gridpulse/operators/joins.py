@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # A table is broadcast only if its known row count times its width stays below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# A key holding more than 1/HOT_PARTS of all rows is split; at most HOT_PARTS keys can.
-HOT_PARTS = 1000
+# A key with more rows than this is split into parts of about this many...
+PART_ROWS = 1_000_000
+# ...but into parts of no less than 1/HOT_PARTS of all rows, which bounds how many keys can be split.
+HOT_PARTS = 100_000
 _SALT, _SALTS = "_salt", "_salts"
 
 
@@ -19,15 +21,18 @@ def broadcast_rows(columns: int) -> int:
     return BROADCAST_BYTES // (8 * (columns + 4))
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
-    """``(key, _salts)`` of the keys with more than 1/``parts`` of the rows.
+def hot_keys(df: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(key, _salts)`` of the keys with more rows than a part holds.
 
-    Fewer than ``parts`` rows by pigeonhole and fewer than 2·``parts`` salts in total,
-    whatever the size of ``df``; counting is pre-aggregated and reads the key column only.
+    Fewer than HOT_PARTS rows by pigeonhole and fewer than twice as many salts in total, whatever
+    the size of ``df``; counting is pre-aggregated and reads the key column.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") * F.lit(float(parts)) / counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("share", share).where("share > 1").select(key, F.ceil("share").cast("int").alias(_SALTS))
+    part = counts.agg(F.greatest(F.sum("n") / F.lit(HOT_PARTS), F.lit(float(part_rows)))).scalar()
+    return (
+        counts.withColumn("parts", F.col("n") / part).where("parts > 1")
+        .select(key, F.ceil("parts").cast("int").alias(_SALTS))
+    )
 
 
 class Lookup:
@@ -36,16 +41,19 @@ class Lookup:
     ``rows`` and ``columns`` bound the size of every table that will be joined. Up to the
     broadcast limit (or ``limit`` rows, if given) they are broadcast and the panel is never
     shuffled. Beyond it both sides are shuffled on the key plus a salt that is zero except for
-    hot keys, so that no task gets more than about 1/HOT_PARTS of the panel; the panel side is
-    the same exchange for every table joined, and Spark reuses it.
+    hot keys, whose rows it spreads over parts of about ``part_rows``; the panel side is the same
+    exchange for every table joined, and Spark reuses it.
     """
 
-    def __init__(self, panel: DataFrame, key: str, rows: int, columns: int = 4, limit: int | None = None):
+    def __init__(
+        self, panel: DataFrame, key: str, rows: int, columns: int = 4, limit: int | None = None,
+        part_rows: int = PART_ROWS,
+    ):
         self.key, self.broadcast = key, rows <= (broadcast_rows(columns) if limit is None else limit)
         if self.broadcast:
             self.panel = panel
             return
-        self.hot = hot_keys(panel, key)
+        self.hot = hot_keys(panel, key, part_rows)
         spread = F.xxhash64(*panel.columns)
         # A NULL key matches nothing, so its rows may go anywhere.
         salts = F.when(F.col(key).isNull(), F.lit(HOT_PARTS)).otherwise(F.coalesce(_SALTS, F.lit(1)))

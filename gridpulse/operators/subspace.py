@@ -16,7 +16,7 @@ from gridpulse.functions.subspace import (
     ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
 )
 from gridpulse.functions.timekeys import label_number, week_number
-from gridpulse.operators.joins import Lookup
+from gridpulse.operators.joins import PART_ROWS, Lookup
 from gridpulse.schemas import FEATURES, KEY, TIME
 
 _ERRORS = ("mean_error", "std_error", "threshold")
@@ -118,7 +118,7 @@ class SubspaceDetector:
     def __init__(
         self, traffic: DataFrame, reference_weeks: DataFrame, n_components: int = 2,
         anomaly_threshold: float = 2.0, standardize: bool = True, features: Sequence[str] = FEATURES,
-        key: str = KEY, time: str = TIME, limit: int | None = None,
+        key: str = KEY, time: str = TIME, limit: int | None = None, part_rows: int = PART_ROWS,
     ):
         if n_components < 1:
             raise ValueError("n_components must be at least 1")
@@ -129,7 +129,7 @@ class SubspaceDetector:
         panel = traffic.select(key, time, *features)
         for column in panel.columns:
             panel = panel.where(F.col(column).isNotNull())
-        self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit)
+        self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit, part_rows)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
             F.collect_set(label_number("reference_week")).alias("_weeks")

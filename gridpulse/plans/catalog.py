@@ -320,8 +320,8 @@ def osp_anomalies_unscaled(spark, sf):
 
 @query
 def osp_anomalies_salted(spark, sf):
-    """The plan for more cells than a broadcast may hold, on the same data."""
-    return _flagged(p.detector(spark, sf, 2, limit=0).anomalies())
+    """The plan for more cells than a broadcast may hold, with hot cells, on the same data."""
+    return _flagged(p.detector(spark, sf, 2, limit=0, part_rows=20).anomalies())
 
 
 @query

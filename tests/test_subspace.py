@@ -64,7 +64,7 @@ def panel(spark):
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_matches_direct_decomposition(panel, k, t, standardize, limit):
     data, traffic, refs, trained = panel
-    detector = subspace.SubspaceDetector(traffic, refs, k, t, standardize, limit=limit)
+    detector = subspace.SubspaceDetector(traffic, refs, k, t, standardize, limit=limit, part_rows=5)
     scores = {(r.cell_id, str(r.timestamp)): r.anomaly_score for r in detector.scores().collect()}
     found = {(r.cell_id, str(r.timestamp)): r.severity_score for r in detector.anomalies().collect()}
     expected = {}
@@ -181,7 +181,7 @@ def test_shuffled_panel_is_one_exchange_for_all_passes(spark, panel):
     for n in names:
         spark.conf.set(n, "-1")
     try:
-        found = subspace.detect(traffic, refs, limit=0)
+        found = subspace.detect(traffic, refs, limit=0, part_rows=5)
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
     finally:
