@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Below these a scale, an eigenvalue or a residual is round-off.
 ZERO_SCALE = 1e-12
+DOUBLE_EPSILON = 2.0**-52
 ZERO_EIGENVALUE = 1e-9
 ZERO_RESIDUAL = 1e-6
 

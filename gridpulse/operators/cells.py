@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,7 +129,7 @@ def category_stats(classified: DataFrame) -> DataFrame:
     )
 
 
-def share_of_total(n: str) -> F.Column:
+def share_of_total(n: str) -> Column:
     """Percentage of a count in the whole (small) result."""
     return F.try_divide(F.col(n) * 100.0, F.sum(n).over(W.partitionBy()))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.rounding import fixed_text
@@ -14,7 +14,7 @@ from gridpulse.operators.timeline import cell_profile, temporal_peaks, top_sever
 from gridpulse.schemas import KEY
 
 
-def _sigma(c: str) -> F.Column:
+def _sigma(c: str) -> Column:
     return F.concat(fixed_text(c, 2), F.lit("σ"))
 
 

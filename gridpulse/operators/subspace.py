@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.subspace import (
-    ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
+    DOUBLE_EPSILON, ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
 )
 from gridpulse.functions.timekeys import label_number, week_number
 from gridpulse.operators.joins import PART_ROWS, Lookup
@@ -53,9 +53,9 @@ def training_rows(
     return kept.select(*traffic.columns)
 
 
-def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, F.Column]:
-    """One-pass mean, population spread and co-moments, all in numerically stable running form."""
-    out = {}
+def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, Column]:
+    """One-pass count, mean, population spread and co-moments, in numerically stable running form."""
+    out = {"n_train": F.count(F.lit(1))}
     for i, f in enumerate(features):
         out[f"mean_{i}"], out[f"spread_{i}"] = F.avg(f), F.stddev_pop(f)
         for j in range(i):
@@ -64,28 +64,31 @@ def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, F.Column]
 
 
 def scaler(train: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
-    """Per cell mean and population standard deviation of each feature; a zero scale is 1."""
+    """Per cell mean and population standard deviation of each feature; the scale of a constant is 1."""
     aggregates = moment_aggregates(features)
     wanted = {n: a for n, a in aggregates.items() if not n.startswith("co_")}
-    sums = train.groupBy(key).agg(F.count(F.lit(1)).alias("n_train"), *[a.alias(n) for n, a in wanted.items()])
+    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in wanted.items()])
     return sums.select(key, "n_train", *_scaler_columns(len(features)))
 
 
-def _scale(i: int) -> F.Column:
-    return F.when(F.col(f"spread_{i}") <= F.lit(ZERO_SCALE), F.lit(1.0)).otherwise(F.col(f"spread_{i}"))
+def _scale(i: int) -> Column:
+    """The spread, or 1 where it is no more than the rounding error of n values of this size."""
+    rounding = F.col("n_train") * F.abs(f"mean_{i}") * F.lit(DOUBLE_EPSILON)
+    spread = F.col(f"spread_{i}")
+    return F.when(spread <= F.greatest(rounding, F.lit(ZERO_SCALE)), F.lit(1.0)).otherwise(spread)
 
 
-def _scaler_columns(p: int) -> list[F.Column]:
+def _scaler_columns(p: int) -> list[Column]:
     return [
         F.array(*[F.col(f"mean_{i}") for i in range(p)]).alias("mean"),
         F.array(*[_scale(i) for i in range(p)]).alias("scale"),
     ]
 
 
-def _moment_matrix(p: int, standardize: bool) -> F.Column:
+def _moment_matrix(p: int, standardize: bool) -> Column:
     """Flat second-moment matrix of the rows as the model sees them."""
 
-    def entry(i: int, j: int) -> F.Column:
+    def entry(i: int, j: int) -> Column:
         i, j = min(i, j), max(i, j)
         co = F.col(f"co_{i}_{j}") if i != j else F.pow(f"spread_{i}", F.lit(2.0))
         if standardize:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gridpulse.functions.rounding import round_half_even
@@ -88,7 +88,7 @@ def temporal_peaks(timeline: DataFrame, time: str = TIME) -> DataFrame:
         [["hour"], ["day_of_week", "d"], ["date"]], "hour", "day_of_week", "d", "date"
     ).agg(F.sum("n").alias("n"))
 
-    def peak(column: str, order: F.Column) -> F.Column:
+    def peak(column: str, order: Column) -> Column:
         present = F.when(F.col(column).isNotNull(), F.struct("n", order))
         return F.max_by(column, present)
 

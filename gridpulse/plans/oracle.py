@@ -66,7 +66,8 @@ def scaled(standardize: bool) -> str:
     def co(i, j):
         return f"s{i} * s{i}" if i == j else f"c{i}{j}"
     if standardize:
-        head = each("a{i} AS mean{i}, CASE WHEN s{i} <= 1e-12 THEN 1.0::DOUBLE ELSE s{i} END AS scale{i}")
+        head = each("a{i} AS mean{i}, CASE WHEN s{i} <= greatest(1e-12, n_train * abs(a{i}) * 2.0::DOUBLE ** -52) "
+                    "THEN 1.0::DOUBLE ELSE s{i} END AS scale{i}")
         cells = [f"({co(i, j)}) / (scale{i} * scale{j}) AS m{i}{j}" for i, j in PAIRS]
     else:
         head = each("0.0::DOUBLE AS mean{i}, 1.0::DOUBLE AS scale{i}")

@@ -59,7 +59,7 @@ def run(
     traffic = staged(build_traffic(ingested), "traffic", clustered=True)
     require_rows(traffic, "the panel")
     if check:
-        require_clean(traffic)
+        require_clean(traffic, known_unique=True)
     weeks = staged(select_reference_weeks(traffic, num_weeks, mad_threshold), "reference_weeks")
     detector = SubspaceDetector(traffic, weeks, n_components, anomaly_threshold)
     model = None

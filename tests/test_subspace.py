@@ -136,6 +136,14 @@ def test_constant_feature_has_unit_scale(frame):
     assert [(r.internet_traffic, round(r.severity_score, 9)) for r in found] == [(8.0, 3.0)]
 
 
+def test_rounding_noise_is_a_constant(frame):
+    noisy = [100000.1, np.nextafter(100000.1, 2e5), 100000.1, np.nextafter(100000.1, 0)]
+    train = [(1, 2, noisy[0]), (3, 1, noisy[1]), (2, 4, noisy[2]), (5, 5, noisy[3])]
+    traffic, refs = one_cell(frame, train, [(2, 2, 100000.1), (2, 2, 100003.1)])
+    assert subspace.fit(traffic, refs).first().scale[2] == 1.0
+    assert [round(r.severity_score, 6) for r in subspace.detect(traffic, refs).collect()] == [3.0]
+
+
 def test_full_rank_flags_nothing(frame):
     traffic, refs = one_cell(frame, [(1, 2, 5), (3, 1, 6), (2, 4, 9), (5, 5, 1), (7, 1, 2)], [(900, -3, 44)])
     assert subspace.detect(traffic, refs, n_components=3).count() == 0
