@@ -41,16 +41,9 @@ def raw_residual(features: Sequence[str]) -> Column:
     Every operand occurs once (hence the power instead of a product): a filter on this value is
     merged into the join before it, where nothing removes repeated terms.
     """
-    p = len(features)
-    squares = None
-    for i in range(p):
-        part = None
-        for j, f in enumerate(features):
-            term = F.col(f"_r{i}_{j}") * (F.col(f) - F.col(f"_m{j}"))
-            part = term if part is None else part + term
-        square = F.pow(part, F.lit(2.0))
-        squares = square if squares is None else squares + square
-    return F.sqrt(squares)
+    p = range(len(features))
+    parts = [" + ".join(f"_r{i}_{j} * (`{features[j]}` - _m{j})" for j in p) for i in p]
+    return F.expr("sqrt(" + " + ".join(f"power({part}, 2.0D)" for part in parts) + ")")
 
 
 def principal_axes(k: int, p: int):

@@ -63,52 +63,45 @@ def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, Column]:
     return out
 
 
-def scaler(train: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
-    """Per cell mean and population standard deviation of each feature; the scale of a constant is 1."""
-    aggregates = moment_aggregates(features)
-    wanted = {n: a for n, a in aggregates.items() if not n.startswith("co_")}
-    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in wanted.items()])
-    return sums.select(key, "n_train", *_scaler_columns(len(features)))
-
-
-def _scale(i: int) -> Column:
-    """The spread, or 1 where it is no more than the rounding error of n values of this size."""
-    rounding = F.col("n_train") * F.abs(f"mean_{i}") * F.lit(DOUBLE_EPSILON)
-    spread = F.col(f"spread_{i}")
-    return F.when(spread <= F.greatest(rounding, F.lit(ZERO_SCALE)), F.lit(1.0)).otherwise(spread)
-
-
-def _scaler_columns(p: int) -> list[Column]:
-    return [
-        F.array(*[F.col(f"mean_{i}") for i in range(p)]).alias("mean"),
-        F.array(*[_scale(i) for i in range(p)]).alias("scale"),
-    ]
+def _scaled_sums(train: DataFrame, aggregates: dict[str, Column], features: Sequence[str], key: str) -> DataFrame:
+    """The aggregates per cell, with the scale of each feature: its spread, or 1 where that is no
+    more than the rounding error of n values of the feature's size."""
+    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    scale = (
+        "CASE WHEN spread_{i} <= greatest(n_train * abs(mean_{i}) * %r, %r) THEN 1.0D ELSE spread_{i} END"
+        % (DOUBLE_EPSILON, ZERO_SCALE)
+    )
+    return sums.withColumns({f"scale_{i}": F.expr(scale.format(i=i)) for i in range(len(features))})
 
 
-def _moment_matrix(p: int, standardize: bool) -> Column:
-    """Flat second-moment matrix of the rows as the model sees them."""
+def scaler(train: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
+    """Per cell mean and population standard deviation of each feature; the scale of a constant is 1."""
+    wanted = {n: a for n, a in moment_aggregates(features).items() if not n.startswith("co_")}
+    p = range(len(features))
+    return _scaled_sums(train, wanted, features, key).select(
+        key, "n_train", F.array(*[f"mean_{i}" for i in p]).alias("mean"), F.array(*[f"scale_{i}" for i in p]).alias("scale")
+    )
 
-    def entry(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
-        co = F.col(f"co_{i}_{j}") if i != j else F.pow(f"spread_{i}", F.lit(2.0))
-        if standardize:
-            return co / (_scale(i) * _scale(j))
-        return co + F.col(f"mean_{i}") * F.col(f"mean_{j}")
 
-    return F.array(*[entry(i, j) for i in range(p) for j in range(p)])
+def _moment(i: int, j: int, standardize: bool) -> Column:
+    """Entry of the second-moment matrix of the rows as the model sees them."""
+    i, j = min(i, j), max(i, j)
+    co = f"co_{i}_{j}" if i != j else f"spread_{i} * spread_{i}"
+    return F.expr(f"{co} / (scale_{i} * scale_{j})" if standardize else f"{co} + mean_{i} * mean_{j}")
 
 
 def moment_matrix(
     train: DataFrame, standardize: bool = True, features: Sequence[str] = FEATURES, key: str = KEY
 ) -> DataFrame:
-    """``(cell_id, mean, scale, moments)``, one row per cell with training rows."""
-    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in moment_aggregates(features).items()])
-    p = len(features)
-    mean, scale = _scaler_columns(p)
+    """``(cell_id, mean, scale, moments)``, one row per cell with training rows; ``moments`` is flat."""
+    p = range(len(features))
+    mean, scale = [F.col(f"mean_{i}") for i in p], [F.col(f"scale_{i}") for i in p]
     if not standardize:
-        mean = F.array(*[F.lit(0.0)] * p).alias("mean")
-        scale = F.array(*[F.lit(1.0)] * p).alias("scale")
-    return sums.select(key, mean, scale, _moment_matrix(p, standardize).alias("moments"))
+        mean, scale = [F.lit(0.0) for _ in p], [F.lit(1.0) for _ in p]
+    return _scaled_sums(train, moment_aggregates(features), features, key).select(
+        key, F.array(*mean).alias("mean"), F.array(*scale).alias("scale"),
+        F.array(*[_moment(i, j, standardize) for i in p for j in p]).alias("moments"),
+    )
 
 
 class SubspaceDetector:
@@ -130,8 +123,7 @@ class SubspaceDetector:
         # The same columns and filter feed every pass, so a shuffled panel is one exchange for all of
         # them. A clean panel has no NULLs; a row with one could be neither trained on nor scored.
         panel = traffic.select(key, time, *features)
-        for column in panel.columns:
-            panel = panel.where(F.col(column).isNotNull())
+        panel = panel.where(" AND ".join(f"`{c}` IS NOT NULL" for c in panel.columns))
         self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit, part_rows)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
