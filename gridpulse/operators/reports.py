@@ -1,4 +1,7 @@
-"""Reports as ordered ``(position, section, key, value)`` tables built from small aggregates."""
+"""Reports as ordered ``(position, section, key, value)`` tables built from small aggregates.
+
+The line titles and number formats are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridpulse.operators import timeline
 from gridpulse.operators.cells import COUNT_METRIC, cell_stats, classify, extreme_cells, usable_metrics
+from gridpulse.operators.distribution import histogram
+from gridpulse.operators.geo import centroid_points, class_features, extreme_features
 from gridpulse.operators.quality import require_clean
-from gridpulse.operators.reports import classification_report, extreme_report
+from gridpulse.operators.reports import cell_report, classification_report, extreme_report
 from gridpulse.operators.subspace import SubspaceDetector
 from gridpulse.operators.summary import anomaly_summary
 from gridpulse.operators.traffic import build_traffic
 from gridpulse.operators.weeks import select_reference_weeks
+from gridpulse.schemas import TIME
 from gridpulse.session import configure, shared_dir
-from gridpulse.sinks import write_clustered, write_parquet
+from gridpulse.sinks import write_balanced, write_clustered, write_parquet
 from gridpulse.sources.raw import ingest, require_rows
 
 # The metrics a map run classifies by unless told otherwise.
@@ -27,6 +31,10 @@ def _folder(spark: SparkSession, given: str | None, kind: str) -> str:
     return (given or fresh).rstrip("/")
 
 
+def _write_zstd(df: DataFrame, path: str) -> None:
+    write_parquet(df, path, codec="zstd")
+
+
 def run(
     spark: SparkSession, raw_dir: str | None = None, ingested: DataFrame | None = None, out_dir: str | None = None,
     n_components: int = 2, anomaly_threshold: float = 2.0, num_weeks: int = 4, mad_threshold: float = 1.5,
@@ -43,20 +51,16 @@ def run(
     configure(spark)
     out = _folder(spark, out_dir, "run")
 
-    def staged(df: DataFrame, name: str, clustered: bool = False) -> DataFrame:
-        path = f"{out}/{name}"
-        if clustered:
-            write_clustered(df, path)
-        else:
-            write_parquet(df, path, codec="zstd")
-        return spark.read.schema(df.schema).parquet(path)
+    def staged(df: DataFrame, name: str, write: Callable[[DataFrame, str], None] = _write_zstd) -> DataFrame:
+        write(df, f"{out}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
     tables = {}
     if ingested is None:
         ingested = ingest(spark, raw_dir)
         if keep_ingested:
             ingested = tables["ingested"] = require_rows(staged(ingested, "ingested"), "the raw files")
-    traffic = staged(build_traffic(ingested), "traffic", clustered=True)
+    traffic = staged(build_traffic(ingested), "traffic", write_clustered)
     require_rows(traffic, "the panel")
     if check:
         require_clean(traffic, known_unique=True)
@@ -65,7 +69,7 @@ def run(
     model = None
     if keep_model:
         model = tables["model"] = staged(detector.model(), "model")
-    anomalies = staged(detector.anomalies(model), "anomalies", clustered=True)
+    anomalies = staged(detector.anomalies(model), "anomalies", write_balanced)
     return tables | {
         "traffic": traffic, "reference_weeks": weeks, "anomalies": anomalies, "summary": anomaly_summary(anomalies),
     }
@@ -75,20 +79,48 @@ def map_tables(
     spark: SparkSession, anomalies: DataFrame, grid: DataFrame, out_dir: str | None = None,
     metrics: Sequence[str] = MAP_METRICS, extremes: bool = True,
 ) -> dict[str, DataFrame]:
-    """Cell statistics, one classification and report per metric, and the extreme cells.
+    """Cell statistics; per metric the classes, their report, GeoJSON features and centroid points;
+    the extreme cells with report and features.
 
+    Tables that several others read (statistics, grid, classes) are written to ``out_dir`` first.
     A metric that is no column of the statistics is left out of the result.
     """
+    configure(spark)
     out = _folder(spark, out_dir, "map")
-    computed = cell_stats(anomalies)
-    write_parquet(computed, f"{out}/cell_stats", codec="zstd")
-    stats = spark.read.schema(computed.schema).parquet(f"{out}/cell_stats")
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        _write_zstd(df, f"{out}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    stats, grid = staged(cell_stats(anomalies), "cell_stats"), staged(grid, "grid")
     tables = {"cell_stats": stats}
     for metric in usable_metrics(stats, metrics):
-        classified = classify(stats, grid, metric)
-        tables[f"classified_{metric}"] = classified
-        tables[f"report_{metric}"] = classification_report(classified)
+        classified = staged(classify(stats, grid, metric), f"classified_{metric}")
+        tables |= {
+            f"classified_{metric}": classified,
+            f"report_{metric}": classification_report(classified),
+            f"features_{metric}": class_features(grid, classified, metric),
+            f"points_{metric}": centroid_points(grid, classified),
+        }
     if extremes:
-        tables["extreme_cells"] = extreme_cells(stats)
-        tables["report_extreme"] = extreme_report(stats, tables["extreme_cells"])
+        found = staged(extreme_cells(stats), "extreme_cells")
+        tables |= {
+            "extreme_cells": found, "report_extreme": extreme_report(stats, found),
+            "features_extreme": extreme_features(grid, found),
+        }
     return tables
+
+
+def timeline_tables(anomalies: DataFrame, cell_id: int | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
+    """Everything about one cell, by default the one with most anomalies, out of one written table."""
+    spark = configure(anomalies.sparkSession)
+    out = _folder(spark, out_dir, "cell")
+    found = timeline.cell_rows(anomalies, cell_id)
+    _write_zstd(found, f"{out}/cell_rows")
+    rows = spark.read.schema(found.schema).parquet(f"{out}/cell_rows")
+    return {
+        "timeline": rows.orderBy(TIME), "report": cell_report(rows), "guides": timeline.severity_guides(rows),
+        "daily": timeline.daily_stats(rows), "hourly": timeline.hourly_stats(rows), "weekday": timeline.weekday_stats(rows),
+        "peak_hours": timeline.peak_hours(rows), "traffic": timeline.traffic_stack(rows),
+        "severity": histogram(rows, "severity_score", density=True),
+    }

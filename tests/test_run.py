@@ -53,8 +53,15 @@ def test_run_from_raw_files(spark, tmp_path):
     short = stages.run(spark, str(tmp_path / "raw"), keep_ingested=False, keep_model=False)
     assert sorted(short) == ["anomalies", "reference_weeks", "summary", "traffic"] and short["anomalies"].count() == 89
     maps = stages.map_tables(spark, tables["anomalies"], panels.grid(spark, SF_DIR), metrics=("anomaly_count", "nothing"))
-    assert sorted(maps) == ["cell_stats", "classified_anomaly_count", "extreme_cells", "report_anomaly_count", "report_extreme"]
+    assert sorted(maps) == [
+        "cell_stats", "classified_anomaly_count", "extreme_cells", "features_anomaly_count", "features_extreme",
+        "points_anomaly_count", "report_anomaly_count", "report_extreme"]
+    assert maps["features_extreme"].count() == maps["features_anomaly_count"].count() == 150
     assert maps["classified_anomaly_count"].count() == 150
+    cell = stages.timeline_tables(tables["anomalies"])
+    assert cell["timeline"].count() == 14 and cell["weekday"].count() == 7
+    assert cell["severity"].agg(F.sum("n")).first()[0] == 14
+    assert cell["report"].where("key = 'Cell ID'").first().value == "2"
 
 
 def test_staged_tables_live_in_the_shared_folder(spark):

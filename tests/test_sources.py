@@ -97,6 +97,13 @@ def test_clustered_table_prunes_by_cell(spark, tmp_path):
     assert "EqualTo(cell_id,7)" in plan
 
 
+def test_balanced_table_runs_its_input_once(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") % 7).alias("cell_id"), "id")
+    sinks.write_balanced(df, str(tmp_path / "a"))
+    assert sorted(spark.read.parquet(str(tmp_path / "a")).collect()) == sorted(df.collect())
+    assert "REBALANCE" in df.hint("rebalance", "cell_id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_format_by_extension_and_preview(spark, frame, tmp_path):
     df = frame([(i, i * 0.5) for i in range(9)], "cell_id bigint, x double")
     for name in ("t.csv", "t.parquet"):
