@@ -98,6 +98,14 @@ def test_partitioning_does_not_matter(panel):
     assert key(a) == key(b)
 
 
+def test_severity_exceeds_the_threshold_where_there_is_a_spread(panel):
+    _, traffic, refs, _ = panel
+    detector = subspace.SubspaceDetector(traffic, refs, 1, anomaly_threshold=1.5)
+    spread = detector.model().where("std_error > 0").select("cell_id", "threshold", "mean_error", "std_error")
+    rows = detector.anomalies().join(spread, "cell_id").collect()
+    assert rows and all(r.severity_score > 1.5 and r.anomaly_score > r.threshold >= r.mean_error for r in rows)
+
+
 def test_mark_and_training_rows(panel):
     _, traffic, refs, trained = panel
     for limit in (100_000, 0):
