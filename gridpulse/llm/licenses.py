@@ -7,8 +7,8 @@ window's shingles, so the chance to miss it is (1-J)**BANDS, under 1e-6 for the
 one of which just 0.8 is there. Candidates are verified by exact shingle containment over the
 whole text: found means that at least 0.8 of the template's distinct shingles occur.
 
-Only a window that holds a template's minimal shingle can agree with it, so texts without any word of such a shingle,
-the longest of each, are left out before windows are made. That filter is exact and reads no table.
+Only a window that holds a template's minimal shingle can agree with it. So texts without one are left out first,
+by one regular expression for all of them, and bands are taken of the windows around minimal shingles. Both are exact.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased; a template of fewer
 than five words is one shingle of them all and is looked for at that length.
@@ -68,11 +68,15 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def shingle_array(found: Column, size: int) -> Column:
-    """All stretches of ``size`` words of an array."""
-    last = F.size(found) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(size)), " "))
+def shingle_at(found: Column, place: Column, size: int) -> Column:
+    """The ``size`` words of an array from a place on, counted from 0."""
+    return F.concat_ws(" ", *[F.get(found, place + k) for k in range(size)])
+
+
+def shingle_array(found: Column, first: Column, last: Column, size: int) -> Column:
+    """The stretches of ``size`` words that start at ``first`` to ``last``."""
+    starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: shingle_at(found, i, size))
 
 
 def minima(shingles: Column) -> Column:
@@ -115,6 +119,27 @@ def prepare(spark: SparkSession, templates: dict[str, str]) -> list[Template]:
     ]
 
 
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+
+
+def any_of(shingles: list[str]) -> str:
+    """A regular expression for any of some shingles between separators, as a tree of their common beginnings."""
+
+    def branch(rest: set[str]) -> str:
+        # Runs of one possible character are written out; a fork lists its characters; an end is empty.
+        out = ""
+        while len(rest) >= 1 and len({r[:1] for r in rest}) == 1:
+            first = next(iter(rest))[:1]
+            if not first:
+                return out
+            out += f"{SEPARATOR}+" if first == " " else re.escape(first)
+            rest = {r[1:] for r in rest}
+        forks = sorted({r[:1] for r in rest})
+        return out + "(?:" + "|".join(branch({r for r in rest if r[:1] == c}) for c in forks) + ")"
+
+    return f"(?:^|{SEPARATOR}){branch(set(shingles))}(?:$|{SEPARATOR})"
+
+
 def texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -122,27 +147,37 @@ def texts(values: list[str]) -> Column:
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per row: doc_id, n_licenses and the sorted, comma-joined names of the templates it holds. No shuffle."""
     known = prepare(ready(documents.sparkSession), TEMPLATES if templates is None else templates)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text")).alias("words"))
-    anchors = sorted({max(s.split(" "), key=lambda w: (len(w), w)) for t in known for s in t.minimal})
-    # Texts without an anchor agree with no template in any band.
-    rows = rows.withColumn("words", F.when(F.arrays_overlap("words", texts(anchors)), F.col("words"))) if known else rows
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not known:
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"))
+    likely = F.lower("text").rlike(any_of([s for t in known for s in t.minimal]))
+    rows = rows.select("doc_id", F.when(likely, word_array(F.col("text"))).alias("words"))
+    sizes = sorted({t.size for t in known})
+    for size in sizes:
+        # Where a template's minimal shingle stands; null in all other texts, so that nothing below runs for them.
+        minimal = sorted({s for t in known if t.size == size for s in t.minimal})
+        last = F.size("words") - size
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last))
+        hits = F.filter(starts, lambda i: shingle_at(F.col("words"), i, size).isin(minimal))  # noqa: B023
+        rows = rows.withColumn(f"hits_{size}", hits)
+        rows = rows.withColumn(f"hits_{size}", F.when(F.size(f"hits_{size}") > 0, F.col(f"hits_{size}")))
     kinds = sorted({(t.half, t.size) for t in known})
     for half, size in kinds:
-        own = [t for t in known if (t.half, t.size) == (half, size)]
-        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(half))
-        wanted = texts(sorted({s for t in own for s in t.minimal}))
-        windows = F.transform(starts, lambda i: shingle_array(F.slice("words", i + 1, F.lit(2 * half)), size))  # noqa: B023
-        hopeful = F.filter(windows, lambda w: F.arrays_overlap(w, wanted))  # noqa: B023
-        rows = rows.withColumn(f"bands_{half}_{size}", F.transform(hopeful, minima))
-    for size in sorted({t.size for t in known}):
+        last = F.size("words") - size
+        nth = F.transform(f"hits_{size}", lambda p: F.array(F.floor(p / half).cast("int"), F.floor(p / half).cast("int") - 1))  # noqa: B023
+        windows = F.filter(F.array_distinct(F.flatten(nth)), lambda k: k >= 0)
+        sets = F.transform(windows, lambda k: shingle_array(  # noqa: B023
+            F.col("words"), k * half, F.least(k * half + 2 * half - size, last), size))  # noqa: B023
+        rows = rows.withColumn(f"bands_{half}_{size}", F.transform(sets, minima))
+    for size in sizes:
         rows = rows.withColumn(f"shingles_{size}", F.when(
-            F.greatest(*[F.size(f"bands_{h}_{s}") for h, s in kinds if s == size], F.lit(0)) > 0, shingle_array(F.col("words"), size)))
+            F.size(f"hits_{size}") > 0, F.array_distinct(shingle_array(F.col("words"), F.lit(0), F.size("words") - size, size))))
 
     def held(t: Template) -> Column:
         agrees = F.exists(f"bands_{t.half}_{t.size}", lambda m: F.arrays_overlap(m, F.array(*[F.lit(x) for x in t.minima])))
         contained = F.size(F.array_intersect(f"shingles_{t.size}", texts(t.shingles)))
         return F.when(agrees & (contained >= F.lit(CONTAINED * len(t.shingles))), F.lit(t.name))
 
-    names = F.array_compact(F.array(*[held(t) for t in known])) if known else F.array().cast("array<string>")
+    names = F.array_compact(F.array(*[held(t) for t in known]))
     return rows.select("doc_id", names.alias("licenses")).select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
