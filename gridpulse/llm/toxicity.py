@@ -1,8 +1,7 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text.
 
 Each class model has a word's continuation count: in how many different contexts (preceding words)
-the class uses it. Counts are discounted by the modified Kneser-Ney estimates, words met in one context
-only give up all of their mass, and what the discounts free goes to a backoff distribution that both
+the class uses it. Counts are discounted by the modified Kneser-Ney estimates, and what the discounts free goes to a backoff distribution that both
 classes share: in how many documents of the whole corpus a word occurs. A word's log-ratio of the two
 models is averaged over the text and over its strongest stretches of 1, 4 and 12 words (the
 length-normalised likelihood ratios), and a logistic curve over the four averages gives the score.
@@ -16,8 +15,8 @@ each class for the counts and ``calibration`` other rows for the curve. The shar
 cover every row of the corpus and are kept in 2**SLOT_BITS hashed slots, so the model's size is
 fixed; a word's share of a slot stays the same as the corpus grows.
 
-Defined cases: null and wordless texts score as four zero averages do; without a toxic or an ordinary
-sample row every score is the share of toxic rows in the samples (0 without any); conflicting labels of
+Defined cases: null and wordless texts score the share of toxic rows in the samples (0 without any), as
+does every text when there is no toxic or no ordinary sample row to learn from; conflicting labels of
 an id count as toxic; repeated rows score alike; rows without doc_id are not held out and teach nothing;
 extra columns are ignored; empty tables give empty results.
 """
@@ -56,6 +55,7 @@ class Model(NamedTuple):
     centre: np.ndarray
     spread: np.ndarray
     curve: np.ndarray
+    toxic_share: float
 
 
 def id_hash(doc_id: Column) -> Column:
@@ -78,8 +78,7 @@ def class_model(hashes: list[np.ndarray]) -> ClassModel:
     key, count = np.unique(right[first], return_counts=True)
     n1, n2, n3, n4 = (max(1, int((count == k).sum())) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    # Words met once or twice teach a class little in a ratio: one context frees all its mass.
-    discount = np.array([0, 1, np.clip(2 - 3 * y * n3 / n2, 1.6, 2), np.clip(3 - 4 * y * n4 / n3, 1, 3)])[np.minimum(count, 3)]
+    discount = np.array([0, *(np.clip(k - (k + 1) * y * b / a, 0.1, k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])[np.minimum(count, 3)]
     total = max(1, count.sum())
     return ClassModel(key, np.maximum(count - discount, 0) / total, float(discount.sum() / total))
 
@@ -111,18 +110,26 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps with a small ridge: centre, spread, weights with the constant last."""
+    """Logistic regression by Newton steps with a small ridge: centre, spread, weights with the constant last.
+
+    A larger ratio never lowers the score: features that would are left out and the rest fitted again.
+    """
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - centre) / spread, np.ones(len(x))])
-    weights, ridge = np.zeros(z.shape[1]), 0.1
-    for _ in range(40):
-        p = logistic(z @ weights)
-        slope = z.T @ (p - y) + ridge * weights
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(weights)), slope)
-        weights -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return centre, spread, weights
+    used, ridge = np.ones(z.shape[1], bool), 0.1
+    while True:
+        weights = np.zeros(z.shape[1])
+        own = z[:, used]
+        for _ in range(40):
+            p = logistic(own @ weights[used])
+            slope = own.T @ (p - y) + ridge * weights[used]
+            step = np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + ridge * np.eye(own.shape[1]), slope)
+            weights[used] -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-9:
+                break
+        if (weights[:-1] >= 0).all():
+            return centre, spread, weights
+        used[:-1] &= weights[:-1] >= 0
 
 
 def shared_counts(documents: DataFrame) -> np.ndarray:
@@ -186,7 +193,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
     shared = (counts + 1) / (counts.sum() + len(counts))
     share = sum(t for t, _, _ in hashed) / len(hashed) if hashed else 0.0
     width = 1 + len(STRETCHES)
-    flat = Model(None, None, shared, np.zeros(width), np.ones(width), np.append(np.zeros(width), np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    flat = Model(None, None, shared, np.zeros(width), np.ones(width), np.zeros(width + 1), share)
     if not toxic or not ordinary:
         return flat
     model = flat._replace(toxic=class_model(toxic), ordinary=class_model(ordinary))
@@ -201,14 +208,15 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
     """The score of each text."""
     if model.toxic is None:
-        return np.full(len(texts), logistic(model.curve[-1:])[0])
-    out = []
+        return np.full(len(texts), model.toxic_share)
+    out, sizes = [], []
     for _, part in blocks(texts):
         block = words(part, LETTERS_AND_DIGITS)
         ratios = log_ratios(block.hash, model)
         out += [features(ratios[a:b]) for a, b in zip(block.offset[:-1], block.offset[1:], strict=True)]
+        sizes += np.diff(block.offset).tolist()
     x = (np.array(out).reshape(len(out), 1 + len(STRETCHES)) - model.centre) / model.spread
-    return logistic(x @ model.curve[:-1] + model.curve[-1])
+    return np.where(np.array(sizes) > 0, logistic(x @ model.curve[:-1] + model.curve[-1]), model.toxic_share)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, **sizes: int) -> DataFrame:
