@@ -49,9 +49,10 @@ def raw_residual(features: Sequence[str]) -> Column:
 def principal_axes(k: int, p: int):
     """Pandas UDF: flat p×p second-moment matrix of one cell to its axes and the map onto the rest.
 
-    One row per cell, decomposed a batch at a time. Kept are at most k axes whose eigenvalue is above
-    round-off, and with them any that equal the last one kept, because a tie has no first axis. The
-    map I - VVᵀ onto the rest does not depend on the sign or order of the axes; the axes are signed so
+    One row per cell, decomposed a batch at a time. Kept are the first k axes whose eigenvalue is above
+    round-off. Equal eigenvalues have no axes of their own, so where the cut falls among them their space
+    gets the axes that its projections of the coordinate axes give, in the order of the features. The
+    map I - VVᵀ onto the rest does not depend on the sign of the axes; the axes are signed so
     that their largest entry is positive. The function refers to nothing in this package, so executors
     need not have it installed.
     """
@@ -62,11 +63,21 @@ def principal_axes(k: int, p: int):
         matrices = np.stack(moments.to_numpy()).astype(float).reshape(-1, p, p)
         fine = np.isfinite(matrices).all(axis=(1, 2))
         values, vectors = np.linalg.eigh(np.where(fine[:, None, None], matrices, 0.0))
-        values, vectors = values[:, ::-1], np.swapaxes(vectors, 1, 2)[:, ::-1, :]
+        values, vectors = values[:, ::-1], np.swapaxes(vectors, 1, 2)[:, ::-1, :].copy()
+        cut = min(k, p)
+        for i in np.flatnonzero((values[:, cut - 1] > tiny) & (values[:, cut - 1] - values[:, min(cut, p - 1)] <= tiny)) if cut < p else ():
+            tied = np.flatnonzero(np.abs(values[i] - values[i, cut - 1]) <= tiny)
+            held = []
+            for axis in (vectors[i, tied].T @ vectors[i, tied]):
+                for other in held:
+                    axis = axis - (axis @ other) * other
+                if len(held) < len(tied) and np.linalg.norm(axis) > 1e-6:
+                    held.append(axis / np.linalg.norm(axis))
+            if len(held) == len(tied):
+                vectors[i, tied] = held
         largest = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
         vectors = vectors * np.where(largest < 0, -1.0, 1.0)
-        floor = np.maximum(values[:, min(k, p) - 1] - tiny, tiny)
-        rank = (values > floor[:, None]).sum(axis=1)
+        rank = np.minimum((values > tiny).sum(axis=1), cut)
         dropped = vectors * (np.arange(p)[None, :] >= rank[:, None])[:, :, None]
         outside = np.einsum("nij,nik->njk", dropped, vectors).reshape(-1, p * p)
         rows = [

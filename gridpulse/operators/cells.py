@@ -27,8 +27,9 @@ def extreme_threshold(anomalies: DataFrame, extreme_q: float = 0.99, one_task: i
 
 
 def extreme_anomalies(anomalies: DataFrame, threshold: float | None) -> DataFrame:
-    """Anomalies at or above the threshold; the literal reaches the Parquet scan."""
-    return anomalies.where(F.col("severity_score") >= F.lit(threshold).cast("double"))
+    """Anomalies at or above the threshold; the literal reaches the Parquet scan. NaN is not above anything."""
+    severity = F.col("severity_score")
+    return anomalies.where((severity >= F.lit(threshold).cast("double")) & ~F.isnan(severity))
 
 
 def cell_stats(
@@ -39,7 +40,8 @@ def cell_stats(
     then needs a single pre-aggregated grouping for everything else."""
     if threshold is None:
         threshold = extreme_threshold(anomalies, extreme_q)
-    severity = F.col("severity_score")
+    # A severity that is NaN counts for nothing.
+    severity = F.nanvl("severity_score", F.lit(None).cast("double"))
     extreme = severity >= F.lit(threshold).cast("double")
     n, avg, peak = F.col("anomaly_count"), F.col("avg_severity"), F.col("max_severity")
     w_total, w_peak, w_count = weights

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.schemas import CONTRACTS, FEATURES, KEY, TIME, VALUE_RANGES
+from gridpulse.sources.raw import non_finite
 
 FINDING = "check string, subject string, level string, n bigint"
 ERROR, WARNING, INFO = "error", "warning", "info"
@@ -24,16 +25,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = (KEY, TIME)) -> DataFram
 
 
 def column_profile(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]] = VALUE_RANGES) -> DataFrame:
-    """``(column, rows, nulls, min_value, max_value, violations)`` of every column in one pass.
+    """``(column, rows, nulls, non_finite, min_value, max_value, violations)`` of every column in one pass.
 
-    Extremes and violations are NULL for a column without a range."""
+    ``non_finite`` counts NaN and infinities, which are no NULLs and fit no range. Extremes and violations are NULL for a column without a range."""
     profiles = []
     for c in df.columns:
         x = _scalar_key(df, c)
+        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
         ranged = c in ranges
         none = F.lit(None).cast("double")
         profiles.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"),
+            (F.count_if(non_finite(c)) if floating else F.lit(0).cast("bigint")).alias("non_finite"),
             (F.min(x).cast("double") if ranged else none).alias("min_value"),
             (F.max(x).cast("double") if ranged else none).alias("max_value"),
             (F.count_if(_outside(x, *ranges[c])) if ranged else F.lit(None).cast("bigint")).alias("violations"),
@@ -51,7 +54,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def require_clean(traffic: DataFrame, keys: Sequence[str] = (KEY, TIME), known_unique: bool = False) -> DataFrame:
-    """The gate after aggregation: duplicate keys or NULLs are errors.
+    """The gate after aggregation: duplicate keys, NULLs, NaN and infinities are errors.
 
     Looking for duplicates shuffles the whole panel; ``known_unique`` skips it for a panel that
     comes straight out of a grouping on the keys.
@@ -60,9 +63,11 @@ def require_clean(traffic: DataFrame, keys: Sequence[str] = (KEY, TIME), known_u
         duplicates = duplicate_keys(traffic, keys).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if duplicates:
             raise ValueError(f"{duplicates} rows share a key")
-    nulls = null_counts(traffic).agg(F.sum("nulls")).first()[0]
+    nulls, strange = column_profile(traffic, {}).agg(F.sum("nulls"), F.sum("non_finite")).first()
     if nulls:
         raise ValueError(f"{nulls} NULL values")
+    if strange:
+        raise ValueError(f"{strange} values are NaN or infinite")
     return traffic
 
 
@@ -72,6 +77,17 @@ def detect_contract(df: DataFrame) -> str | None:
     return max(fitting, key=lambda n: len(CONTRACTS[n].fieldNames()), default=None)
 
 
+def nearest_contract(df: DataFrame) -> str:
+    """The contract most of whose columns are present; of equals the one that misses fewer, then by name."""
+
+    def nearness(name: str) -> tuple[int, int, str]:
+        wanted = set(CONTRACTS[name].fieldNames())
+        present = len(wanted & set(df.columns))
+        return -present, len(wanted) - present, name
+
+    return min(CONTRACTS, key=nearness)
+
+
 def _compatible(found: T.DataType, wanted: T.DataType) -> bool:
     if isinstance(found, T.ArrayType):
         found = found.elementType
@@ -83,7 +99,7 @@ def _compatible(found: T.DataType, wanted: T.DataType) -> bool:
 
 
 def schema_findings(df: DataFrame, contract: str) -> list[tuple[str, str, str, int]]:
-    """Missing columns are errors; extra columns and incompatible types are warnings. Reads no data."""
+    """Missing columns are errors, incompatible types warnings, extra columns notes. Reads no data."""
     wanted = {f.name: f.dataType for f in CONTRACTS[contract].fields}
     found = {f.name: f.dataType for f in df.schema.fields}
     out = [("missing_column", c, ERROR, 1) for c in wanted if c not in found]
@@ -163,14 +179,46 @@ def stage_consistency(stages: Mapping[str, DataFrame], key: str = KEY, time: str
             F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("cells"),
             F.min(when).alias("first_time"), F.max(when).alias("last_time"),
         ).select(F.lit(i).alias("position"), F.lit(name).alias("stage"), "rows", "cells", "first_time", "last_time"))
+    # One row per stage: a window over them has the first stage's figures without reading it again.
     table = reduce(DataFrame.unionByName, rows)
-    cells, start, end = [rows[0].select(c).scalar() for c in ("cells", "first_time", "last_time")]
+    first = W.partitionBy(F.lit(0)).orderBy("position").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    cells, start, end = [F.first(c).over(first) for c in ("cells", "first_time", "last_time")]
     return table.withColumns({
         "same_cells": F.col("cells") == cells,
         "time_within": F.coalesce((F.col("first_time") >= start) & (F.col("last_time") <= end), F.lit(True)),
     })
 
 
+def reconcile_sums(ingested: DataFrame, traffic: DataFrame) -> DataFrame:
+    """Nothing is lost in aggregation: ``(feature, before, after)`` totals, one pass over each table."""
+    before = ingested.agg(*[
+        F.coalesce(F.sum(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)) if b is not None else a), F.lit(0.0)).alias(f)
+        for f, a, b in (
+            ("sms_total", F.col("sms_in"), F.col("sms_out")), ("calls_total", F.col("call_in"), F.col("call_out")),
+            ("internet_traffic", F.col("internet_traffic"), None))
+    ])
+    after = traffic.agg(*[F.coalesce(F.sum(f), F.lit(0.0)).alias(f) for f in FEATURES])
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias(name)) for f in FEATURES])
+        return df.select(F.explode(pairs).alias("p")).select("p.*")
+
+    return long(before, "before").join(long(after, "after"), "feature")
+
+
+def recheck(
+    stored: DataFrame, again: DataFrame, column: str, keys: Sequence[str] = (KEY, TIME), tolerance: float = 1e-6,
+) -> DataFrame:
+    """One row: records in both tables, only stored, only computed again, and those that differ by more
+    than ``tolerance`` of their size."""
+    left = stored.select(*keys, F.col(column).alias("_stored"), F.lit(True).alias("_a"))
+    right = again.select(*keys, F.col(column).alias("_again"), F.lit(True).alias("_b"))
+    apart = F.abs(F.col("_stored") - F.col("_again")) > tolerance * F.greatest(F.lit(1.0), F.abs("_stored"))
+    return left.join(right, list(keys), "full_outer").agg(
+        F.count_if(F.col("_a") & F.col("_b")).alias("both"), F.count_if(F.col("_b").isNull()).alias("only_stored"),
+        F.count_if(F.col("_a").isNull()).alias("only_again"), F.count_if(apart).alias("different"))
+
+
 def validate(
     df: DataFrame, contract: str = "auto", grid: DataFrame | None = None, null_warning: float = 0.0,
     null_error: float = 0.1, key: str = KEY,
@@ -178,12 +226,14 @@ def validate(
     """All checks on one stage table as ``(check, subject, level, n)``; no rows above ``info`` means fit.
 
     Nulls warn above ``null_warning`` and fail above ``null_error`` (shares of the rows); values
-    out of range warn; cells off the grid fail.
+    out of range warn; NaN, infinities and cells off the grid fail. A table that fits no contract is
+    compared with the nearest one, so that a missing column is named.
     """
     spark: SparkSession = df.sparkSession
     name = detect_contract(df) if contract == "auto" else contract
     if name is None:
-        return spark.createDataFrame([("unknown_schema", ",".join(df.columns), ERROR, 1)], FINDING)
+        unknown = [("unknown_schema", ",".join(df.columns), ERROR, 1)]
+        return spark.createDataFrame(unknown + schema_findings(df, nearest_contract(df)), FINDING)
     parts = [schema_check(df, name)]
     level = F.when(null_share() > null_error, ERROR).when(null_share() > null_warning, WARNING)
     found = F.filter(F.array(
@@ -192,6 +242,10 @@ def validate(
             F.lit("range").alias("check"), F.col("column").alias("subject"),
             F.when(F.col("violations") > 0, WARNING).alias("level"), F.col("violations").alias("n"),
         ),
+        F.struct(
+            F.lit("non_finite").alias("check"), F.col("column").alias("subject"),
+            F.when(F.col("non_finite") > 0, ERROR).alias("level"), F.col("non_finite").alias("n"),
+        ),
     ), lambda f: f["level"].isNotNull())
     parts.append(column_profile(df).select(F.explode(found).alias("f")).select("f.*"))
     if "reference_week" in df.columns:

@@ -39,6 +39,7 @@ def exact_percentiles(
     bin, keep the bins that hold a wanted rank, bin those again, until each holds few values
     or a single one. Every round is a pre-aggregated scan whose result has at most ``bins``
     rows per wanted rank; bounds are the real min and max, so each round splits its bracket.
+    Infinities are counted at either end and only finite values are narrowed.
     """
     x = (F.col(column) if isinstance(column, str) else column).cast("double")
     values = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -51,15 +52,33 @@ def exact_percentiles(
 
     spots = [q * (n - 1) for q in probs]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    open_, done = [_Bracket(lo, hi, n, 0, ranks)], []
+    at = _at_ranks(values, n, ranks, one_task, bins)
+    return [_between(at[math.floor(s)], at[math.ceil(s)], s - math.floor(s)) for s in spots]
+
+
+def _between(low: float, high: float, share: float) -> float:
+    return low if low == high or share == 0 else low * (1 - share) + high * share
+
+
+def _at_ranks(values: DataFrame, n: int, ranks: list[int], one_task: int, bins: int) -> dict[int, float]:
+    """The values at some 0-based ranks."""
+    x, inf = F.col("x"), float("inf")
+    finite = values.where((x > F.lit(-inf)) & (x < F.lit(inf)))
+    least, size, lo, hi = values.agg(
+        F.count_if(x == F.lit(-inf)), F.count_if((x > F.lit(-inf)) & (x < F.lit(inf))),
+        F.min(F.when(x > F.lit(-inf), x)), F.max(F.when(x < F.lit(inf), x)),
+    ).first()
+    at = {r: -inf if r < least else inf for r in ranks if not least <= r < least + size}
+    inner = [r for r in ranks if r not in at]
+    open_, done = [_Bracket(lo, hi, size, least, inner)] if inner else [], []
     while open_:
         finished = [b for b in open_ if b.lo == b.hi or b.size <= one_task]
         done += finished
-        open_ = _narrow(values, [b for b in open_ if b not in finished], bins)
-    at = _values_at(values, done)
-    return [
-        at[math.floor(s)] * (1 - (s - math.floor(s))) + at[math.ceil(s)] * (s - math.floor(s)) for s in spots
-    ]
+        rest = [b for b in open_ if b not in finished]
+        open_ = _narrow(finite, rest, bins)
+        if any(b.size == r.size for b in open_ for r in rest if (b.lo, b.hi) == (r.lo, r.hi)):
+            raise ArithmeticError("a bracket of values does not shrink")
+    return at | _values_at(finite, done)
 
 
 def _numbered(brackets: list[_Bracket]) -> Column:
@@ -73,9 +92,15 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], bins: int) -> list[_Bra
     if not brackets:
         return []
     x, b = F.col("x"), F.col("b")
-    lo = F.element_at(F.array(*[F.lit(k.lo) for k in brackets]), b + 1)
-    width = F.element_at(F.array(*[F.lit(k.hi - k.lo) for k in brackets]), b + 1)
-    slot = F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1))
+    # Operands are halved where the distance of the bounds would overflow.
+    scales = [1.0 if math.isfinite(k.hi - k.lo) else 0.5 for k in brackets]
+
+    def of_bracket(numbers: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in numbers]), b + 1)
+
+    lo, scale = of_bracket([k.lo * s for k, s in zip(brackets, scales, strict=True)]), of_bracket(scales)
+    width = of_bracket([k.hi * s - k.lo * s for k, s in zip(brackets, scales, strict=True)])
+    slot = F.least(F.floor((x * scale - lo) / width * bins), F.lit(bins - 1))
     counts = (
         values.select("x", _numbered(brackets).alias("b")).where(b.isNotNull())
         .groupBy("b", slot.alias("slot"))

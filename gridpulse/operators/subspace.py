@@ -121,15 +121,41 @@ class SubspaceDetector:
         self.features, self.key, self.time = tuple(features), key, time
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
         # The same columns and filter feed every pass, so a shuffled panel is one exchange for all of
-        # them. A clean panel has no NULLs; a row with one could be neither trained on nor scored.
-        panel = traffic.select(key, time, *features)
-        panel = panel.where(" AND ".join(f"`{c}` IS NOT NULL" for c in panel.columns))
+        # them. A clean panel has no NULLs, NaN or infinities; a row with one could be neither trained on
+        # nor scored, and `losses` counts it.
+        self.given = traffic.select(key, time, *features)
+        panel = self.given.where(self._usable())
         self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit, part_rows)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(
             F.collect_set(label_number("reference_week")).alias("_weeks")
         )
 
+    def _usable(self) -> str:
+        finite = [f"abs(`{f}`) < double('Infinity')" for f in self.features]
+        return " AND ".join([f"`{self.key}` IS NOT NULL", f"`{self.time}` IS NOT NULL", *finite])
+
+    def losses(self, model: DataFrame | None = None) -> DataFrame:
+        """What detection leaves out, per cell: ``(cell, rows, rows_skipped, not_modelled)``.
+
+        Skipped are rows with a NULL, NaN or infinite value. ``not_modelled`` tells why a cell has no model:
+        no reference week, no usable row in its weeks, or values too large for their second moments.
+        Cells without losses are not listed.
+        """
+        usable = F.coalesce(F.expr(self._usable()), F.lit(False))
+        counts = self.given.groupBy(self.key).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(~usable).alias("rows_skipped"))
+        model = self.basis() if model is None else model
+        fitted = model.select(self.key, F.lit(True).alias("_fitted"), F.col("rank").isNotNull().alias("_finite"))
+        dated = self.weeks.select(self.key, F.lit(True).alias("_dated"))
+        why = (
+            F.when(F.col("_dated").isNull(), "no reference week").when(F.col("_fitted").isNull(), "no training row")
+            .when(~F.col("_finite"), "moments overflow")
+        )
+        table = counts.join(dated, self.key, "left").join(fitted, self.key, "left")
+        return table.select(self.key, "rows", "rows_skipped", why.alias("not_modelled")).where(
+            "rows_skipped > 0 OR not_modelled IS NOT NULL")
+
     def _training(self, table: DataFrame) -> DataFrame:
         joined = self.lookup.join(table)
         return joined.where(F.array_contains("_weeks", week_number(self.time)))
@@ -171,12 +197,14 @@ class SubspaceDetector:
         """Rows above their cell's threshold with the severity in standard deviations."""
         model = self.model() if model is None else model
         # Above the threshold after snapping is the same as above it and above round-off.
-        floor = F.greatest("threshold", F.lit(ZERO_RESIDUAL)).alias("_floor")
+        # Without a spread every training row has the threshold's own error, give or take round-off.
+        slack = F.when(F.col("std_error") == 0, F.lit(ZERO_RESIDUAL)).otherwise(F.lit(0.0))
+        floor = F.greatest(F.col("threshold") + slack, F.lit(ZERO_RESIDUAL)).alias("_floor")
         table = model.select(self.key, *flat_model(self.features), "mean_error", "std_error", floor)
         score = raw_residual(self.features).alias("anomaly_score")
         rows = self.lookup.join(table).select(
             self.key, self.time, score, *self.features, "mean_error", "std_error", "_floor"
-        ).where(F.col("anomaly_score") > F.col("_floor"))
+        ).where((F.col("anomaly_score") > F.col("_floor")) & (F.col("anomaly_score") < F.lit(float("inf"))))
         excess = F.col("anomaly_score") - F.col("mean_error")
         severity = F.when(F.col("std_error") != 0, excess / F.col("std_error")).otherwise(excess)
         return rows.select(self.key, self.time, "anomaly_score", *self.features, severity.alias("severity_score"))

@@ -22,9 +22,9 @@ def with_calendar(df: DataFrame, time: str = TIME) -> DataFrame:
 
 def describe(df: DataFrame, column: str, one_task: int = ONE_TASK_VALUES) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles as ``(position, statistic, value)``;
-    a column without values gives no rows."""
+    NaN is left out, as NULL is; a column without values gives no rows."""
     quartiles = exact_percentiles(df, column, (0.25, 0.50, 0.75), one_task)
-    x = F.col(column)
+    x = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
     row = df.agg(
         F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"),

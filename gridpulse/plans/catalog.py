@@ -6,6 +6,7 @@ Doubles are rounded to six digits so that results compare across engines; dates
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from gridpulse.operators import cells, distribution, geo, quality, reports, summ
 from gridpulse.operators import subspace as sub
 from gridpulse.operators.quantiles import exact_percentiles
 from gridpulse.plans import panels as p
-from gridpulse.schemas import FEATURES, KEY, TIME
-from gridpulse.sources import as_timestamp, finish_ingest, parse_lines, unwrap_key
+from gridpulse.schemas import ANOMALIES, FEATURES, KEY, TIME
+from gridpulse.sources import as_timestamp, finish_ingest, parse_grid, parse_lines, require_grid, unwrap_key
+from gridpulse.sources import ingest_losses as ingest_loss_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,8 +91,85 @@ def timestamp_parse(spark, sf):
     return as_timestamp(text)
 
 
+@query
+def ingest_losses(spark, sf):
+    """Records without a time or with one out of range, and values that are NaN or infinite."""
+    lines = p.event_lines(spark, sf).withColumn("line", F.regexp_replace("line", "\tbad\t", "\tNaN\t"))
+    return ingest_loss_counts(parse_lines(lines.withColumn("line", F.regexp_replace("line", "\tNULL\t", "\t-Infinity\t"))))
+
+
+@query
+def csv_table(spark, sf):
+    """Events as CSV text with a header's column order, read under the anomaly contract."""
+    row = F.concat_ws(",", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("1.5"), *["value"] * 3, F.lit(""))
+    contract = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ANOMALIES.fields)
+    rows = p.events(spark, sf).select(F.from_csv(row, contract, {"timestampFormat": "yyyy-MM-dd HH:mm:ss"}).alias("r"))
+    return comparable(as_timestamp(unwrap_key(rows.select("r.*"))))
+
+
+@query
+def grid_parse(spark, sf):
+    """The grid out of GeoJSON text, ids as numbers and as text, with the ring's corners."""
+    grid = require_grid(parse_grid(p.grid_lines(spark, sf)))
+    ring = F.col("geometry.coordinates")[0]
+    return comparable(grid.select(
+        KEY, F.col("geometry.type").alias("geometry_type"), F.size(ring).cast("bigint").alias("corners"),
+        ring[0][0].alias("west"), ring[0][1].alias("south"), ring[2][0].alias("east"), ring[2][1].alias("north")))
+
+
 # --- quality ----------------------------------------------------------------------------------
 
+@query
+def nearest_contract_findings(spark, sf):
+    """A traffic panel without one feature fits no contract: the missing column is named."""
+    return quality.validate(p.events_traffic(spark, sf).drop("calls_total"))
+
+
+@query
+def schema_findings(spark, sf):
+    """Order lines held against the traffic contract: what is missing, foreign or of another type."""
+    lines = p.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias(KEY), F.col("l_shipdate").cast("string").alias(TIME), F.col("l_quantity").alias(FEATURES[0]), "l_discount")
+    found = quality.schema_check(lines, "preprocessed")
+    return found.withColumn("rows", F.lit(lines.count()))
+
+
+@query
+def non_finite_profile(spark, sf):
+    """NULLs, NaN and infinities of each column are told apart."""
+    return quality.column_profile(p.imperfect_anomalies(spark, sf), {}).select("column", "rows", "nulls", "non_finite")
+
+
+@query
+def sum_reconciliation(spark, sf):
+    """Each feature's total before and after aggregation."""
+    return comparable(quality.reconcile_sums(p.events_ingested(spark, sf), p.events_traffic(spark, sf)), digits=4)
+
+
+@query
+def severity_recheck(spark, sf):
+    """Stored severities against those computed again from a freshly fitted model."""
+    detector = p.detector(spark, sf)
+    return quality.recheck(p.anomalies(spark, sf), detector.anomalies(), "severity_score")
+
+
+@query
+def stability_recheck(spark, sf):
+    """Stored stability scores against those computed again."""
+    again = weeks.select_reference_weeks(p.events_traffic(spark, sf))
+    return quality.recheck(p.events_weeks(spark, sf), again, "stability_score", ("cell_id", "reference_week"))
+
+
+@query
+def detection_losses(spark, sf):
+    """Rows and cells that detection leaves out, on a panel some of whose values are NaN or infinite."""
+    odd = F.when(F.col(KEY) % 5 == 1, F.lit(float("nan"))).when(F.col(KEY) % 5 == 2, F.lit(float("inf")))
+    first = F.dayofmonth(TIME) == 1
+    panel = p.events_traffic(spark, sf).withColumn("sms_total", F.when(first & odd.isNotNull(), odd).otherwise(F.col("sms_total")))
+    found = sub.SubspaceDetector(panel, p.events_weeks(spark, sf)).losses()
+    return found.withColumn("not_modelled", F.coalesce("not_modelled", F.lit("")))
+
+
 @query
 def dup_keys(spark, sf):
     return quality.duplicate_keys(p.events_ingested(spark, sf))
@@ -197,8 +276,8 @@ def weekly_mad(spark, sf):
 
 @query
 def norm_dev(spark, sf):
-    """Ratios whose MAD is not zero as they are; the others only as being over any threshold."""
-    shown = [F.when(F.col(f"{f}_norm_dev") < 1e6, F.col(f"{f}_norm_dev")).alias(f"{f}_norm_dev") for f in FEATURES]
+    """All ratios; the very large ones of a zero MAD by their logarithm, so that digits compare."""
+    shown = [F.when(x < 1e6, x).otherwise(F.log(x)).alias(f) for f, x in ((f"{f}_norm_dev", F.col(f"{f}_norm_dev")) for f in FEATURES)]
     return comparable(_deviations(spark, sf).select(KEY, "year_week", *shown))
 
 
@@ -421,6 +500,40 @@ def extreme_anomalies(spark, sf):
     return comparable(cells.extreme_anomalies(found, cells.extreme_threshold(found)).select(KEY, TIME, "severity_score"))
 
 
+@query
+def infinite_percentiles(spark, sf):
+    """Percentiles of values with infinities at both ends, by narrowing."""
+    probs = (0.02, 0.25, 0.5, 0.75, 0.98)
+    found = exact_percentiles(p.imperfect_anomalies(spark, sf), "severity_score", probs, one_task=100, bins=64)
+    row = p.imperfect_anomalies(spark, sf).agg(F.count("severity_score").alias("n"))
+    shown = [F.lit(v).cast("string") if abs(v) == float("inf") else F.round(F.lit(v), 6).cast("string") for v in found]
+    return row.select("n", *[v.alias(f"p{round(q * 100)}") for q, v in zip(probs, shown)])
+
+
+@query
+def stats_without_nan(spark, sf):
+    """Cell statistics where some severities are NaN: those count for nothing."""
+    rows = p.imperfect_anomalies(spark, sf).where(~(F.abs("severity_score") == float("inf")))
+    return comparable(cells.cell_stats(rows, threshold=100.0).select(
+        KEY, "anomaly_count", "avg_severity", "max_severity", "extreme_anomaly_count"))
+
+
+@query
+def empty_anomalies(spark, sf):
+    """The grid's statistics when no record is an anomaly: zeros in every cell and one class."""
+    none = p.anomalies(spark, sf).where("severity_score < 0")
+    return comparable(cells.classify(cells.cell_stats(none), p.grid(spark, sf)).select(KEY, "anomaly_count", "max_severity", "category"))
+
+
+@query
+def usable_metrics(spark, sf):
+    """Class counts for each wanted metric that the statistics have; unknown ones are passed over."""
+    stats, grid = p.stats(spark, sf), p.grid(spark, sf)
+    wanted = cells.usable_metrics(stats, ["anomaly_count", "no_such_metric", "avg_severity"])
+    parts = [cells.classify(stats, grid, m).groupBy("category").agg(F.count(F.lit(1)).alias("cells")).withColumn("metric", F.lit(m)) for m in wanted]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def severity_percentiles(spark, sf):
     """The bin-narrowing path of the exact percentiles, forced by a small one-task bound."""

@@ -93,11 +93,11 @@ EIGEN = """SELECT cell_id, p AS l, u0 AS x0, u1 AS x1, u2 AS x2 FROM jacobi WHER
 
 
 def axes(k: int) -> str:
-    """Kept: at most k eigenvalues above round-off, ties with the last one included."""
+    """Kept: the first k eigenvalues above round-off."""
     maps = ", ".join(f"sum(CASE WHEN kept THEN 0.0 ELSE x{i} * x{j} END) AS r{i}{j}" for i, j in PAIRS)
     return f"""SELECT cell_id, count(*) FILTER (kept) AS rank, max(l) FILTER (place = 1) AS l1,
         max(l) FILTER (place = 2) AS l2, max(l) FILTER (place = 3) AS l3, {maps}
-      FROM (SELECT *, l > greatest(max(CASE WHEN place = {min(k, 3)} THEN l END) OVER (PARTITION BY cell_id) - 1e-9, 1e-9) AS kept
+      FROM (SELECT *, l > 1e-9 AND place <= {min(k, 3)} AS kept
         FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY l DESC) AS place FROM eigen)) GROUP BY cell_id"""
 
 
@@ -121,7 +121,7 @@ def errors(t: float) -> str:
 SCORED = "SELECT s.*, e.mean_error, e.std_error, e.threshold FROM rescored s JOIN errors e ON s.cell_id = e.cell_id"
 ANOMALIES = f"""SELECT cell_id, timestamp, score AS anomaly_score, {', '.join(FEATURES)},
     CASE WHEN std_error <> 0 THEN (score - mean_error) / std_error ELSE score - mean_error END AS severity_score
-  FROM scored WHERE score > threshold"""
+  FROM scored WHERE score > threshold + CASE WHEN std_error = 0 THEN 1e-6 ELSE 0 END"""
 ANOMALY_COLUMNS = ", ".join(
     ["cell_id", "timestamp", r("anomaly_score"), *[r(f) for f in FEATURES], r("severity_score", digits=3)]
 )
@@ -346,7 +346,17 @@ ORACLE: dict[str, str] = {
     "ingest_parse": """SELECT date_trunc('milliseconds', ts)::TIMESTAMP AS timestamp, user_id AS cell_id,
         CASE WHEN event_type = 'signup' THEN value END AS sms_in, CASE WHEN event_type = 'purchase' THEN value END AS sms_out,
         NULL::DOUBLE AS call_in, CASE WHEN event_type = 'view' THEN value END AS call_out,
-        CASE WHEN event_type = 'click' THEN value END AS internet_traffic FROM events WHERE event_type <> 'error'""",
+        CASE WHEN event_type = 'click' THEN value END AS internet_traffic FROM events WHERE event_type <> 'error' AND event_id % 11 NOT IN (3, 7)""",
+    "ingest_losses": """SELECT count(*) AS records, count(*) FILTER (event_type = 'error') AS no_time,
+        count(*) FILTER (event_type <> 'error' AND event_id % 11 IN (3, 7)) AS time_out_of_range, 0::BIGINT AS sms_in_non_finite,
+        count(*) FILTER (event_type <> 'purchase') AS sms_out_non_finite, count(*) FILTER (event_type <> 'error') AS call_in_non_finite,
+        0::BIGINT AS call_out_non_finite, 0::BIGINT AS internet_traffic_non_finite FROM events""",
+    "csv_table": f"""SELECT user_id AS cell_id, date_trunc('second', ts)::TIMESTAMP AS timestamp, 1.5::DOUBLE AS anomaly_score,
+        {', '.join(r('value', f) for f in FEATURES)}, NULL::DOUBLE AS severity_score FROM events""",
+    "grid_parse": """SELECT c_custkey AS cell_id, 'Polygon' AS geometry_type, 5::BIGINT AS corners,
+        round(9.0::DOUBLE + (c_custkey % 100) * 0.01::DOUBLE, 6) AS west, round(45.0::DOUBLE + floor(c_custkey / 100) * 0.01::DOUBLE, 6) AS south,
+        round(9.0::DOUBLE + (c_custkey % 100) * 0.01::DOUBLE + 0.01::DOUBLE, 6) AS east,
+        round(45.0::DOUBLE + floor(c_custkey / 100) * 0.01::DOUBLE + 0.01::DOUBLE, 6) AS north FROM customer""",
     "traffic_agg": chain("sums", f"SELECT cell_id, timestamp, {', '.join(r(m) for m in MEASURES)} FROM sums"),
     "merge_directions": chain("traffic", f"SELECT cell_id, timestamp, {', '.join(r(f) for f in FEATURES)} FROM traffic"),
     "orders_traffic": chain("traffic", f"SELECT cell_id, timestamp, {', '.join(r(f) for f in FEATURES)} FROM traffic", ORDERS_INGESTED),
@@ -355,6 +365,28 @@ ORACLE: dict[str, str] = {
     "array_key_unwrap": f"SELECT user_id AS cell_id, count(value) AS n, {r('sum(value)', 'total')} FROM events GROUP BY user_id",
     "timestamp_parse": "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS timestamp FROM events",
     # --- quality
+    "nearest_contract_findings": """SELECT * FROM (VALUES ('unknown_schema', 'cell_id,timestamp,sms_total,internet_traffic', 'error', 1::BIGINT),
+        ('missing_column', 'calls_total', 'error', 1::BIGINT)) AS v("check", subject, level, n)""",
+    "schema_findings": """SELECT *, (SELECT count(*)::INTEGER FROM lineitem) AS rows FROM (VALUES ('missing_column', 'calls_total', 'error', 1::BIGINT),
+        ('missing_column', 'internet_traffic', 'error', 1::BIGINT), ('extra_column', 'l_discount', 'info', 1::BIGINT),
+        ('type_mismatch', 'timestamp', 'warning', 1::BIGINT)) AS v("check", subject, level, n)""",
+    "non_finite_profile": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, {nulls} AS nulls, {odd} AS non_finite FROM events""" for c, nulls, odd in (
+            ("cell_id", "count(*) FILTER (user_id IS NULL)", "0::BIGINT"), ("timestamp", "count(*) FILTER (ts IS NULL)", "0::BIGINT"),
+            ("severity_score", "count(*) FILTER (value IS NULL AND event_id % 13 NOT IN (1, 2, 3))", "count(*) FILTER (event_id % 13 IN (1, 2, 3))"),
+            *((f, "count(*) FILTER (value IS NULL)", "0::BIGINT") for f in FEATURES))),
+    "sum_reconciliation": chain("traffic", " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(coalesce(sum(coalesce({a}, 0) + coalesce({b}, 0)), 0), 4) AS before, (SELECT round(sum({f}), 4) FROM traffic) AS after FROM ingested"
+        for f, a, b in (("sms_total", "sms_in", "sms_out"), ("calls_total", "call_in", "call_out"), ("internet_traffic", "internet_traffic", "0.0::DOUBLE")))),
+    "severity_recheck": chain("anomalies", """SELECT count(*) AS both, 0::BIGINT AS only_stored, 0::BIGINT AS only_again, 0::BIGINT AS different FROM anomalies"""),
+    "stability_recheck": chain("refs", """SELECT count(*) AS both, 0::BIGINT AS only_stored, 0::BIGINT AS only_again, 0::BIGINT AS different FROM refs"""),
+    "detection_losses": chain("refs", f"""SELECT * FROM (SELECT t.cell_id, count(*) AS rows,
+          count(*) FILTER (day(t.timestamp) = 1 AND t.cell_id % 5 IN (1, 2)) AS rows_skipped,
+          CASE WHEN NOT bool_or(w.cell_id IS NOT NULL) THEN 'no reference week'
+            WHEN NOT bool_or(coalesce(v.cell_id IS NOT NULL AND NOT (day(t.timestamp) = 1 AND t.cell_id % 5 IN (1, 2)), FALSE)) THEN 'no training row' ELSE '' END AS not_modelled
+        FROM traffic t LEFT JOIN (SELECT DISTINCT cell_id FROM refs) w ON w.cell_id = t.cell_id
+          LEFT JOIN refs v ON v.cell_id = t.cell_id AND v.reference_week = {LABEL.format(t='t.timestamp')}
+        GROUP BY t.cell_id) WHERE rows_skipped > 0 OR not_modelled <> ''"""),
     "dup_keys": chain("ingested", "SELECT cell_id, timestamp, count(*) AS n FROM ingested GROUP BY ALL HAVING count(*) > 1"),
     "null_counts": chain("ingested", " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls,
@@ -403,7 +435,7 @@ ORACLE: dict[str, str] = {
         + ", ".join([r(f"{f}_median") for f in FEATURES] + [r(f"{f}_abs_dev") for f in FEATURES]) + " FROM devs"),
     "weekly_mad": chain("mads", f"SELECT DISTINCT cell_id, {', '.join(r(f'{f}_mad') for f in FEATURES)} FROM mads"),
     "norm_dev": chain("ratios", "SELECT cell_id, year_week, "
-        + ", ".join(r(f"CASE WHEN {f}_norm_dev < 1e6 THEN {f}_norm_dev END", f"{f}_norm_dev") for f in FEATURES) + " FROM ratios"),
+        + ", ".join(r(f"CASE WHEN {f}_norm_dev < 1e6 THEN {f}_norm_dev ELSE ln({f}_norm_dev) END", f"{f}_norm_dev") for f in FEATURES) + " FROM ratios"),
     "normal_weeks": chain("normal", f"SELECT cell_id, year_week, {r('stability_score')} FROM normal"),
     "reference_weeks": chain("refs", f"SELECT cell_id, reference_week, {r('stability_score')} FROM refs"),
     "reference_weeks_strict": chain("refs", f"SELECT cell_id, reference_week, {r('stability_score')} FROM refs", weeks=2, mad=0.75),
@@ -463,6 +495,15 @@ ORACLE: dict[str, str] = {
     "extreme_flags": chain("stats", "SELECT cell_id, has_extreme_anomalies, extreme_anomaly_count FROM stats"),
     "extreme_anomalies": chain("anomalies", f"""SELECT cell_id, timestamp, {r('severity_score')} FROM anomalies
         WHERE severity_score >= (SELECT quantile_cont(severity_score, 0.99) FROM anomalies)"""),
+    "infinite_percentiles": """WITH v AS (SELECT CASE event_id % 13 WHEN 1 THEN NULL WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE ELSE value END AS x, event_id FROM events)
+        SELECT count(*) FILTER (x IS NOT NULL OR event_id % 13 = 1) AS n, '-Infinity' AS p2, """ + ", ".join(
+            f"round(quantile_cont(x, {q / 100}), 6)::VARCHAR AS p{q}" for q in (25, 50, 75)) + ", 'Infinity' AS p98 FROM v",
+    "stats_without_nan": f"""SELECT user_id AS cell_id, count(x) AS anomaly_count, {r('avg(x)', 'avg_severity')}, {r('max(x)', 'max_severity')},
+        count(*) FILTER (x >= 100) AS extreme_anomaly_count
+        FROM (SELECT user_id, CASE WHEN event_id % 13 = 1 THEN NULL ELSE value END AS x FROM events WHERE event_id % 13 NOT IN (2, 3)) GROUP BY user_id""",
+    "empty_anomalies": """SELECT c_custkey AS cell_id, 0::BIGINT AS anomaly_count, 0.0::DOUBLE AS max_severity, 'No Anomalies' AS category FROM customer""",
+    "usable_metrics": chain("classified", f"""SELECT category, count(*) AS cells, 'anomaly_count' AS metric FROM classified GROUP BY category
+        UNION ALL SELECT category, count(*), 'avg_severity' FROM ({quintiles('full_stats', 'avg_severity')}) GROUP BY category"""),
     "severity_percentiles": "SELECT count(value) AS n, "
         + ", ".join(r(f"quantile_cont(value, {q / 100})", f"p{q}") for q in (25, 50, 75, 90, 99)) + " FROM events",
     "missing_cells": chain("stats", "SELECT c_custkey AS cell_id FROM customer WHERE c_custkey NOT IN (SELECT cell_id FROM stats)"),

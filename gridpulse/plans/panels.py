@@ -72,7 +72,11 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = next(e for e, m in EVENT_MEASURES.items() if m == measure)
         return F.when(kind == own, value).otherwise(absent)
 
-    millis = F.when(kind == "error", "n/a").otherwise(F.unix_millis("ts").cast("string"))
+    time = F.unix_millis("ts").cast("string")
+    # Some records have their time in micro- or nanoseconds, with 16 or 19 digits.
+    longer = F.when(F.col("event_id") % 11 == 3, F.concat(time, F.lit("000"))).when(
+        F.col("event_id") % 11 == 7, F.concat(time, F.lit("000000"))).otherwise(time)
+    millis = F.when(kind == "error", "n/a").otherwise(longer)
     surplus = F.when(kind == "click", F.lit("surplus"))
     fields = [
         F.col("user_id").cast("string"), millis, F.lit("39"), field("sms_in", ""), field("sms_out", "NULL"),
@@ -144,6 +148,23 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(cell.alias(KEY), geometry.alias("geometry"))
 
 
+def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid as GeoJSON text, a collection of one feature per customer; every second id is text."""
+    text = F.to_json(F.struct(F.array(F.struct(
+        F.struct(F.when(F.col(KEY) % 2 == 0, F.col(KEY).cast("string")).alias("cellId"), F.when(F.col(KEY) % 2 == 1, F.col(KEY)).alias("cell_id")).alias("properties"),
+        F.col("geometry"),
+    )).alias("features")))
+    return grid(spark, sf_dir).select(text.alias("line"))
+
+
+def imperfect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as anomaly records: a value each, some of them NaN or infinite, of either sign."""
+    nth, value = F.col("event_id") % 13, F.col("value")
+    odd = F.when(nth == 1, F.lit(float("nan"))).when(nth == 2, F.lit(float("inf"))).when(nth == 3, F.lit(float("-inf"))).otherwise(value)
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias(KEY), F.col("ts").alias(TIME), odd.alias("severity_score"), *[value.alias(f) for f in FEATURES])
+
+
 def small_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier ids: too few for the event cells."""
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(KEY))

@@ -36,7 +36,7 @@ CELL_STATS = _struct(
 )
 GRID_FILE = T.StructType([
     T.StructField("features", T.ArrayType(T.StructType([
-        T.StructField("properties", _struct(("cellId", _LONG), ("cell_id", _LONG))),
+        T.StructField("properties", _struct(("cellId", _TEXT), ("cell_id", _TEXT))),
         T.StructField("geometry", T.StructType([
             T.StructField("type", _TEXT),
             T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(_DOUBLE)))),

@@ -1,4 +1,7 @@
-"""Writers: stage tables, result tables, report text and GeoJSON features."""
+"""Writers: stage tables, result tables, report text and GeoJSON features.
+
+A target that exists is an error unless ``mode`` says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,12 @@ from pyspark.sql import functions as F
 from gridpulse.schemas import KEY, TIME
 
 
-def write_parquet(df: DataFrame, path: str, codec: str | None = None, mode: str = "overwrite") -> None:
+def write_parquet(df: DataFrame, path: str, codec: str | None = None, mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     (writer.option("compression", codec) if codec else writer).parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, keys: tuple[str, ...] = (KEY, TIME), mode: str = "overwrite") -> None:
+def write_clustered(df: DataFrame, path: str, keys: tuple[str, ...] = (KEY, TIME), mode: str = "errorifexists") -> None:
     """Range-cluster on ``keys`` so that row-group statistics prune by cell.
 
     The ranges run over cell *and* time, so one hot cell is cut into many files. Finding the ranges
@@ -23,17 +26,17 @@ def write_clustered(df: DataFrame, path: str, keys: tuple[str, ...] = (KEY, TIME
     write_parquet(clustered, path, codec="zstd", mode=mode)
 
 
-def write_balanced(df: DataFrame, path: str, keys: tuple[str, ...] = (KEY,), mode: str = "overwrite") -> None:
+def write_balanced(df: DataFrame, path: str, keys: tuple[str, ...] = (KEY,), mode: str = "errorifexists") -> None:
     """Keep a cell's rows together in files of even size; adaptive execution merges small partitions
     and splits that of a hot cell. Runs ``df`` once."""
     write_parquet(df.hint("rebalance", *keys), path, mode=mode)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Format by extension: ``.csv`` is CSV with a header, anything else Parquet."""
     if path.rstrip("/").endswith(".csv"):
         write_csv(df, path, mode)
@@ -48,12 +51,12 @@ def report_lines(report: DataFrame) -> DataFrame:
     )
 
 
-def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One text file; a report has a few dozen lines whatever the size of the input."""
     report_lines(report).coalesce(1).write.mode(mode).text(path)
 
 
-def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """GeoJSON features, one per line."""
     features.select(F.col("feature").alias("value")).write.mode(mode).text(path)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.schemas import KEY, MEASURES, RAW, TIME
 
 REJECTED = "_rejected"
+# The years 1 to 9999, in milliseconds: what a timestamp can show.
+FIRST_MILLIS, LAST_MILLIS = -62135596800000, 253402300799999
 _OPTIONS = {"sep": "\t", "mode": "PERMISSIVE"}
 
 
@@ -33,12 +35,33 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def finish_ingest(raw: DataFrame) -> DataFrame:
-    """Epoch milliseconds to timestamp, rows without one dropped, country column folded away."""
-    return (
-        raw.withColumn(TIME, F.timestamp_millis("timestamp_ms"))
-        .where(F.col(TIME).isNotNull())
-        .drop("timestamp_ms", "country_code")
-        .select(TIME, KEY, *MEASURES)
+    """Epoch milliseconds to timestamp, rows without one dropped, country column folded away.
+
+    Milliseconds outside the years 1 to 9999 are no time. NaN and infinities, which the reader takes for
+    numbers, become NULL; `ingest_losses` counts both.
+    """
+    millis = F.when(_in_range("timestamp_ms"), F.col("timestamp_ms"))
+    measures = [F.when(~non_finite(m), F.col(m)).alias(m) for m in MEASURES]
+    return raw.select(F.timestamp_millis(millis).alias(TIME), KEY, *measures).where(F.col(TIME).isNotNull())
+
+
+def _in_range(millis: str) -> Column:
+    return F.col(millis).between(FIRST_MILLIS, LAST_MILLIS)
+
+
+def non_finite(column: str) -> Column:
+    """Whether a number is NaN or infinite; false for NULL."""
+    x = F.col(column).cast("double")
+    return F.coalesce(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(False))
+
+
+def ingest_losses(raw: DataFrame) -> DataFrame:
+    """One row: records, those without a time, those with one out of range, and the non-finite values
+    of each measure."""
+    late = F.col("timestamp_ms").isNotNull() & ~_in_range("timestamp_ms")
+    return raw.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("timestamp_ms").isNull()).alias("no_time"),
+        F.count_if(late).alias("time_out_of_range"), *[F.count_if(non_finite(m)).alias(f"{m}_non_finite") for m in MEASURES],
     )
 
 
@@ -55,6 +78,6 @@ def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
 
 def rejects(raw: DataFrame) -> DataFrame:
     """The rows of a ``keep_rejects`` read with a field that is no number (NULL tokens included) or
-    with too few or too many fields, each with its source line. Write them before counting them:
+    with too few or too many fields, each with its source line; times out of range are rejects too. Write them before counting them:
     Spark does not read the source-line column alone."""
-    return raw.where(F.col(REJECTED).isNotNull())
+    return raw.where(F.col(REJECTED).isNotNull() | ~F.coalesce(_in_range("timestamp_ms"), F.lit(True)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.schemas import KEY, TIME
+from gridpulse.schemas import ANOMALIES, KEY, TIME
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -19,7 +19,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_anomalies(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Anomaly records of any accepted layout, with a scalar key and a temporal timestamp."""
+    """Anomaly records of any accepted layout, with a scalar key and a temporal timestamp.
+
+    CSV has the columns of the anomaly contract unless a schema says otherwise, so nothing is inferred.
+    """
+    if schema is None and path.rstrip("/").endswith(".csv"):
+        schema = ANOMALIES
     return as_timestamp(unwrap_key(read_table(spark, path, schema)))
 
 
