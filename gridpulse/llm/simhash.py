@@ -100,23 +100,13 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     ids = cut(source.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")))
     order = cut(neighbours(ids))
     rows = source.withColumn("row", F.monotonically_increasing_id())
-    heads = rows.join(order, "doc_id").select(F.col("asks_id").alias("doc_id"), F.expr("substring(text, 1, asks_half)").alias("head")).groupBy(
-        "doc_id").agg(F.min("head").alias("head"))
-    n, half = F.col("n_chars"), F.floor(F.col("n_chars") / 2).cast("int")
-    edited = rows.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text")).select(
-        "doc_id", "row", n.cast("long").alias("n_chars"), "text",
-        F.concat(F.substring("text", F.lit(1), n - half), F.coalesce(F.substring("head", F.lit(1), half), F.lit(""))).alias("edited"))
-    keys = ["doc_id", "row", "n_chars", "edited_sha256", "kind"]
-    both = edited.withColumn("edited_sha256", F.sha2("edited", 256)).select(
-        "doc_id", "row", "n_chars", "edited_sha256", F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"),
-    ).select("doc_id", "row", "n_chars", "edited_sha256", "v.kind", "v.text")
-    return _finish(vote(both, keys), order)
-
-
-def _finish(voted: DataFrame, order: DataFrame) -> DataFrame:
-    of = {kind: [F.max(F.when(F.col("kind") == k, F.col(f"fp{i}"))).alias(f"{kind}{i}") for i in range(WORDS)] for k, kind in enumerate(("own", "edited"))}
-    prints = cut(voted.groupBy("doc_id", "row", "n_chars", "edited_sha256").agg(*of["own"], *of["edited"]))
+    known = rows.where("doc_id is not null")
+    # Both joins read the same columns of the same rows by doc_id, so the texts are shuffled once.
+    heads = known.join(order, "doc_id").select(
+        F.col("asks_id").alias("doc_id"), F.struct(F.expr("substring(text, 1, asks_half)").alias("head"), "row").alias("head"),
+    ).groupBy("doc_id").agg(F.min("head").alias("head")).select("doc_id", "head.head")
+    alone = rows.where("doc_id is null").withColumn("head", F.lit(""))
+    prints = cut(_prints(known.join(heads, "doc_id", "left")).unionByName(_prints(alone)))
     own, edited, following = ([F.col(f"{kind}{i}") for i in range(WORDS)] for kind in ("own", "edited", "next"))
     first = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*own)).alias("f")).select(
         F.col("doc_id").alias("next_id"), *[F.col(f"f.own{i}").alias(f"next{i}") for i in range(WORDS)])
@@ -125,6 +115,22 @@ def _finish(voted: DataFrame, order: DataFrame) -> DataFrame:
         likeness(own, edited).alias("near_edited"), F.coalesce(likeness(own, following), F.lit(0.0)).alias("near_next"))
 
 
+def _prints(headed: DataFrame) -> DataFrame:
+    """Both fingerprints of each row with the ``head`` of its next text: votes of one row stay in its task."""
+    n, half = F.col("n_chars"), F.floor(F.col("n_chars") / 2).cast("int")
+    edited = headed.withColumn("n_chars", F.length("text")).select(
+        "doc_id", "row", n.cast("long").alias("n_chars"), "text",
+        F.concat(F.substring("text", F.lit(1), n - half), F.coalesce(F.substring("head", F.lit(1), half), F.lit(""))).alias("edited"))
+    row = ["doc_id", "row", "n_chars", "edited_sha256"]
+    both = edited.withColumn("edited_sha256", F.sha2("edited", 256)).select(*row, F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
+    of = [
+        F.max(F.when(F.col("kind") == k, F.col(f"fp{i}"))).alias(f"{name}{i}")
+        for k, name in enumerate(("own", "edited")) for i in range(WORDS)
+    ]
+    return vote(both.select(*row, "v.kind", "v.text"), [*row, "kind"]).groupBy(*row).agg(*of)
+
+
 def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
     """All pairs (a, b, distance) of different values of the long column ``fp`` that differ in 1 to ``radius`` bits."""
     ready(prints.sparkSession)
