@@ -87,4 +87,5 @@ def principal_axes(k: int, p: int):
         ]
         return pd.DataFrame(rows, columns=["rank", "eigenvalues", "components", "outside"])
 
-    return axes
+    # Not deterministic to the optimizer, which would otherwise write the call out once per use of its result.
+    return axes.asNondeterministic()

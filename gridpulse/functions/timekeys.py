@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,19 @@ def label_number(label: Column | str) -> Column:
     return F.replace(_col(label), F.lit("_W"), F.lit("")).try_cast("int")
 
 
+def label_index(label: Column | str) -> Column:
+    """``2013_W47`` to the `week_index` of that week; NULL for text that is no week label."""
+    number = label_number(label)
+    # The first ISO week of a year holds the fourth of January.
+    first = F.floor((F.unix_date(F.make_date(F.floor(number / 100).cast("int"), F.lit(1), F.lit(4))) + 3) / 7)
+    return F.when(number % 100 > 0, first + number % 100 - 1)
+
+
+def week_start(index: int) -> str:
+    """The UTC time at which a `week_index` begins, as text."""
+    return (datetime(1970, 1, 1) + timedelta(days=index * 7 - 3)).isoformat(sep=" ")
+
+
 def hour_of_day(t: Column | str) -> Column:
     return F.hour(_col(t))
 

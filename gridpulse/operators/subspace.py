@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions.subspace import (
     DOUBLE_EPSILON, ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
 )
-from gridpulse.functions.timekeys import label_number, week_number
+from gridpulse.functions.timekeys import label_index, label_number, week_index, week_number, week_start
 from gridpulse.operators.joins import PART_ROWS, Lookup
 from gridpulse.schemas import FEATURES, KEY, TIME
 
@@ -125,11 +125,14 @@ class SubspaceDetector:
         # nor scored, and `losses` counts it.
         self.given = traffic.select(key, time, *features)
         panel = self.given.where(self._usable())
-        self.lookup = Lookup(panel, key, reference_weeks.count(), _width(features), limit, part_rows)
+        index = label_index("reference_week")
+        rows, first, last = reference_weeks.agg(F.count(F.lit(1)), F.min(index), F.max(index)).first()
+        self.lookup = Lookup(panel, key, rows, _width(features), limit, part_rows)
         # One row per cell with the few weeks it may train on.
-        self.weeks = reference_weeks.groupBy(key).agg(
-            F.collect_set(label_number("reference_week")).alias("_weeks")
-        )
+        self.weeks = reference_weeks.groupBy(key).agg(F.collect_set(index).alias("_weeks"))
+        # From the first to the last of all those weeks: a range that prunes files. A shuffled panel is read once anyway.
+        self.trained = None if first is None or not self.lookup.broadcast else (
+            (F.col(time) >= F.lit(week_start(first)).cast("timestamp")) & (F.col(time) < F.lit(week_start(last + 1)).cast("timestamp")))
 
     def _usable(self) -> str:
         finite = [f"abs(`{f}`) < double('Infinity')" for f in self.features]
@@ -157,8 +160,8 @@ class SubspaceDetector:
             "rows_skipped > 0 OR not_modelled IS NOT NULL")
 
     def _training(self, table: DataFrame) -> DataFrame:
-        joined = self.lookup.join(table)
-        return joined.where(F.array_contains("_weeks", week_number(self.time)))
+        joined = self.lookup.join(table, panel=lambda p: p if self.trained is None else p.where(self.trained))
+        return joined.where(F.array_contains("_weeks", week_index(self.time)))
 
     def basis(self) -> DataFrame:
         """Standardisation and axes per cell, before the error threshold is known."""

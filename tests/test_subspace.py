@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse.functions import timekeys
 from gridpulse.operators import subspace, weeks
 from gridpulse.schemas import ANOMALIES
 from gridpulse.session import stage_table
@@ -206,3 +207,25 @@ def test_shuffled_panel_is_one_exchange_for_all_passes(spark, panel):
     # Two of the three passes read the exchange of the third; a plan prints reuse once executed.
     assert sum("ReusedExchange" in line and "timestamp#" in line for line in plan.splitlines()) == 2
     assert "SortAggregate" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_training_reads_a_range_of_weeks_and_decomposes_once_per_branch(panel, tmp_path):
+    _, traffic, refs, _ = panel
+    traffic.write.parquet(str(tmp_path / "panel"))
+    stored = traffic.sparkSession.read.parquet(str(tmp_path / "panel"))
+    stored.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    found = subspace.SubspaceDetector(stored, refs, 2).anomalies()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stored.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("GreaterThanOrEqual(timestamp" in line for line in scans) >= 2
+    assert plan.count("ArrowEvalPython") <= 2 and "weekofyear" not in plan and "yearofweek" not in plan.lower()
+
+
+def test_week_labels_become_indexes(spark):
+    days = spark.sql("SELECT explode(sequence(timestamp'2004-12-20', timestamp'2027-01-20', interval 5 days)) AS t")
+    rows = days.select(timekeys.week_index("t").alias("a"), timekeys.label_index(timekeys.week_label("t")).alias("b"), "t").collect()
+    assert all(r.a == r.b for r in rows)
+    assert all(timekeys.week_start(r.a) <= str(r.t) < timekeys.week_start(r.a + 1) for r in rows)
+    odd = spark.createDataFrame([("x",), (None,), ("2013_W00",)], "label string")
+    assert [r[0] for r in odd.select(timekeys.label_index("label")).collect()] == [None, None, None]
