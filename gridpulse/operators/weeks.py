@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gridpulse.functions.timekeys import index_monday, week_index, week_label
@@ -23,34 +23,26 @@ def weekly_totals(traffic: DataFrame, features: Sequence[str] = FEATURES, key: s
     return sums.select(key, week_label(index_monday("_w")).alias(_WEEK), *features)
 
 
-def with_deviation(weekly: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
-    """Per feature: the cell's median, absolute deviation, its median (MAD) and their ratio.
+def deviation_ratios(weekly: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
+    """Each week's distance from its cell's usual one, an array entry per feature.
 
-    Both medians are windows over the cell's weeks, so one exchange serves all of them.
+    ``centres`` are the cell's medians, ``distances`` how far the week is from them, ``spreads`` the medians of the
+    distances, ``ratios`` distance over spread. All medians are windows over the cell's few weekly rows
+    and share one exchange. A week without a value in some feature has no ratio there.
     """
     cell = W.partitionBy(key)
-    out = weekly.withColumns({f"{f}_median": F.median(f).over(cell) for f in features})
-    out = out.withColumns({f"{f}_abs_dev": F.abs(F.col(f) - F.col(f"{f}_median")) for f in features})
-    out = out.withColumns({f"{f}_mad": F.median(f"{f}_abs_dev").over(cell) for f in features})
-    return out.withColumns({
-        f"{f}_norm_dev": F.col(f"{f}_abs_dev") / (F.col(f"{f}_mad") + F.lit(EPSILON)) for f in features
-    })
+    at = range(len(features))
+    centred = weekly.withColumn("centres", F.array(*[F.median(f).over(cell) for f in features]))
+    measured = centred.withColumn("distances", F.array(*[F.abs(F.col(f) - F.col("centres")[i]) for i, f in enumerate(features)]))
+    spread = measured.withColumn("spreads", F.array(*[F.median(F.col("distances")[i]).over(cell) for i in at]))
+    return spread.withColumn("ratios", F.zip_with("distances", "spreads", lambda d, s: d / (s + F.lit(EPSILON))))
 
 
-def is_normal(mad_threshold: float, features: Sequence[str] = FEATURES) -> Column:
-    """True where no feature deviates by more than the threshold."""
-    within = F.lit(True)
-    for f in features:
-        within = within & (F.col(f"{f}_norm_dev") <= F.lit(mad_threshold))
-    return F.when(within, True).otherwise(False)
-
-
-def normal_weeks(deviations: DataFrame, mad_threshold: float = 1.5, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Weeks passing the test, with the stability score (sum of the ratios, lower is calmer)."""
-    score = F.lit(0.0)
-    for f in features:
-        score = score + F.col(f"{f}_norm_dev")
-    return deviations.where(is_normal(mad_threshold, features)).withColumn("stability_score", score)
+def normal_weeks(deviations: DataFrame, mad_threshold: float = 1.5) -> DataFrame:
+    """Weeks none of whose ratios exceeds the threshold, with their stability score: the sum of the ratios,
+    lower is calmer. A ratio that is missing or NaN is not within any threshold."""
+    calm = F.forall("ratios", lambda r: F.coalesce((r <= F.lit(mad_threshold)) & ~F.isnan(r), F.lit(False)))
+    return deviations.where(calm).withColumn("stability_score", F.aggregate("ratios", F.lit(0.0), lambda total, r: total + r))
 
 
 def calmest_weeks(normal: DataFrame, num_weeks: int = 4, key: str = KEY) -> DataFrame:
@@ -70,4 +62,4 @@ def select_reference_weeks(
 ) -> DataFrame:
     """``(cell_id, reference_week, stability_score)``; a cell without a normal week has no row."""
     weekly = weekly_totals(traffic, features, key, time)
-    return calmest_weeks(normal_weeks(with_deviation(weekly, features, key), mad_threshold, features), num_weeks, key)
+    return calmest_weeks(normal_weeks(deviation_ratios(weekly, features, key), mad_threshold), num_weeks, key)

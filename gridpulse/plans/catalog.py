@@ -259,25 +259,29 @@ def orders_weekly_totals(spark, sf):
     return comparable(weeks.weekly_totals(p.orders_traffic(spark, sf)))
 
 
+def _entries(array: str, name: str):
+    return [F.col(array)[i].alias(f"{f}_{name}") for i, f in enumerate(FEATURES)]
+
+
 def _deviations(spark, sf):
-    return weeks.with_deviation(weeks.weekly_totals(p.events_traffic(spark, sf)))
+    return weeks.deviation_ratios(weeks.weekly_totals(p.events_traffic(spark, sf)))
 
 
 @query
 def weekly_median(spark, sf):
     return comparable(_deviations(spark, sf).select(
-        KEY, "year_week", *[f"{f}_median" for f in FEATURES], *[f"{f}_abs_dev" for f in FEATURES]))
+        KEY, "year_week", *_entries("centres", "median"), *_entries("distances", "abs_dev")))
 
 
 @query
 def weekly_mad(spark, sf):
-    return comparable(_deviations(spark, sf).select(KEY, *[f"{f}_mad" for f in FEATURES]).distinct())
+    return comparable(_deviations(spark, sf).select(KEY, *_entries("spreads", "mad")).distinct())
 
 
 @query
 def norm_dev(spark, sf):
     """All ratios; the very large ones of a zero MAD by their logarithm, so that digits compare."""
-    shown = [F.when(x < 1e6, x).otherwise(F.log(x)).alias(f) for f, x in ((f"{f}_norm_dev", F.col(f"{f}_norm_dev")) for f in FEATURES)]
+    shown = [F.when(x < 1e6, x).otherwise(F.log(x)).alias(f) for f, x in ((f"{f}_norm_dev", F.col("ratios")[i]) for i, f in enumerate(FEATURES))]
     return comparable(_deviations(spark, sf).select(KEY, "year_week", *shown))
 
 
