@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from gridpulse.operators import summary, timeline
 from gridpulse.plans import panels
+from gridpulse.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -36,8 +36,8 @@ def test_top_n_needs_no_global_sort(spark):
     assert "TakeOrderedAndProject" in plan_of(summary.top_cells(panels.anomalies(spark, SF_DIR)))
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_joins_anywhere(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "FlatMapGroups" not in plan

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from gridpulse.plans import panels, stages
+from gridpulse.plans.catalog import QUERIES
+from gridpulse.plans.oracle import ORACLE
 from gridpulse.session import shared_dir
 from tools.compare import compare
 
@@ -24,12 +25,12 @@ def con():
 
 
 def test_every_query_has_its_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    _, _, verdict = compare(spark, SF_DIR, name, entry.queries()[name], entry.oracle_sql()[name], con)
+    _, _, verdict = compare(spark, SF_DIR, name, QUERIES[name], ORACLE[name], con)
     assert verdict == "ok"
 
 
