@@ -5,8 +5,9 @@ are joined by single spaces. A pattern is ten consecutive item words between spa
 of a shorter item. Matches are found in the normalised text and mapped back to word numbers and,
 through the kept byte offsets, to character spans of the original.
 
-The automaton is bounded: items are sorted and cut into blocks of ``block_bytes`` of pattern text,
-one automaton each, and every block scans the documents once (one block for any usual benchmark).
+The automaton is bounded: patterns come in blocks of ``block_bytes`` of pattern text, one for any usual
+benchmark. Driver and executors hold one block at a time; each further block is another pass over what the
+one before wrote.
 
 Defined cases: null or wordless texts have no words and no hits; null or wordless items have no
 windows; items with equal windows all count; repeated rows are judged row by row; other columns of
@@ -19,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridpulse.llm.common import ready
 from gridpulse.llm.text import LETTERS_AND_DIGITS, as_bytes
+from gridpulse.session import stage_table
 
-RESULT = "doc_id long, n_words long, items array<string>, hits array<struct<first:int,last:int,start:int,end:int>>"
+BLOCK_BYTES = 8 << 20
+SPAN = ("first", "last", "start", "end")
+HITS = "array<struct<first:int,last:int,start:int,end:int>>"
 
 
 def item_patterns(text: bytes, window: int) -> set[bytes]:
@@ -99,43 +103,44 @@ def pattern_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Itera
         yield block
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def find_items(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``documents``: doc_id, n_words, the items found and the hit stretches, in order.
 
     ``hits`` has word numbers (last exclusive) and code points of the original (end exclusive).
     """
     spark = ready(documents.sparkSession)
-    schema = T._parse_datatype_string(RESULT)
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = list(pattern_blocks(benchmark, window, block_bytes)) or [{}]
-    # Blocks beyond the first are scanned in turn over the same columns, so no row meets another.
-    automata = [spark.sparkContext.broadcast(p) for p in parts]
+    found = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.expr("0L AS n_words"), F.expr("cast(array() AS array<string>) AS items"), F.expr(f"cast(array() AS {HITS}) AS hits"))
+    passes = 0
+    for patterns in pattern_blocks(benchmark, window, block_bytes):
+        # A further block reads what the one before wrote, so that only one automaton is held at a time.
+        found = stage_table(found, "decontamination") if passes else found
+        found = found.mapInArrow(_scan(spark.sparkContext.broadcast(patterns)), found.schema)
+        passes += 1
+    if not passes:
+        found = found.mapInArrow(_scan(spark.sparkContext.broadcast({})), found.schema)
+    return found.drop("text")
+
+
+def _scan(patterns: Broadcast):
+    """A pass over batches of (doc_id, text, n_words, items, hits) that adds one block's findings."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [build_automaton(a.value) if a.value else None for a in automata]
-        arrow = pa.schema([
-            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())),
-            ("hits", pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")]))),
-        ])
+        automaton = build_automaton(patterns.value) if patterns.value else None
         for batch in batches:
             counts, items, hits = [], [], []
-            for text in as_bytes(batch.column(1)):
-                n, own, spans = 0, set(), []
-                for automaton in held:
-                    if automaton is None:
-                        n = len(text.translate(LETTERS_AND_DIGITS).split())
-                        continue
-                    n, more, found = scan_text(text, automaton)
-                    own |= more
-                    spans += found
+            for text, own, spans in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                n, more, new = scan_text(text, automaton) if automaton else (len(text.translate(LETTERS_AND_DIGITS).split()), set(), [])
                 counts.append(n)
-                items.append(sorted(own))
-                hits.append([dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in merged(spans)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(items, arrow.field("items").type), pa.array(hits, arrow.field("hits").type)],
-                schema=arrow)
+                items.append(sorted({*own, *more}))
+                hits.append([dict(zip(SPAN, s, strict=True)) for s in merged([tuple(h[k] for k in SPAN) for h in spans] + new)])
+            kinds = [batch.schema.field(k).type for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip((counts, items, hits), kinds, strict=True)],
+            ], names=batch.schema.names)
 
-    return source.mapInArrow(scan, schema)
+    return scan
 
 
 def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -159,17 +164,21 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``documents`` without the rows whose text holds a window of an item. One pass, no shuffle."""
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``documents`` without the rows whose text holds a window of an item. No shuffle; a pass per block."""
     spark = ready(documents.sparkSession)
-    parts = [spark.sparkContext.broadcast(p) for p in pattern_blocks(benchmark, window, 8 << 20)]
     place = documents.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [build_automaton(a.value) for a in parts]
-        for batch in batches:
-            yield batch.filter(pa.array([
-                not any(scan_text(t, a)[2] for a in held) for t in as_bytes(batch.column(place))
-            ], pa.bool_()))
+    def keeper(patterns: Broadcast):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = build_automaton(patterns.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not scan_text(t, automaton)[2] for t in as_bytes(batch.column(place))], pa.bool_()))
+
+        return keep
 
-    return documents.mapInArrow(keep, documents.schema)
+    kept = documents
+    for patterns in pattern_blocks(benchmark, window, block_bytes):
+        kept = kept if kept is documents else stage_table(kept, "decontamination")
+        kept = kept.mapInArrow(keeper(spark.sparkContext.broadcast(patterns)), documents.schema)
+    return kept

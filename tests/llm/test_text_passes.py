@@ -44,9 +44,12 @@ def test_decontamination_equals_brute_force(spark, vocabulary):
     ids = [f"i{k}" for k in range(len(items))]
     texts = [None, "", "!?", prose(rng, vocabulary, 30), items[0], "x " + items[1].upper() + " y", items[2] + items[2], prose(rng, vocabulary, 3000), items[3]]
     texts.append(texts[4])
-    found = decontaminate.find_items(
-        documents(spark, texts), spark.createDataFrame([(i, t, 1) for i, t in zip(ids, items)], "item_id string, text string, doc_id int"))
-    got = {r.doc_id: r for r in decontaminate.digest(found).collect()}
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, items)], "item_id string, text string, doc_id int")
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_items(documents(spark, texts), benchmark)).collect()}
+    several = decontaminate.digest(decontaminate.find_items(documents(spark, texts), benchmark, block_bytes=400))  # a few passes
+    assert {r.doc_id: r for r in several.collect()} == got
+    kept = [{r.doc_id for r in decontaminate.clean(documents(spark, texts), benchmark, block_bytes=b).collect()} for b in (400, 8 << 20)]
+    assert kept[0] == kept[1] == {d for d, r in got.items() if not r.contaminated}
     windows = []
     for i, t in zip(ids, items):
         w = words_of(t)
