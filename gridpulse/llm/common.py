@@ -12,15 +12,19 @@ import gridpulse
 from gridpulse.session import configure, shared_dir
 
 _SHIPPED: set[str] = set()
+# Whole texts travel to Python in batches of rows; Spark's default of 10000 is meant for short rows.
+_BATCH_ROWS, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Prepare a session: executors can import this package, and checkpoints have a folder.
+    """Prepare a session: executors can import this package, checkpoints have a folder, and batches for Python are small.
 
     The folder is the one that ``spark.checkpoint.dir`` names; only a local session without the
     setting gets one of its own. The package travels by ``addPyFile`` once per application.
     """
     context = configure(spark).sparkContext
+    if spark.conf.get(_BATCH_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(_BATCH_ROWS, TEXT_ROWS)
     if context.applicationId in _SHIPPED:
         return spark
     if not context.getCheckpointDir():
