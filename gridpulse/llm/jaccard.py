@@ -254,5 +254,8 @@ def one_per_group(documents: DataFrame, **parameters) -> DataFrame:
 
     Rows without doc_id, and texts without words, are groups of their own and stay.
     """
-    linked = link_documents(documents, **parameters).where("doc_id <> class_id").select("doc_id").distinct()
-    return documents.join(linked.withColumnRenamed("doc_id", "dropped_id"), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    name = "dropped"
+    while name in documents.columns:
+        name += "_"
+    dropped = link_documents(documents, **parameters).where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")

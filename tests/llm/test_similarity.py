@@ -114,6 +114,8 @@ def test_jaccard_of_repeated_rows_and_empty_tables(spark):
     assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0)]
     assert jaccard.link_documents(frame_of(spark, rows).limit(0)).count() == 0
     assert jaccard.one_per_group(frame_of(spark, rows).limit(0)).count() == 0
+    clashing = frame_of(spark, rows).withColumnsRenamed({"component": "dropped", "node": "forest"})
+    assert sorted(r.doc_id for r in jaccard.one_per_group(clashing).collect()) == [1, 1, 3]
 
 
 def test_components_follow_long_chains(spark):
