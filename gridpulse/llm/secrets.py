@@ -2,7 +2,8 @@
 
 Base findings are three patterns: assignments of sensitive names, access keys, long hex runs. The
 method adds name-literal pairs: a small lexer reads ``name = literal``, ``"name": literal``,
-``name: literal``, ``name := literal`` and ``export NAME=literal`` statements, keeps the literals of
+``name: literal``, ``name := literal`` and ``export NAME=literal`` statements, with a type annotation
+(``name: str = literal``) or a subscript (``table["name"] = literal``) too and of any length, keeps the literals of
 constants, propagates a constant through assignments of names, and scores each literal by how
 sensitive its target name is and how much it looks like a credential. A constant that reaches a
 sensitive target is reported where its literal stands.
@@ -42,9 +43,15 @@ SENSITIVE = {
     "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6,
     "bearer": 0.8, "signing_key": 0.9, "encryption_key": 1.0, "client_secret": 1.0, "conn_string": 0.8,
 }
-STATEMENT = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=quote)[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}"""
-    r"""(?:(?P<open>["'])(?P<text>(?:\\.|(?!(?P=open))[^\n\\]){1,512})(?P=open)|(?P<bare>[^\s"'#;,(){}\[\]<>]{1,512}))""")
+# Every repeat is possessive and a name starts where its run of characters does, so scans are linear without bounds.
+TARGET = re.compile(
+    r"""(?P<quote>["']?)(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=quote)"""
+    r"""[ \t]*+(?:\[(?P<index>[A-Za-z0-9_]*+)\]|\])?[ \t]*+(?P<sign>:=|=>|[?!]?:|=)[ \t]*+""")
+_TYPE = r"[A-Za-z_]++(?:(?:8|16|32|64|128)(?![A-Za-z0-9_]))?(?:(?:\.|::)[A-Za-z_]++)*+(?:\[(?:[^\]\n=:\"']|::)*+\]++|<(?:[^>\n=:\"']|::)*+>++)*+[?!]?"
+ANNOTATION = re.compile(
+    rf"(?:&(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++)?)?{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+(?:[ \t]++=(?![=>])[ \t]*+|=[ \t]*+(?=[\"']))")
+VALUE = re.compile(
+    r"""(?P<open>["'])(?P<text>(?:[^"'\\\n]++|\\.|(?!(?P=open))["'])++)(?P=open)|(?P<bare>[^\s"'#;,(){}\[\]<>]++)""")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|example|your[_-].*|<.*|\$\{?.*)\Z")
 REPORT_FROM = 0.5
@@ -81,21 +88,41 @@ def literal_weight(literal: str) -> float:
     return min(1.0, 0.15 * classes + 0.1 * bits + 0.02 * min(len(literal), 20))
 
 
+def statements(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(target, subscript, start, end, quoted) of each statement; the search goes on inside its literal."""
+    at = bare_end = 0
+    while m := TARGET.search(text, at):
+        at = m.end()
+        value = None
+        if m["sign"].endswith(":") and (typed := ANNOTATION.match(text, at)) and (value := VALUE.match(text, typed.end())):
+            at = typed.end()
+        if value is None and at < bare_end:  # inside a bare word, which ends where it ends
+            yield m["name"], m["index"] or "", at, bare_end, False
+        elif value := value or VALUE.match(text, at):
+            start, end = value.span("bare" if value["open"] is None else "text")
+            if value["open"] is None:
+                bare_end = end
+            at = start
+            yield m["name"], m["index"] or "", start, end, value["open"] is not None
+
+
 def lexed_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants, in order of the statements."""
     if not ("=" in text or ":" in text):
         return []
-    constants: dict[str, tuple[int, int, str]] = {}
+    constants: dict[str, tuple[int, int]] = {}
     found: set[tuple[int, int]] = set()
-    for m in STATEMENT.finditer(text):
-        name, quoted = m.group("name"), m.group("text") is not None
-        group = "text" if quoted else "bare"
-        value = (m.start(group), m.end(group), m.group(group))
-        if not quoted and NAME.match(value[2]) and value[2] in constants:
-            value = constants[value[2]]
+    reported = 0
+    for name, index, start, end, quoted in statements(text):
+        value = (start, end)
+        if not quoted and NAME.match(text, start, end):
+            value = constants.get(text[start:end], value)
         constants[name] = value
-        if (weight := name_weight(name)) and weight * literal_weight(value[2]) >= REPORT_FROM:
-            found.add(value[:2])
+        # What lies in a reported literal is reported.
+        if (value != (start, end) or start >= reported) and (weight := max(name_weight(name), name_weight(index))):
+            if weight * literal_weight(text[value[0]:value[1]]) >= REPORT_FROM:
+                found.add(value)
+                reported = max(reported, value[1])
     return sorted((a, b, "lexed") for a, b in found)
 
 

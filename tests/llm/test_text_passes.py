@@ -159,6 +159,38 @@ def test_lexer_propagates_constants_and_weighs_names():
     assert secrets.name_weight("dbPassword") == 1.0 and secrets.name_weight("keyboard") == 0.0
 
 
+LONG_KEY = "".join(random.Random(12).choices("abcXYZ0189+/", k=2000))
+
+
+@pytest.mark.parametrize("head", [
+    "private_key = ", "client_credentials" + " " * 10 + "=" + " " * 12, "db_pwd: str = ", "db_pwd: Optional[Dict[str, str]] = ", "const authBearer: string | null = ",
+    "let signing_key: &'static str = ", "config['db'][\"pwd\"] = ", "char conn_pwd[4096] = ", "--private-key=", "n" * 200 + "_pwd_" + "n" * 200 + " = ", "url=https://h/?private_key="])
+def test_literals_of_any_length_and_kind_of_target(spark, head):
+    for literal, quote in ((LONG_KEY, '"'), (LONG_KEY, "'"), (LONG_KEY, ""), ("aB3-" + "x7Q" * 4, '"')):
+        if quote and head.startswith("url"):
+            continue
+        text = f"first\n{head}{quote}{literal}{quote}\nlast = 1"
+        assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == [literal]
+    masked = secrets.mask_secrets(documents(spark, [f"{head}{LONG_KEY} end"])).first().text
+    assert masked == f"{head}[SECRET] end"
+
+
+def test_statements_inside_long_literals_are_found():
+    key = "aB3x7Q-zz9Kd"
+    for text in (f"cmd = \"{'a b ' * 400}--private_key={key} \"", f"data: {'ab/' * 400}&private_key={key}", f"x = y = private_key = {key}"):
+        assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == [key]
+    assert secrets.lexed_spans("password: string = changeme") == [] and secrets.lexed_spans('pwd: hunter2secretX7 = "x"')
+
+
+@pytest.mark.parametrize("part", ["a=", "a:b[", "pwd=", "a.", "-", "a='\"", "a =\t ", "a: b |", "a=\"\\", "'a':", "a[", "x: &'a "])
+def test_the_lexer_is_linear(part):
+    import time
+
+    began = time.process_time()
+    secrets.lexed_spans(part * (400_000 // len(part)) + "=")
+    assert time.process_time() - began < 20
+
+
 def test_masking_covers_every_span(spark):
     docs = documents(spark, SECRET_TEXTS)
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
