@@ -9,9 +9,10 @@ The next document in descending order of doc_id comes from the ids alone: window
 one small table of range ends. Texts are shuffled by doc_id once, and the part of the next text that is
 needed, once more.
 
-``within_radius`` cuts a fingerprint word into 2r blocks; two that differ in at most r bits agree on r
+``within_radius`` cuts fingerprints, all words as one, into 2r blocks; two that differ in at most r bits agree on r
 whole blocks. One permuted table per choice of r blocks joins on those blocks' bits; equal
-fingerprints are one entry.
+fingerprints are one entry. The query searches the fingerprints of all documents: n_near is the number of other distinct
+fingerprints within ``RADIUS`` bits of a document's own.
 
 Defined cases: null text is empty; a text without terms has an all-zero fingerprint; an only document is
 its own next; where the next id has several rows, the smallest of the needed texts and the smallest fingerprint count;
@@ -21,7 +22,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from gridpulse.llm.common import cut, ready
 WORDS, HALF = 2, 32
 LANES = 0x0000000100000001
 RANGE_IDS, MOST_RANGES = 100_000, 65_536
+RADIUS = 3
 
 
 def _signed(bits: int) -> int:
@@ -94,7 +98,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
-    """The contract's columns: a document's fingerprint, its edited text's, and their likeness."""
+    """The contract's columns: a document's fingerprint, its edited text's, and their likeness; and the near fingerprints' number."""
     ready(documents.sparkSession)
     # A column that needs no cast stays as it is: an alias of it would keep the two shuffles from being one.
     doc_id = F.col("doc_id") if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
@@ -112,9 +116,12 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     own, edited, following = ([F.col(f"{kind}{i}") for i in range(WORDS)] for kind in ("own", "edited", "next"))
     first = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*own)).alias("f")).select(
         F.col("doc_id").alias("next_id"), *[F.col(f"f.own{i}").alias(f"next{i}") for i in range(WORDS)])
-    return prints.join(order.select("doc_id", "next_id"), "doc_id", "left").join(first, "next_id", "left").select(
+    names = tuple(f"own{i}" for i in range(WORDS))
+    near = cut(near_counts(prints, RADIUS, names))
+    return prints.join(near, list(names), "left").join(order.select("doc_id", "next_id"), "doc_id", "left").join(first, "next_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", shown(own).alias("fingerprint"), shown(edited).alias("edited_fingerprint"),
-        likeness(own, edited).alias("near_edited"), F.coalesce(likeness(own, following), F.lit(0.0)).alias("near_next"))
+        likeness(own, edited).alias("near_edited"), F.coalesce(likeness(own, following), F.lit(0.0)).alias("near_next"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def _prints(headed: DataFrame) -> DataFrame:
@@ -133,16 +140,55 @@ def _prints(headed: DataFrame) -> DataFrame:
     return vote(both.select(*row, "v.kind", "v.text"), [*row, "kind"]).groupBy(*row).agg(*of)
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs (a, b, distance) of different values of the long column ``fp`` that differ in 1 to ``radius`` bits."""
+def _near(values: DataFrame, radius: int, words: tuple[str, ...]) -> DataFrame:
+    """(a, b, distance) as (a0, ..., b0, ..., distance) of all ordered pairs of distinct ``values`` within 1 to ``radius`` bits, once each.
+
+    A pair meets in each table whose blocks agree; it counts in the first of them only.
+    """
+    n, bits = 2 * radius, 64 * len(words)
+    edges = [round(bits * i / n) for i in range(n + 1)]
+    blocks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(n)]
+    part = lambda mask, k: _signed(mask >> 64 * k & (1 << 64) - 1)
+    chosen = list(combinations(range(n), radius))
+    masks = [sum(blocks[i] for i in c) for c in chosen]
+    # In the first table of a pair all blocks before the table's last one that are not the table's own differ.
+    differ = [sum(1 << i for i in range(c[-1]) if i not in c) for c in chosen]
+    tables = values.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
+    keys = [
+        F.col(w).bitwiseAND(F.element_at(F.array(*[F.lit(part(m, k)) for m in masks]), F.col("table") + 1)).alias(f"key{k}")
+        for k, w in enumerate(words)]
+
+    def side(name: str) -> DataFrame:
+        return tables.select(*[F.col(w).alias(f"{name}{k}") for k, w in enumerate(words)], "table", *keys)
+
+    apart = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(len(words))]
+    distance = sum((F.bit_count(x) for x in apart), F.lit(0))
+    unlike = sum((
+        F.when(reduce(or_, [x.bitwiseAND(F.lit(part(m, k))) != 0 for k, x in enumerate(apart) if part(m, k)]), 1 << i).otherwise(0)
+        for i, m in enumerate(blocks)), F.lit(0))
+    first = F.element_at(F.array(*[F.lit(d) for d in differ]), F.col("table") + 1)
+    return side("a").join(side("b"), ["table", *[f"key{k}" for k in range(len(words))]]).where(distance.between(1, radius)).where(
+        unlike.bitwiseAND(first) == first).select(
+            *[f"{name}{k}" for name in "ab" for k in range(len(words))], distance.alias("distance"))
+
+
+def _values(prints: DataFrame, words: tuple[str, ...]) -> DataFrame:
     ready(prints.sparkSession)
-    n = 2 * radius
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    masks = [_signed(sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)) for chosen in combinations(range(n), radius)]
-    values = cut(prints.select("fp").where("fp is not null").distinct())
-    tables = values.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1)))).withColumn(
-        "key", F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("table") + 1)))
-    left = tables.select(F.col("fp").alias("a"), "table", "key")
-    right = tables.select(F.col("fp").alias("b"), "table", "key")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["table", "key"]).where("a < b").where(distance <= radius).select("a", "b", distance.alias("distance")).distinct()
+    return cut(prints.select(*words).dropna().distinct())
+
+
+def within_radius(prints: DataFrame, radius: int = RADIUS, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """All pairs (a, b, distance) of different fingerprints that differ in 1 to ``radius`` bits, the smaller one first.
+
+    A fingerprint is one or more long columns; of several, ``a`` is a0, a1, ... and so is ``b``.
+    """
+    several = len(words) > 1
+    a, b = ([f"{name}{k}" for k in range(len(words))] for name in "ab")
+    names = [F.col(c).alias(c if several else c[0]) for c in (*a, *b)]
+    return _near(_values(prints, words), radius, words).where(F.struct(*a) < F.struct(*b)).select(*names, "distance")
+
+
+def near_counts(prints: DataFrame, radius: int, words: tuple[str, ...]) -> DataFrame:
+    """(words, n_near): of fingerprints with any, the number of other distinct fingerprints within ``radius`` bits."""
+    return _near(_values(prints, words), radius, words).groupBy(*[F.col(f"a{k}").alias(w) for k, w in enumerate(words)]).agg(
+        F.count("*").alias("n_near"))

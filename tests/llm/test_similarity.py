@@ -188,3 +188,32 @@ def test_fingerprints_within_a_radius(spark):
     found = simhash.within_radius(spark.createDataFrame([(v,) for v in [*signed, signed[0], None]], "fp long"), 3).collect()
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) % (1 << 64)).count("1") <= 3}
     assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def test_fingerprints_of_two_words_within_a_radius(spark):
+    rng = random.Random(11)
+    values = [rng.getrandbits(128) for _ in range(30)] + [0, 1, (1 << 128) - 1, 1 << 64]
+    values += [v ^ sum(1 << b for b in rng.sample(range(128), n)) for v in values[:20] for n in (1, 2, 3, 3, 4)]
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    rows = [(signed(v % (1 << 64)), signed(v >> 64)) for v in values]
+    df = spark.createDataFrame([*rows, rows[0], (None, 1)], "x long, y long")
+    for radius in (1, 2, 3, 4):
+        near = {(p, q): bin(v ^ w).count("1") for p, v in zip(rows, values, strict=True) for q, w in zip(rows, values, strict=True) if v != w}
+        near = {pair: d for pair, d in near.items() if d <= radius}
+        found = simhash.within_radius(df, radius, ("x", "y")).collect()
+        assert {((r.a0, r.a1), (r.b0, r.b1)): r.distance for r in found} == {(p, q): d for (p, q), d in near.items() if p < q}
+        assert len(found) == sum(p < q for p, q in near)
+        counts = {(r.x, r.y): r.n_near for r in simhash.near_counts(df, radius, ("x", "y")).collect()}
+        assert counts == {p: sum(a == p for a, _ in near) for p in {a for a, _ in near}}
+
+
+def test_documents_have_their_near_fingerprints(spark):
+    rng = random.Random(13)
+    vocabulary = [f"v{k}" for k in range(300)]
+    texts = [t for _ in range(10) for t in near_copies(rng, vocabulary, 8, 400, 4)] + [None, "", "one"]
+    rows = [*enumerate(texts), (1000, texts[0]), (None, texts[1])]
+    got = simhash.fingerprint_documents(frame_of(spark, rows)).collect()
+    prints = {int(r.fingerprint, 16) for r in got}
+    assert len(got) == len(rows) and any(r.n_near for r in got)
+    for r in got:
+        assert r.n_near == sum(0 < bin(int(r.fingerprint, 16) ^ p).count("1") <= simhash.RADIUS for p in prints)
