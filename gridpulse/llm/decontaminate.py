@@ -9,8 +9,9 @@ The automaton is bounded: patterns come in blocks of ``block_bytes`` of pattern
 benchmark. Driver and executors hold one block at a time; each further block is another pass over what the
 one before wrote.
 
-Defined cases: null or wordless texts have no words and no hits; null or wordless items have no
-windows; items with equal windows all count; repeated rows are judged row by row; other columns of
+Defined cases: null or wordless texts have no words and no hits; items with a null or wordless text have no
+windows; items without an id hit like any other and all together count as one item, which items_sha256 leaves out;
+items with equal windows all count; repeated rows are judged row by row; other columns of
 either table are ignored; an empty item table hits nothing.
 """
 
@@ -42,7 +43,7 @@ def item_patterns(text: bytes, window: int) -> set[bytes]:
     return {b" %b " % b" ".join(found[i:i + size]) for i in range(len(found) - size + 1)}
 
 
-def build_automaton(patterns: dict[bytes, list[str]]):
+def build_automaton(patterns: dict[bytes, list[str | None]]):
     """The automaton of some patterns; a match yields the pattern's length and its items."""
     import ahocorasick
 
@@ -53,7 +54,7 @@ def build_automaton(patterns: dict[bytes, list[str]]):
     return automaton
 
 
-def scan_text(text: bytes, automaton) -> tuple[int, set[str], list[tuple[int, int, int, int]]]:
+def scan_text(text: bytes, automaton) -> tuple[int, set[str | None], list[tuple[int, int, int, int]]]:
     """Number of words, items found, and the hit stretches as (first word, last word, start, end).
 
     Start and end are code points of the original text, end exclusive.
@@ -62,7 +63,7 @@ def scan_text(text: bytes, automaton) -> tuple[int, set[str], list[tuple[int, in
     found = normal.split()
     if not found:
         return 0, set(), []
-    items: set[str] = set()
+    items: set[str | None] = set()
     spans = []
     for end, (size, own) in automaton.iter((b" %b " % b" ".join(found)).decode("latin-1")):
         items.update(own)
@@ -86,12 +87,12 @@ def scan_text(text: bytes, automaton) -> tuple[int, set[str], list[tuple[int, in
     ]
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+def pattern_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[dict[bytes, list[str | None]]]:
     """The patterns with their items, some ``block_bytes`` at a time, read by row stream from the executors."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    block: dict[bytes, list[str]] = {}
+    block: dict[bytes, list[str | None]] = {}
     size = 0
-    for row in rows.where("item_id is not null and text is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         for pattern in item_patterns(row.text.encode(), window):
             if pattern not in block:
                 size += len(pattern)
@@ -133,7 +134,7 @@ def _scan(patterns: Broadcast):
             for text, own, spans in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 n, more, new = scan_text(text, automaton) if automaton else (len(text.translate(LETTERS_AND_DIGITS).split()), set(), [])
                 counts.append(n)
-                items.append(sorted({*own, *more}))
+                items.append(sorted({*own, *more}, key=lambda i: (i is None, i or "")))
                 hits.append([dict(zip(SPAN, s, strict=True)) for s in merged([tuple(h[k] for k in SPAN) for h in spans] + new)])
             kinds = [batch.schema.field(k).type for k in (2, 3, 4)]
             yield pa.RecordBatch.from_arrays([

@@ -68,6 +68,26 @@ def test_decontamination_equals_brute_force(spark, vocabulary):
         assert row.items_sha256 == sha(",".join(sorted(held))) and row.contaminated == bool(hit)
 
 
+def test_items_without_an_id_hit_as_in_sql(spark):
+    import duckdb
+
+    from gridpulse.llm.queries import ORACLE
+    items = [(None, "a1 b1 c1"), (None, "d1 e1 f1"), ("i2", "d1 e1 f1"), ("", "g1 h1"), ("i4", None), (None, None), (None, "!?")]
+    texts = ["x a1 b1 c1 y", "a1 b1 c1 d1 e1 f1", "d1 e1 f1", "g1 h1 a1 b1 c1", "b1 c1 d1", None, "a1 b1 c1 g1 h1 d1 e1 f1"]
+    docs, benchmark = documents(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.execute(ORACLE["op1_decontamination"]).fetchall())
+    assert [r[3] for r in want] == [1, 2, 2, 2, 0, 0, 3]
+    for size in (8 << 20, 5):  # one pass, several
+        got = decontaminate.digest(decontaminate.find_items(docs, benchmark, block_bytes=size)).collect()
+        assert sorted(tuple(r) for r in got) == want
+        assert sorted(r.doc_id for r in decontaminate.clean(docs, benchmark, block_bytes=size).collect()) == [4, 5]
+
+
 def test_hit_spans_lie_on_the_original_text(spark):
     item = "One two three four five six seven eight nine ten"
     text = "Été! ONE two-three four five, six seven eight nine TEN; end"
