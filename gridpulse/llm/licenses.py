@@ -1,14 +1,13 @@
 """License scans by DataFrame functions alone: MinHash bands retrieve templates, exact containment verifies.
 
-Templates are cut into five-word shingles. Overlapping text windows of ``2n`` words every ``n`` words, for each
-size class n of the templates, hold any template of that class whole. A window and a template that agree in one
-of ``BANDS`` bands of one row (one minimum each) are a candidate pair. A whole template is at least ``J`` = 1/5 of its
-window's shingles, so the chance to miss it is (1-J)**BANDS, under 1e-6 for the 64 bands here, and under 1e-4 for
-one of which just 0.8 is there. Candidates are verified by exact shingle containment over the
-whole text: found means that at least 0.8 of the template's distinct shingles occur.
+Templates are cut into five-word shingles. A band is one minimum: the template's shingle with the least hash of that band. Text
+windows are as short as can be, one shingle each, so that a band agrees wherever its minimal shingle stands, whatever is
+around it. Found means that at least 0.8 of a template's distinct shingles occur, anywhere in the text. A template
+gets bands until its distinct minimal shingles are more than such a text may lack: one of them is then in every text that holds
+the template, and retrieval misses none, of any length and at any place. Candidates are verified by exact
+shingle containment over the whole text.
 
-Only a window that holds a template's minimal shingle can agree with it. So texts without one are left out first,
-by one regular expression for all of them, and bands are taken of the windows around minimal shingles. Both are exact.
+Texts without a minimal shingle are left out first, by one regular expression for all of them.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased; a template of fewer
 than five words is one shingle of them all and is looked for at that length.
@@ -19,6 +18,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.common import ready
 
-SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
+SHINGLE, CONTAINED = 5, 0.8
 
 # License notices, by public license name.
 TEMPLATES = {
@@ -79,42 +79,33 @@ def shingle_array(found: Column, first: Column, last: Column, size: int) -> Colu
     return F.transform(starts, lambda i: shingle_at(found, i, size))
 
 
-def minima(shingles: Column) -> Column:
-    """One minimum per band, a different hash each; nulls for no shingles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
-
-
-def size_class(words: int) -> int:
-    """Half a window: the next power of two from eight up."""
-    size = 8
-    while size < words:
-        size *= 2
-    return size
+def minimal_shingles(minima: list[str], shingles: list[str]) -> list[str]:
+    """The distinct minimal shingles of as many bands as it takes to be more than a text that holds the template may lack."""
+    needed = len(shingles) - math.ceil(CONTAINED * len(shingles)) + 1
+    return list(dict.fromkeys([*minima, *shingles]))[:needed]
 
 
 class Template(NamedTuple):
     name: str
-    half: int
     size: int
     shingles: list[str]
-    minima: list[int]
     minimal: list[str]
 
 
 def prepare(spark: SparkSession, templates: dict[str, str]) -> list[Template]:
-    """The templates with their bands, hashed by the same functions as the texts; a table of a few rows."""
+    """The templates with their minimal shingles; a table of a few rows."""
     rows = []
     for name, text in sorted(templates.items()):
         if shingles := template_shingles(text):
-            n = len(plain_words(text))
-            rows.append((name, size_class(n), min(SHINGLE, n), shingles))
+            rows.append((name, min(SHINGLE, len(plain_words(text))), shingles))
     if not rows:
         return []
-    table = spark.createDataFrame(rows, "name string, half int, size int, shingles array<string>").coalesce(1)
-    least = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(
+    table = spark.createDataFrame(rows, "name string, size int, shingles array<string>").coalesce(1)
+    # As many bands as shingles have about 0.63 of them as minima.
+    least = F.transform(F.sequence(F.lit(1), F.size("shingles")), lambda b: F.array_min(F.transform(
         "shingles", lambda s: F.struct(F.xxhash64(s, b).alias("h"), s.alias("s")))))
     return [
-        Template(r.name, r.half, r.size, r.shingles, [m.h for m in r.least], sorted({m.s for m in r.least}))
+        Template(r.name, r.size, r.shingles, minimal_shingles([m.s for m in r.least], r.shingles))
         for r in table.withColumn("least", least).collect()
     ]
 
@@ -161,20 +152,14 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
         hits = F.filter(starts, lambda i: shingle_at(F.col("words"), i, size).isin(minimal))  # noqa: B023
         rows = rows.withColumn(f"hits_{size}", hits)
         rows = rows.withColumn(f"hits_{size}", F.when(F.size(f"hits_{size}") > 0, F.col(f"hits_{size}")))
-    kinds = sorted({(t.half, t.size) for t in known})
-    for half, size in kinds:
-        last = F.size("words") - size
-        nth = F.transform(f"hits_{size}", lambda p: F.array(F.floor(p / half).cast("int"), F.floor(p / half).cast("int") - 1))  # noqa: B023
-        windows = F.filter(F.array_distinct(F.flatten(nth)), lambda k: k >= 0)
-        sets = F.transform(windows, lambda k: shingle_array(  # noqa: B023
-            F.col("words"), k * half, F.least(k * half + 2 * half - size, last), size))  # noqa: B023
-        rows = rows.withColumn(f"bands_{half}_{size}", F.transform(sets, minima))
+    for size in sizes:
+        rows = rows.withColumn(f"found_{size}", F.transform(f"hits_{size}", lambda p: shingle_at(F.col("words"), p, size)))  # noqa: B023
     for size in sizes:
         rows = rows.withColumn(f"shingles_{size}", F.when(
             F.size(f"hits_{size}") > 0, F.array_distinct(shingle_array(F.col("words"), F.lit(0), F.size("words") - size, size))))
 
     def held(t: Template) -> Column:
-        agrees = F.exists(f"bands_{t.half}_{t.size}", lambda m: F.arrays_overlap(m, F.array(*[F.lit(x) for x in t.minima])))
+        agrees = F.arrays_overlap(f"found_{t.size}", texts(t.minimal))
         contained = F.size(F.array_intersect(f"shingles_{t.size}", texts(t.shingles)))
         return F.when(agrees & (contained >= F.lit(CONTAINED * len(t.shingles))), F.lit(t.name))
 

@@ -247,6 +247,32 @@ def test_licenses_equal_containment(spark):
     assert [r.licenses for r in own] == ["ARR", ""] and licenses.scan_licenses(documents(spark, ["a"]), {}).first().n_licenses == 0
 
 
+def test_short_and_scattered_templates_are_found_at_every_place(spark):
+    filler = [f"w{k}" for k in range(160)]
+    # Many one- to five-word templates, as each was missed at some places only.
+    own = {f"T{n}-{k}": " ".join(f"t{n}x{k}x{i}" for i in range(n)) for n in range(1, 6) for k in range(40)}
+    own["long"] = " ".join(f"l{i}" for i in range(40))
+    own["again"] = "la " * 12
+    texts, want = [], []
+    for at in range(0, 70):
+        names = [n for k, n in enumerate(own) if k % 70 == at or n in (f"T1-{at % 40}", f"T5-{at % 40}")]
+        texts.append(" ".join(filler[:at]) + " " + " ".join(" ".join([own[n], *filler[at:at + 40]]) for n in names) + " " + " ".join(filler[at:]))
+        want.append(",".join(sorted(set(names))))
+    # Of the long one's 36 shingles, 30 stand in six stretches far apart; then 28, too few for 0.8.
+    pieces = [own["long"].split()[i:i + 9] for i in (0, 5, 10, 15, 20, 25)]
+    texts.append((" " + " ".join(filler) + " ").join(map(" ".join, pieces)))
+    texts.append((" " + " ".join(filler) + " ").join(map(" ".join, [*pieces[:5], pieces[5][:7]])))
+    want += ["long", ""]
+    rows = {r.doc_id: r.licenses for r in licenses.scan_licenses(documents(spark, texts), own).collect()}
+    assert [rows[d] for d in range(len(texts))] == want
+
+
+def test_every_found_text_holds_a_minimal_shingle(spark):
+    for t in licenses.prepare(spark, {**licenses.TEMPLATES, "one": "a", "long": " ".join(f"l{i}" for i in range(60))}):
+        lacking = max(k for k in range(len(t.shingles)) if len(t.shingles) - k >= 0.8 * len(t.shingles))
+        assert len(set(t.minimal)) == len(t.minimal) == lacking + 1 and set(t.minimal) <= set(t.shingles)
+
+
 def test_packing_is_a_round_trip(spark):
     import numpy as np
     import zlib
