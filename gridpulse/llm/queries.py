@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import decontaminate, jaccard, langid, licenses, packing, secrets, simhash, substring, toxicity, urls
+from gridpulse.llm import centroids, decontaminate, jaccard, langid, licenses, packing, secrets, simhash, substring, toxicity, urls
 from gridpulse.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,10 +59,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_substring_dedup, op3_toxicity, op4_url_filter, op5_packing, op6_license_scan, op7_simhash,
-        op8_language, op9_secrets, op10_jaccard_join)
+        op8_language, op9_secrets, op10_jaccard_join, op12_centroids)
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,4 +138,35 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_of, doc_id)
 FROM documents LEFT JOIN class USING (doc_id) LEFT JOIN copies USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_license_scan": OP6_SQL, "op10_jaccard_join": OP10_SQL}
+_NEAREST = """
+d{0} AS (
+  SELECT x.r, c.k, sum((x.v - c.v) * (x.v - c.v)) AS distance FROM x JOIN c{0} c USING (i) GROUP BY x.r, c.k),
+a{0} AS (SELECT r, k, distance FROM d{0} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, k) = 1)"""
+_MOVED = """,
+s{0} AS (SELECT a.k, x.i, sum(x.v) AS s, count(*) AS n FROM a{0} a JOIN x USING (r) GROUP BY a.k, x.i),
+c{1} AS (
+  SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v FROM c{0} c LEFT JOIN s{0} USING (k, i)),"""
+
+# Integer components stand as rows (vector, place, value); each round is a distance table and its nearest centroid.
+OP12_SQL = (
+    f"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS (
+  SELECT r, i, CAST(floor({centroids.SCALE} * CAST(embedding[i] AS DOUBLE)) AS HUGEINT) AS v
+  FROM (SELECT r, embedding, unnest(range(1, {centroids.COMPONENTS} + 1)) AS i FROM e)),
+w AS (SELECT r, list(v ORDER BY i) AS vs FROM x GROUP BY r),
+f AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, vs) - 1 AS k
+  FROM e JOIN w USING (r) QUALIFY k < {centroids.CLUSTERS}),
+c0 AS (SELECT f.k, x.i, x.v FROM f JOIN x USING (r)),"""
+    + "".join(_NEAREST.format(k) + _MOVED.format(k, k + 1) for k in range(centroids.ROUNDS)) + _NEAREST.format(centroids.ROUNDS)
+    + """,
+h AS (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{0} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{0} JOIN e USING (r) JOIN h USING (k)
+""".format(centroids.ROUNDS))
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_license_scan": OP6_SQL, "op10_jaccard_join": OP10_SQL, "op12_centroids": OP12_SQL}

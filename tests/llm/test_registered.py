@@ -25,6 +25,7 @@ COLUMNS = {
     "op8": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10": "doc_id bigint, class_id bigint, copy_of bigint, n_links bigint",
+    "op12": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
@@ -55,7 +56,7 @@ def test_equals_sql(spark, con, name):
     assert compare(spark, SF_DIR, name, QUERIES[name], ORACLE[name], con)[2] == "ok"
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op6_license_scan", "op7_simhash"])
+@pytest.mark.parametrize("name", ["op4_url_filter", "op6_license_scan", "op7_simhash", "op12_centroids"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
