@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import centroids, decontaminate, jaccard, langid, licenses, packing, secrets, simhash, substring, toxicity, urls
+from gridpulse.llm import alignment, centroids, decontaminate, jaccard, langid, licenses, packing, repeats, secrets, simhash, substring, toxicity, urls
 from gridpulse.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer file the packing contract names."""
+def public_path(name: str) -> str:
+    """The place of a public tokenizer file."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file the packing contract names."""
+    return public_path(TOKENIZER)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +64,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_substring_dedup, op3_toxicity, op4_url_filter, op5_packing, op6_license_scan, op7_simhash,
-        op8_language, op9_secrets, op10_jaccard_join, op12_centroids)
+        op8_language, op9_secrets, op10_jaccard_join, op11_alignment, op12_centroids, op13_suffix_dedup)
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -169,4 +182,27 @@ SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distan
 FROM a{0} JOIN e USING (r) JOIN h USING (k)
 """.format(centroids.ROUNDS))
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_license_scan": OP6_SQL, "op10_jaccard_join": OP10_SQL, "op12_centroids": OP12_SQL}
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (
+  SELECT r, s, substr(x, 2 * s + 1, {2 * repeats.WINDOW}) AS t
+  FROM (SELECT r, x, unnest(range(0, len(x) // 2 - {repeats.WINDOW - 1})) AS s FROM d WHERE len(x) >= {2 * repeats.WINDOW})),
+f AS (SELECT t FROM w GROUP BY t HAVING count(*) > 1),
+hit AS (SELECT r, s, s - row_number() OVER (PARTITION BY r ORDER BY s) AS run FROM w SEMI JOIN f USING (t)),
+runs AS (SELECT r, min(s) AS a, max(s) + {repeats.WINDOW} AS b FROM hit GROUP BY r, run),
+spans AS (
+  SELECT r, min(a) AS a, max(b) AS b FROM (
+    SELECT *, sum(CASE WHEN a <= before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY a) AS span
+    FROM (SELECT *, lag(b) OVER (PARTITION BY r ORDER BY a) AS before FROM runs)) GROUP BY r, span),
+gaps AS (SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM (SELECT r, a, b FROM spans UNION ALL SELECT r, -1, 0 FROM d)),
+kept AS (
+  SELECT r, string_agg(CASE WHEN gaps.b IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (gaps.b - a)) END, '' ORDER BY a) AS k
+  FROM gaps JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_license_scan": OP6_SQL, "op10_jaccard_join": OP10_SQL, "op12_centroids": OP12_SQL,
+                           "op13_suffix_dedup": OP13_SQL}

@@ -25,7 +25,9 @@ COLUMNS = {
     "op8": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10": "doc_id bigint, class_id bigint, copy_of bigint, n_links bigint",
+    "op11": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op12": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
 
 
