@@ -9,6 +9,11 @@ other side that holds its last byte; one that ends there too is the component's
 pair points to itself. Doubling the successors (``next = next[next]``) of all tokens of a batch at once reaches every
 component's terminal token in as many rounds as the logarithm of the longest chain; the terminal labels the group.
 
+Neither side has a token that goes from a letter or sign over into a space, so both sides end before every space that follows one,
+and no group spans such a place. A text is therefore cut there, and each distinct stretch is aligned once a process
+while it is remembered; a text's groups are its stretches' groups in turn. Where a piece model has tokens across
+spaces, and for stretches that it rewrites, texts are aligned whole.
+
 The tokens of a link are those that end together, so a group has one. Corpus-wide counts of linked id pairs are plain
 groupings: a block of documents (about ``block_bytes`` of text) keeps its distinct pairs once, with counts, and its
 documents refer to them by place, so a pair in every document is one row per block. The totals go back to the blocks by
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,7 +43,9 @@ from gridpulse.llm.common import ready
 from gridpulse.llm.text import blocks
 from gridpulse.session import stage_table
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, STEP_BYTES = 4 << 20, 1 << 19
+# Stretches a process remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 # Splits a text before the byte-level merges; the default of byte-level BPE files, which name it only by "use_regex".
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # A row is a document, or (doc_id null, counts given) the pairs of its block.
@@ -107,16 +115,6 @@ def piece_side(path: str) -> Side:
     return Side(lambda texts: model.encode(texts, num_threads=1), token, np.array([len(t) for t in token]))
 
 
-_SIDES: dict[tuple[str, str], tuple[Side, Side]] = {}
-
-
-def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
-    """Both tokenizers of this process, loaded once."""
-    if (a_path, b_path) not in _SIDES:
-        _SIDES[a_path, b_path] = (byte_side(a_path), piece_side(b_path))
-    return _SIDES[a_path, b_path]
-
-
 def terminals(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
     """Per token, A tokens first, the terminal token of its component. Ends ascend and both sides cover the same bytes."""
     over_a = np.searchsorted(b_end, a_end)  # the B token with the last byte of each A token
@@ -142,24 +140,51 @@ class Aligned(NamedTuple):
     label: np.ndarray  # the group's number, per A token and then per B token
 
 
+def align_joined(texts: list[str], a: Side, b: Side) -> Aligned | None:
+    """`align` of stretches that none of a space's tokens goes beyond, as one text; None if a side rewrites any of it."""
+    text = " ".join(texts)
+    ids_a, ids_b = np.array(a.encode([text])[0], np.int64), np.array(b.encode([text])[0], np.int64)
+    whole = b" " + text.encode()
+    if b"".join(map(a.token.__getitem__, ids_a.tolist())) != whole or b"".join(map(b.token.__getitem__, ids_b.tolist())) != whole:
+        return None
+    bounds = np.cumsum([0, *[len(t.encode()) + 1 for t in texts]])
+    a_end, b_end = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
+    return _labelled(ids_a, ids_b, np.searchsorted(a_end, bounds, "right"), np.searchsorted(b_end, bounds, "right"), a_end, b_end)
+
+
 def align(texts: list[str], a: Side, b: Side) -> Aligned:
     """Token ids and groups of some texts; a text without a common covering has none."""
     rows_a, rows_b = a.encode(texts), b.encode(texts)
     for i, text in enumerate(texts):
         whole = b" " + text.encode()
-        if not text or b"".join([b.token[t] for t in rows_b[i]]) != whole or b"".join([a.token[t] for t in rows_a[i]]) != whole:
+        if b"".join([b.token[t] for t in rows_b[i]]) != whole or b"".join([a.token[t] for t in rows_a[i]]) != whole:
             rows_a[i], rows_b[i] = [], []
     ids_a, ids_b = (np.array([t for row in rows for t in row], np.int64) for rows in (rows_a, rows_b))
     a_at, b_at = (np.cumsum([0, *map(len, rows)]) for rows in (rows_a, rows_b))
-    a_end, b_end = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
+    return _labelled(ids_a, ids_b, a_at, b_at, np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b]))
+
+
+def _labelled(
+    ids_a: np.ndarray, ids_b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, a_end: np.ndarray, b_end: np.ndarray,
+) -> Aligned:
     ends = terminals(a_end, b_end) if len(ids_a) else np.empty(0, np.int64)
     last = np.flatnonzero(ends[:len(ids_a)] == np.arange(len(ids_a)))
     links = np.column_stack((last, np.searchsorted(b_end, a_end[last])))
     return Aligned(ids_a, ids_b, a_at, b_at, links, np.searchsorted(last, a_at), np.searchsorted(last, ends))
 
 
-def group_digests(found: Aligned) -> list[str]:
-    """Per document the hash of its groups' ids, ``a1,a2|b1;a3|b2,b3``; without tokens the empty text."""
+_SHOWN: list[bytes] = []
+
+
+def shown_ids(most: int) -> list[bytes]:
+    """Every id below ``most`` in decimal with what may follow it: an id of the same side, the other side, a group, nothing."""
+    for i in range(len(_SHOWN) // 4, most):
+        _SHOWN.extend(f"{i}{after}".encode() for after in (",", "|", ";", ""))
+    return _SHOWN
+
+
+def group_texts(found: Aligned) -> list[bytes]:
+    """Per text the ids of its groups, ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
     n = len(found.a)
     side = np.repeat([0, 1], [n, len(found.b)])
     order = np.lexsort((side, found.label))
@@ -167,8 +192,97 @@ def group_digests(found: Aligned) -> list[str]:
     after = np.where(np.diff(label, append=-1) != 0, 2, np.where(np.diff(side, append=-1) != 0, 1, 0))
     cut = found.a_at + found.b_at
     after[cut[1:][cut[1:] > cut[:-1]] - 1] = 3
-    shown = [f"{i}{',|;'[k:k + 1]}" for i, k in zip(ids.tolist(), after.tolist(), strict=True)]
-    return [hashlib.sha256("".join(shown[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    shown = list(map(shown_ids(int(ids.max(initial=-1)) + 1).__getitem__, (4 * ids + after).tolist()))
+    ends = cut.tolist()
+    return [b"".join(shown[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+# White space before a space, or at either end.
+_RUN = re.compile(r"\s |^\s|\s$")
+
+
+def stretches(text: str) -> list[str]:
+    """A space and the text, cut before each space that follows something else; without the leading spaces."""
+    if not _RUN.search(text):
+        return text.split(" ")
+    out, held = [], None
+    for part in text.split(" "):
+        if held is not None:
+            part = f"{held} {part}"
+        if not part or part[-1].isspace():
+            held = part
+        else:
+            out.append(part)
+            held = None
+    return out if held is None else [*out, held]
+
+
+class Known:
+    """What a process knows of stretches: their numbers of tokens and links, link codes, and group texts."""
+
+    def __init__(self, a: Side, b: Side, cuttable: bool | None = None):
+        self.a, self.b, self.base = a, b, len(b.token)
+        # A piece of other characters and a later space would cross a cut.
+        self.cuttable = not any(b" " in t.lstrip(b" ") for t in b.token) if cuttable is None else cuttable
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.n_a: list[int] = []
+        self.n_b: list[int] = []
+        self.codes: list[bytes] = []
+        self.groups: list[bytes] = []
+
+    def learn(self, texts: list[str], joined: bool = False) -> None:
+        """Remember these; ``joined`` if each begins after a space and ends in something else."""
+        found = align_joined(texts, self.a, self.b) if joined and texts else None
+        if found is None:
+            found = align(texts, self.a, self.b)
+        n = len(self.n_a)
+        codes = (found.a[found.links[:, 0]] * self.base + found.b[found.links[:, 1]]).astype("<i8").tobytes()
+        ends = (8 * found.link_at).tolist()
+        self.n_a += np.diff(found.a_at).tolist()
+        self.n_b += np.diff(found.b_at).tolist()
+        self.codes += [codes[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        groups = group_texts(found)
+        self.groups += groups
+        # Without tokens: to be aligned as part of the whole text.
+        self.at.update(zip(texts, [k if g else -1 for k, g in enumerate(groups, n)], strict=True))
+
+    def documents(self, texts: list[str]) -> Iterator[tuple[int, int, int, bytes, str]]:
+        """Per text: A tokens, B tokens, links, their codes, the digest of the groups."""
+        parts = [stretches(t) if t and self.cuttable else [] for t in texts]
+        new = set().union(*parts).difference(self.at)
+        odd = [p for p in new if not p or p[-1].isspace()]
+        self.learn(odd)
+        self.learn([p for p in new if p and not p[-1].isspace()], joined=True)
+        rows = [list(map(self.at.__getitem__, row)) for row in parts]
+        whole = [i for i, row in enumerate(rows) if texts[i] and (not row or -1 in row)]
+        alone = Known(self.a, self.b, self.cuttable)
+        alone.learn([texts[i] for i in whole])
+        place = dict(zip(whole, range(len(whole)), strict=True))
+        for i, row in enumerate(rows):
+            source, row = (alone, [place[i]]) if i in place else (self, row)
+            groups = b";".join(map(source.groups.__getitem__, row))
+            codes = b"".join(map(source.codes.__getitem__, row))
+            yield (sum(map(source.n_a.__getitem__, row)), sum(map(source.n_b.__getitem__, row)), len(codes) // 8, codes,
+                   hashlib.sha256(groups).hexdigest() if groups else "")
+        if len(self.at) > REMEMBERED:
+            self.forget()
+        for p in new:
+            if len(p) > LONGEST and p in self.at:
+                k = self.at.pop(p)
+                self.codes[k] = self.groups[k] = b""
+
+
+_KNOWN: dict[tuple[str, str], Known] = {}
+
+
+def known(a_path: str, b_path: str) -> Known:
+    """What this process knows of two tokenizers, kept for all tasks of the process."""
+    if (a_path, b_path) not in _KNOWN:
+        _KNOWN[a_path, b_path] = Known(byte_side(a_path), piece_side(b_path))
+    return _KNOWN[a_path, b_path]
 
 
 def align_documents(documents: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -177,30 +291,35 @@ def align_documents(documents: DataFrame, a_path: str, b_path: str, block_bytes:
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(a_path, b_path)
+        memory = known(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            sized = blocks((t.encode() for t in texts), block_bytes)
-            for first, held in sized:
-                yield _block_rows(block, ids[first:first + len(held)], align(texts[first:first + len(held)], a, b), len(b.token))
+            for first, held in blocks((t.encode() for t in texts), block_bytes):
+                yield _block_rows(block, ids[first:first + len(held)], texts[first:first + len(held)], memory)
                 block += 1
 
     return source.mapInArrow(each, ALIGNED)
 
 
-def _block_rows(block: int, ids: list, found: Aligned, base: int) -> pa.RecordBatch:
-    code = found.a[found.links[:, 0]] * base + found.b[found.links[:, 1]]
-    pairs, ref, counts = np.unique(code, return_inverse=True, return_counts=True)
-    n, spans = len(ids), list(zip(found.link_at[:-1], found.link_at[1:], strict=True))
-    n_links = np.diff(found.link_at)
-    longs = [np.diff(found.a_at), np.diff(found.b_at), n_links, n_links]
+def _block_rows(block: int, ids: list, texts: list[str], memory: Known) -> pa.RecordBatch:
+    rows = []
+    # Lists of ids and their texts take many times the room of a text, so few documents at a time.
+    for first, held in blocks((t.encode() for t in texts), STEP_BYTES):
+        rows += memory.documents(texts[first:first + len(held)])
+    n_a, n_b, n_links, codes, digests = zip(*rows, strict=True)
+    pairs, ref, counts = np.unique(np.frombuffer(b"".join(codes), "<i8"), return_inverse=True, return_counts=True)
+    n, ref, ends = len(ids), ref.astype("<u4"), np.cumsum(n_links)
+    refs = [ref[y - k:y].tobytes() for y, k in zip(ends.tolist(), n_links, strict=True)]
+
+    def one_list(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([None] * n + [0, len(values)], pa.int32()), pa.array(values, pa.int64()))
+
     return pa.RecordBatch.from_arrays([
         pa.array([block] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()),
-        *[pa.array([*x.tolist(), 0], pa.int64()) for x in longs], pa.array([*group_digests(found), ""]),
-        pa.array([*[ref[x:y].astype("<u4").tobytes() for x, y in spans], None], pa.binary()),
-        pa.array([*[None] * n, pairs.tolist()], pa.list_(pa.int64())), pa.array([*[None] * n, counts.tolist()], pa.list_(pa.int64())),
+        *[pa.array([*x, 0], pa.int64()) for x in (n_a, n_b, n_links, n_links)], pa.array([*digests, ""]),
+        pa.array([*refs, None], pa.binary()), one_list(pairs), one_list(counts),
     ], names=[c.split()[0] for c in ALIGNED.split(", ")])
 
 
@@ -217,7 +336,7 @@ def pair_counts(aligned: DataFrame, base: int) -> DataFrame:
 def align_corpus(documents: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: tokens, groups and links, how many links are their B id's best, the links' counts summed, the digest."""
     aligned = stage_table(align_documents(documents, a_path, b_path, block_bytes), "aligned")
-    base = len(sides(a_path, b_path)[1].token)
+    base = known(a_path, b_path).base
     totals = stage_table(pair_counts(aligned, base), "pairs")
     placed = aligned.where("pairs IS NOT NULL").select(
         F.col("block").alias("of_block"), F.posexplode("pairs").alias("place", "pair"))
