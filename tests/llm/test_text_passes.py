@@ -311,3 +311,18 @@ def test_open_bins_fit_best_and_close_the_fullest():
     assert bins.place(3) == (1, 7)  # the bin with just three left
     assert bins.place(5) == (2, 0) and bins.place(8) == (3, 0)  # bin 0 was the fullest and closed
     assert bins.place(4) == (2, 5) and bins.open == 2
+
+
+def test_packing_takes_the_tokenizers_ids_on_any_text():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    ranges = [(32, 127), (32, 127), (0xA0, 0x250), (0x250, 0x700), (0x700, 0x2000), (0x2000, 0x3100), (0x3100, 0xD7FF), (0xE000, 0xFFFD), (0x10000, 0x1FFFF)]
+    texts = ["TÜRKİ. BEŞİ, son", "İ.", "İΣ.", "ΑΣ.", "ΑΣ, ΑΣ", "ŉ. ǰ, ΐ.", "İ,İ."]
+    for _ in range(50_000):
+        low, high = rng.choice(ranges)
+        chars = [chr(rng.randrange(low, high)) for _ in range(rng.randrange(1, 9))]
+        texts.append("".join(c if rng.random() < 0.8 else rng.choice(" .,İΣ") for c in chars))
+    wanted = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    known = packing.WordIds(tokenizer_path())
+    assert [t for t, w in zip(texts, wanted) if known.text(t) != b"".join(i.to_bytes(4, "little") for i in w.ids)] == []
