@@ -62,10 +62,14 @@ def template_shingles(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(found[i:i + size]) for i in range(len(found) - size + 1))) if found else []
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; null is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def word_array(text: Column) -> Column:
     """The words of a text; an empty array for none."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(lowered(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def shingle_at(found: Column, place: Column, size: int) -> Column:
@@ -141,7 +145,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not known:
         return rows.select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"))
-    likely = F.lower("text").rlike(any_of([s for t in known for s in t.minimal]))
+    likely = lowered(F.col("text")).rlike(any_of([s for t in known for s in t.minimal]))
     rows = rows.select("doc_id", F.when(likely, word_array(F.col("text"))).alias("words"))
     sizes = sorted({t.size for t in known})
     for size in sizes:

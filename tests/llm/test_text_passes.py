@@ -326,3 +326,10 @@ def test_packing_takes_the_tokenizers_ids_on_any_text():
     wanted = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
     known = packing.WordIds(tokenizer_path())
     assert [t for t, w in zip(texts, wanted) if known.text(t) != b"".join(i.to_bytes(4, "little") for i in w.ids)] == []
+
+
+def test_licenses_with_letters_beyond_ascii(spark):
+    templates = {"libre": "École Libre de Ťest İstanbul Σas", "caps": "ÀÉÎ ÕÜ"}
+    texts = ["x École LIBRE de Ťest İstanbul Σas y", "école libre de ťest i̇stanbul σas", "àéî õü", "À ÀÉÎ ÕÜ", "x" * 200_000 + " ÀÉÎ ÕÜ", None]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(documents(spark, texts), templates).collect()}
+    assert [got[k] for k in range(len(texts))] == ["libre", "", "", "caps", "caps", ""]
