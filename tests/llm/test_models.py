@@ -118,3 +118,16 @@ def test_urls_follow_rules_then_model(spark):
         assert rows[i].verdict == (best[2] if best else rows[i].verdict) and rows[i].verdict in ("allow", "block")
     assert [rows[i].verdict for i in (13, 14, 15, 16)] == ["block", "block", "allow", "allow"]
     assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(k, "aaaa bbbb " * 9 if k % 2 else "zzzz yyyy " * 9, "ab" if k % 2 else "zy") for k in range(300)]
+    rows += [(1000 + k, "zzzz yyyy " * 9, f"tag{k}") for k in range(400)]
+    rows += [(7, "aaaa bbbb " * 9, "ab")] * 400  # one row on a third of the table
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify_languages(df, per_lang=100, most_langs=2, steps=60)
+    got = {(r.doc_id, r.lang_pred) for r in found.collect()}
+    assert found.count() == len(rows) and {l for _, l in got} == {"ab", "zy"}
+    assert len(langid.fit(df, per_lang=50, steps=1).langs) == 200  # beside the commonest, stray tags up to the bound
+
+
