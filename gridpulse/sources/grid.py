@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.schemas import GRID_FILE, KEY
+from gridpulse.sources.features import feature_texts
+
+_COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells of one or many GeoJSON files as ``(cell_id, geometry)``; a defect is an error.
 
-    A feature collection is a single JSON document, so a file is the unit of parallelism:
-    give a folder of files for a large grid.
+    A plain file is read in byte ranges by many tasks; a compressed one cannot be and is one task's work.
     """
-    reader = spark.read.schema(GRID_FILE).options(multiLine=True, mode="FAILFAST")
-    return require_grid(grid_from_features(reader.json(path)))
+    if path.rstrip("/").endswith(_COMPRESSED):
+        reader = spark.read.schema(GRID_FILE).options(multiLine=True, mode="FAILFAST")
+        return require_grid(grid_from_features(reader.json(path)))
+    parsed = F.from_json("feature", GRID_FILE["features"].dataType.elementType, {"mode": "FAILFAST"})
+    return require_grid(_cells(feature_texts(spark, path).select(parsed.alias("f"))))
 
 
 def parse_grid(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -33,7 +38,10 @@ def grid_from_features(collections: DataFrame) -> DataFrame:
 
     A collection without features and a feature without an id or a polygon are errors.
     """
-    feature = collections.select(F.explode(_need(F.col("features"), "no features in the grid")).alias("f"))
+    return _cells(collections.select(F.explode(_need(F.col("features"), "no features in the grid")).alias("f")))
+
+
+def _cells(feature: DataFrame) -> DataFrame:
     cell = F.coalesce("f.properties.cellId", "f.properties.cell_id")
     return feature.select(
         _need(cell, "a grid feature has no id").cast("bigint").alias(KEY),
