@@ -15,6 +15,7 @@ from gridpulse.functions.classes import (
 from gridpulse.functions.rounding import round_half_even
 from gridpulse.operators.quantiles import ONE_TASK_VALUES, exact_percentiles
 from gridpulse.schemas import FEATURES, KEY
+from gridpulse.session import stage_table
 
 # How the parts of the impact score weigh.
 IMPACT_WEIGHTS = (0.5, 0.3, 0.2)
@@ -101,7 +102,12 @@ def class_cuts(full: DataFrame, metric: str, one_task: int = ONE_TASK_VALUES) ->
 def classify(stats: DataFrame, grid: DataFrame, metric: str = COUNT_METRIC, key: str = KEY) -> DataFrame:
     """Completed statistics with ``category``. An unknown metric is an error; see `usable_metrics`."""
     full = complete_over_grid(stats, grid, key)
-    cuts = class_cuts(full, metric)
+    if metric == COUNT_METRIC:
+        # Cells without anomalies have no part in these cuts, so they need no grid.
+        cuts = class_cuts(stats, metric)
+    else:
+        full = stage_table(full, "full_stats")
+        cuts = class_cuts(full, metric)
     step = count_class if metric == COUNT_METRIC else quintile_class
     return full.withColumn("category", step(metric, cuts))
 

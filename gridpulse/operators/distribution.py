@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KERNEL_BINS_PER_BANDWIDTH = 10
 KERNEL_REACH = 8
+_CURVE = "point int, x double, density double"
 
 
 def _edges(lo: float, hi: float) -> tuple[float, float]:
@@ -66,31 +68,29 @@ def density_curve(
 
     The bandwidth is the sample deviation times n^(-1/5). Values are first pre-aggregated to bins a
     tenth of a bandwidth wide, each standing at its own mean, so the curve is approximate: a bin's
-    spread shifts it by well under one in a thousand of its peak. A bin adds only to points within
-    eight bandwidths, beyond which the kernel is below 1e-13. NaN and infinities are left out.
+    spread moves the density by less than 1.3 thousandths of the kernel's peak (an eighth of the squared bin width in
+    bandwidths, the largest curvature of the kernel being its peak). A bin adds only to points within
+    eight bandwidths, beyond which the kernel is below 1e-13; values with no point that near are not binned at all.
+    So at most some 161 bins a point come to the driver, wherever outliers lie, and the curve is summed there. NaN and
+    infinities are left out.
     """
     x = finite(column)
     n, lo, hi, sd = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
     if not n or not sd:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+        return df.sparkSession.createDataFrame([], _CURVE)
     bandwidth = sd * n ** -0.2
-    width, step = bandwidth / bins_per_bandwidth, (hi - lo) / (points - 1)
+    width, step, reach = bandwidth / bins_per_bandwidth, (hi - lo) / (points - 1), KERNEL_REACH * bandwidth
+    # A bin stands within a bin's width of each of its values.
+    apart = F.abs(x - F.lit(lo) - F.least(F.round((x - F.lit(lo)) / F.lit(step)), F.lit(points - 1.0)) * F.lit(step))
     binned = (
-        df.where(x.isNotNull()).groupBy(F.floor((x - F.lit(lo)) / F.lit(width)).alias("slot"))
+        df.where(x.isNotNull() & (apart <= F.lit(reach + width))).groupBy(F.floor((x - F.lit(lo)) / F.lit(width)).alias("slot"))
         .agg(F.count(x).alias("n"), F.avg(x).alias("at"))
-    )
-    reach = F.lit(KERNEL_REACH * bandwidth)
-    first = F.greatest(F.lit(0), F.ceil((F.col("at") - reach - F.lit(lo)) / F.lit(step)))
-    last = F.least(F.lit(points - 1), F.floor((F.col("at") + reach - F.lit(lo)) / F.lit(step)))
-    near = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    added = binned.select("n", "at", F.explode(F.transform(near, lambda i: i.cast("int"))).alias("point"))
-    # A point that no bin is near has density zero.
-    bare = df.sparkSession.range(points).select(F.lit(0).cast("bigint").alias("n"), F.lit(lo).alias("at"), F.col("id").cast("int").alias("point"))
-    grid = added.unionByName(bare)
-    place = F.lit(lo) + F.col("point") * F.lit(step)
-    z = (place - F.col("at")) / F.lit(bandwidth)
-    kernel = F.col("n") * F.exp(F.lit(-0.5) * z * z)
+    ).toArrow()
+    at, held = binned.column("at").to_numpy(), binned.column("n").to_numpy()
+    order = np.argsort(at)
+    at, held = at[order], held[order]
+    places = lo + np.arange(points) * step
+    first, last = np.searchsorted(at, places - reach, "left"), np.searchsorted(at, places + reach, "right")
     scale = 1.0 / (n * bandwidth * math.sqrt(2 * math.pi))
-    return grid.groupBy("point").agg(F.sum(kernel).alias("s")).select(
-        "point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), (F.col("s") * F.lit(scale)).alias("density")
-    )
+    sums = [float(np.sum(held[a:b] * np.exp(-0.5 * ((p - at[a:b]) / bandwidth) ** 2))) * scale for p, a, b in zip(places, first, last, strict=True)]
+    return df.sparkSession.createDataFrame(list(zip(range(points), places.tolist(), sums, strict=True)), _CURVE)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpulse.schemas import KEY
+
 # A table is broadcast only if its known row count times its width stays below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key with more rows than this is split into parts of about this many...
@@ -35,6 +37,31 @@ def hot_keys(df: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
+def _salted(panel: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The panel with ``_salt``: 0 but for hot keys, whose rows go evenly over their parts."""
+    spread = F.xxhash64(*panel.columns)
+    # A NULL key matches nothing, so its rows may go anywhere.
+    salts = F.when(F.col(key).isNull(), F.lit(HOT_PARTS)).otherwise(F.coalesce(_SALTS, F.lit(1)))
+    return panel.join(F.broadcast(hot), key, "left").withColumn(_SALT, F.pmod(spread, salts).cast("int")).drop(_SALTS)
+
+
+def write_bucketed(
+    panel: DataFrame, name: str, path: str, buckets: int, key: str = KEY, part_rows: int = PART_ROWS,
+) -> None:
+    """The panel as table ``name`` with files under ``path``, bucketed on key and salt and sorted by key within.
+
+    For a panel that is joined again and again, as every new model scores it: `BucketedPanel` joins it without
+    shuffling it. A bucket is one task's work, so choose ``buckets`` for some hundred megabytes each; hot keys are
+    spread over buckets by their salt. The few hot keys are stored beside it.
+    """
+    hot = hot_keys(panel, key, part_rows)
+    hot.write.parquet(f"{path}/hot")
+    stored = panel.sparkSession.read.schema(hot.schema).parquet(f"{path}/hot")
+    # One writer a bucket, or every task would write a file for each.
+    dealt = _salted(panel, key, stored).repartition(buckets, key, _SALT)
+    dealt.write.bucketBy(buckets, key, _SALT).sortBy(key, _SALT).option("path", f"{path}/rows").option("compression", "zstd").saveAsTable(name)
+
+
 class Lookup:
     """Joins several lookup tables to one panel, choosing the strategy once from a checked size.
 
@@ -54,12 +81,7 @@ class Lookup:
             self.panel = panel
             return
         self.hot = hot_keys(panel, key, part_rows)
-        spread = F.xxhash64(*panel.columns)
-        # A NULL key matches nothing, so its rows may go anywhere.
-        salts = F.when(F.col(key).isNull(), F.lit(HOT_PARTS)).otherwise(F.coalesce(_SALTS, F.lit(1)))
-        self.panel = (
-            panel.join(F.broadcast(self.hot), key, "left").withColumn(_SALT, F.pmod(spread, salts).cast("int")).drop(_SALTS)
-        )
+        self.panel = _salted(panel, key, self.hot)
 
     def join(
         self, table: DataFrame, how: str = "inner", on: Sequence[str] = (),
@@ -76,3 +98,12 @@ class Lookup:
             .drop(_SALTS)
         )
         return left.join(spread, [*keys, _SALT], how).drop(_SALT)
+
+
+class BucketedPanel(Lookup):
+    """A panel that `write_bucketed` stored, joined where its buckets lie: only the lookup tables are shuffled."""
+
+    def __init__(self, spark: SparkSession, name: str, path: str, key: str = KEY):
+        self.key, self.broadcast = key, False
+        self.panel = spark.table(name)
+        self.hot = spark.read.schema(f"{key} {self.panel.schema[key].dataType.simpleString()}, {_SALTS} int").parquet(f"{path}/hot")

@@ -56,11 +56,13 @@ def null_counts(df: DataFrame) -> DataFrame:
 def require_clean(traffic: DataFrame, keys: Sequence[str] = (KEY, TIME), known_unique: bool = False) -> DataFrame:
     """The gate after aggregation: duplicate keys, NULLs, NaN and infinities are errors.
 
-    Looking for duplicates shuffles the whole panel; ``known_unique`` skips it for a panel that
-    comes straight out of a grouping on the keys.
+    In a panel read from files clustered on the keys, duplicates are looked for among neighbours; in any other the rows are
+    shuffled. ``known_unique`` skips it for a panel that comes straight out of a grouping on the keys.
     """
+    from gridpulse.operators.ordered import clustered_duplicates
+
     if not known_unique:
-        duplicates = duplicate_keys(traffic, keys).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        duplicates = clustered_duplicates(traffic, keys).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if duplicates:
             raise ValueError(f"{duplicates} rows share a key")
     nulls, strange = column_profile(traffic, {}).agg(F.sum("nulls"), F.sum("non_finite")).first()
@@ -227,14 +229,15 @@ def validate(
 
     Nulls warn above ``null_warning`` and fail above ``null_error`` (shares of the rows); values
     out of range warn; NaN, infinities and cells off the grid fail. A table that fits no contract is
-    compared with the nearest one, so that a missing column is named.
+    compared with the nearest one, so that a missing column is named, and the columns it has are checked all the same.
     """
     spark: SparkSession = df.sparkSession
     name = detect_contract(df) if contract == "auto" else contract
     if name is None:
         unknown = [("unknown_schema", ",".join(df.columns), ERROR, 1)]
-        return spark.createDataFrame(unknown + schema_findings(df, nearest_contract(df)), FINDING)
-    parts = [schema_check(df, name)]
+        parts = [spark.createDataFrame(unknown + schema_findings(df, nearest_contract(df)), FINDING)]
+    else:
+        parts = [schema_check(df, name)]
     level = F.when(null_share() > null_error, ERROR).when(null_share() > null_warning, WARNING)
     found = F.filter(F.array(
         F.struct(F.lit("nulls").alias("check"), F.col("column").alias("subject"), level.alias("level"), F.col("nulls").alias("n")),
@@ -259,8 +262,20 @@ def validate(
 
 
 def validate_stages(stages: Mapping[str, DataFrame], grid: DataFrame | None = None, **options) -> DataFrame:
-    """`validate` for several tables at once, with the table's name in the column ``stage``."""
+    """`validate` for several tables at once, with the table's name in the column ``stage``.
+
+    Cells of a panel for which a table of reference weeks beside it has none are a warning: they cannot be modelled.
+    """
     parts = [
         validate(df, grid=grid, **options).select(F.lit(name).alias("stage"), "*") for name, df in stages.items()
     ]
+    key = options.get("key", KEY)
+    for panel in (df for df in stages.values() if detect_contract(df) == "preprocessed"):
+        for name, weeks in stages.items():
+            if "reference_week" in weeks.columns:
+                bare = panel.select(_scalar_key(panel, key).alias(key)).distinct().join(
+                    weeks.where("reference_week IS NOT NULL").select(_scalar_key(weeks, key).alias(key)).distinct(), key, "left_anti")
+                parts.append(bare.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+                    F.lit(name).alias("stage"), F.lit("cells_without_weeks").alias("check"), F.lit(key).alias("subject"),
+                    F.lit(WARNING).alias("level"), "n"))
     return reduce(DataFrame.unionByName, parts)

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gridpulse.functions.subspace import (
     DOUBLE_EPSILON, ZERO_RESIDUAL, ZERO_SCALE, flat_model, principal_axes, raw_residual, snap,
 )
 from gridpulse.functions.timekeys import label_index, label_number, week_index, week_number, week_start
-from gridpulse.operators.joins import PART_ROWS, Lookup
-from gridpulse.schemas import FEATURES, KEY, TIME
+from gridpulse.operators.joins import PART_ROWS, BucketedPanel, Lookup
+from gridpulse.schemas import FEATURES, KEY, TIME, WEEK
 
 _ERRORS = ("mean_error", "std_error", "threshold")
 
@@ -31,6 +31,24 @@ def _week_keys(reference_weeks: DataFrame, key: str) -> DataFrame:
     return reference_weeks.select(key, label_number("reference_week").alias("year_week")).distinct()
 
 
+def listed_weeks(reference_weeks: DataFrame, column: str) -> DataFrame | None:
+    """The distinct reference weeks as `week_index` values; None without any.
+
+    A calendar of the years 1 to 9999 has 521,722 weeks, so the table always fits a broadcast. The comparison with the
+    first and last label drops nothing; Spark prunes folders at run time only by a side that compares a column of its own.
+    """
+    label = F.col("reference_week")
+    first, last = reference_weeks.agg(F.min(label), F.max(label)).first()
+    if first is None:
+        return None
+    return reference_weeks.where(label.between(first, last)).select(label_index("reference_week").cast("int").alias(column)).distinct()
+
+
+def in_listed_weeks(panel: DataFrame, weeks: DataFrame | None, column: str) -> DataFrame:
+    """The panel's rows in these weeks. With ``column`` as the panel's folder column only their folders are read."""
+    return panel.where("false") if weeks is None else panel.join(F.broadcast(weeks), column, "left_semi")
+
+
 def mark_reference(
     traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int | None = None
 ) -> DataFrame:
@@ -42,10 +60,12 @@ def mark_reference(
 
 
 def training_rows(
-    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int | None = None
+    traffic: DataFrame, reference_weeks: DataFrame, key: str = KEY, time: str = TIME, limit: int | None = None,
+    week: str | None = None,
 ) -> DataFrame:
-    """Only the rows in a reference week of their cell."""
-    lookup = Lookup(traffic, key, reference_weeks.count(), limit=limit)
+    """Only the rows in a reference week of their cell; ``week`` names the folder column of a panel written by week."""
+    given = in_listed_weeks(traffic, listed_weeks(reference_weeks, week), week) if week else traffic
+    lookup = Lookup(given, key, reference_weeks.count(), limit=limit)
     kept = lookup.join(
         _week_keys(reference_weeks, key), "left_semi", ["year_week"],
         lambda p: p.withColumn("year_week", week_number(time)),
@@ -64,9 +84,13 @@ def moment_aggregates(features: Sequence[str] = FEATURES) -> dict[str, Column]:
 
 
 def _scaled_sums(train: DataFrame, aggregates: dict[str, Column], features: Sequence[str], key: str) -> DataFrame:
-    """The aggregates per cell, with the scale of each feature: its spread, or 1 where that is no
-    more than the rounding error of n values of the feature's size."""
-    sums = train.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    """The aggregates per cell, with the scale of each feature."""
+    return _with_scales(train.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()]), features)
+
+
+def _with_scales(sums: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The scale of a feature is its spread, or 1 where that is no more than the rounding error of n values of the
+    feature's size."""
     scale = (
         "CASE WHEN spread_{i} <= greatest(n_train * abs(mean_{i}) * %r, %r) THEN 1.0D ELSE spread_{i} END"
         % (DOUBLE_EPSILON, ZERO_SCALE)
@@ -83,6 +107,40 @@ def scaler(train: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY)
     )
 
 
+def week_moments(traffic: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY, time: str = TIME) -> DataFrame:
+    """``(cell_id, week, n_train, mean_i, spread_i, co_i_j)``: what a model's axes need of each cell and week.
+
+    Some fifteen numbers a cell and week. The tables of several loads may simply be put together, also where a week is spread
+    over them: `merged_moments` merges whatever rows there are. A new month or another choice of weeks then refits
+    without reading the old panel.
+    """
+    finite = " AND ".join([f"`{key}` IS NOT NULL", f"`{time}` IS NOT NULL", *[f"abs(`{f}`) < double('Infinity')" for f in features]])
+    return traffic.where(finite).groupBy(key, week_index(time).cast("int").alias(WEEK)).agg(
+        *[a.alias(n) for n, a in moment_aggregates(features).items()])
+
+
+def merged_moments(moments: DataFrame, reference_weeks: DataFrame, features: Sequence[str] = FEATURES, key: str = KEY) -> DataFrame:
+    """The moments of each cell's reference weeks taken together: pairwise merging, free of cancellation.
+
+    Works on a few rows a cell. Means are merged first; then every week adds its own co-moments and those of the distance
+    of its means from the cell's.
+    """
+    chosen = moments.join(
+        reference_weeks.select(key, label_index("reference_week").cast("int").alias(WEEK)).distinct(), [key, WEEK], "left_semi")
+    cell = W.partitionBy(key)
+    total = F.sum("n_train").over(cell)
+    held = chosen.withColumns({
+        f"_mean_{i}": F.sum(F.col("n_train") * F.col(f"mean_{i}")).over(cell) / total for i in range(len(features))})
+    out = {"n_train": F.sum("n_train")}
+    for i in range(len(features)):
+        out[f"mean_{i}"] = F.first(f"_mean_{i}")
+        out[f"spread_{i}"] = F.sqrt(F.sum(F.expr(f"n_train * (spread_{i} * spread_{i} + pow(mean_{i} - _mean_{i}, 2))")) / F.sum("n_train"))
+        for j in range(i):
+            out[f"co_{j}_{i}"] = F.sum(F.expr(
+                f"n_train * (co_{j}_{i} + (mean_{j} - _mean_{j}) * (mean_{i} - _mean_{i}))")) / F.sum("n_train")
+    return held.groupBy(key).agg(*[a.alias(n) for n, a in out.items()])
+
+
 def _moment(i: int, j: int, standardize: bool) -> Column:
     """Entry of the second-moment matrix of the rows as the model sees them."""
     i, j = min(i, j), max(i, j)
@@ -94,11 +152,15 @@ def moment_matrix(
     train: DataFrame, standardize: bool = True, features: Sequence[str] = FEATURES, key: str = KEY
 ) -> DataFrame:
     """``(cell_id, mean, scale, moments)``, one row per cell with training rows; ``moments`` is flat."""
+    return _moment_rows(_scaled_sums(train, moment_aggregates(features), features, key), standardize, features, key)
+
+
+def _moment_rows(sums: DataFrame, standardize: bool, features: Sequence[str], key: str) -> DataFrame:
     p = range(len(features))
     mean, scale = [F.col(f"mean_{i}") for i in p], [F.col(f"scale_{i}") for i in p]
     if not standardize:
         mean, scale = [F.lit(0.0) for _ in p], [F.lit(1.0) for _ in p]
-    return _scaled_sums(train, moment_aggregates(features), features, key).select(
+    return sums.select(
         key, F.array(*mean).alias("mean"), F.array(*scale).alias("scale"),
         F.array(*[_moment(i, j, standardize) for i in p for j in p]).alias("moments"),
     )
@@ -109,29 +171,37 @@ class SubspaceDetector:
 
     Building it counts the reference weeks. Everything joined to the panel has at most that many
     rows: few enough and it is broadcast, else the panel is shuffled once, salted on hot cells.
+    ``week`` names the folder column of a panel written by `write_weekly`: training then reads the listed
+    weeks' folders only, found at run time, and only scoring reads the rest. ``moments`` is a table of `week_moments`: the
+    axes then come from it, and only the error statistics read training rows.
     """
 
     def __init__(
         self, traffic: DataFrame, reference_weeks: DataFrame, n_components: int = 2,
         anomaly_threshold: float = 2.0, standardize: bool = True, features: Sequence[str] = FEATURES,
-        key: str = KEY, time: str = TIME, limit: int | None = None, part_rows: int = PART_ROWS,
+        key: str = KEY, time: str = TIME, limit: int | None = None, part_rows: int = PART_ROWS, week: str | None = None,
+        moments: DataFrame | None = None,
     ):
         if n_components < 1:
             raise ValueError("n_components must be at least 1")
-        self.features, self.key, self.time = tuple(features), key, time
+        self.features, self.key, self.time, self.week = tuple(features), key, time, week
+        self.moments, self.reference_weeks = moments, reference_weeks
         self.k, self.t, self.standardize = n_components, anomaly_threshold, standardize
         # The same columns and filter feed every pass, so a shuffled panel is one exchange for all of
         # them. A clean panel has no NULLs, NaN or infinities; a row with one could be neither trained on
         # nor scored, and `losses` counts it.
-        self.given = traffic.select(key, time, *features)
+        self.given = traffic.select(key, time, *features, *([week] if week else []))
         panel = self.given.where(self._usable())
         index = label_index("reference_week")
         rows, first, last = reference_weeks.agg(F.count(F.lit(1)), F.min(index), F.max(index)).first()
         self.lookup = Lookup(panel, key, rows, _width(features), limit, part_rows)
+        # A panel written by week is trained on from the folders of listed weeks alone, whatever their span.
+        self.training = self.lookup if not week else Lookup(
+            in_listed_weeks(panel, listed_weeks(reference_weeks, week), week), key, rows, _width(features), limit, part_rows)
         # One row per cell with the few weeks it may train on.
         self.weeks = reference_weeks.groupBy(key).agg(F.collect_set(index).alias("_weeks"))
         # From the first to the last of all those weeks: a range that prunes files. A shuffled panel is read once anyway.
-        self.trained = None if first is None or not self.lookup.broadcast else (
+        self.trained = None if first is None or week or not self.lookup.broadcast else (
             (F.col(time) >= F.lit(week_start(first)).cast("timestamp")) & (F.col(time) < F.lit(week_start(last + 1)).cast("timestamp")))
 
     def _usable(self) -> str:
@@ -160,13 +230,17 @@ class SubspaceDetector:
             "rows_skipped > 0 OR not_modelled IS NOT NULL")
 
     def _training(self, table: DataFrame) -> DataFrame:
-        joined = self.lookup.join(table, panel=lambda p: p if self.trained is None else p.where(self.trained))
-        return joined.where(F.array_contains("_weeks", week_index(self.time)))
+        joined = self.training.join(table, panel=lambda p: p if self.trained is None else p.where(self.trained))
+        return joined.where(F.array_contains("_weeks", F.col(self.week).cast("long") if self.week else week_index(self.time)))
 
     def basis(self) -> DataFrame:
         """Standardisation and axes per cell, before the error threshold is known."""
         p = len(self.features)
-        moments = moment_matrix(self._training(self.weeks), self.standardize, self.features, self.key)
+        if self.moments is None:
+            moments = moment_matrix(self._training(self.weeks), self.standardize, self.features, self.key)
+        else:
+            merged = merged_moments(self.moments, self.reference_weeks, self.features, self.key)
+            moments = _moment_rows(_with_scales(merged, self.features), self.standardize, self.features, self.key)
         axes = moments.withColumn("_axes", principal_axes(self.k, p)("moments"))
         # Applied to a row less the mean, so the scaling is part of the map.
         scaled = [F.col("_axes.outside")[i * p + j] / F.col("scale")[j] for i in range(p) for j in range(p)]
@@ -233,6 +307,11 @@ def score(
     return _scored(lookup, model, features, time)
 
 
+def score_bucketed(panel: BucketedPanel, model: DataFrame, features: Sequence[str] = FEATURES, time: str = TIME) -> DataFrame:
+    """`score` for a panel stored in buckets: no row of it is shuffled, however many models are applied."""
+    return _scored(panel, model, features, time)
+
+
 def detect(traffic: DataFrame, reference_weeks: DataFrame, **options) -> DataFrame:
     """The anomalies table; options as for `SubspaceDetector`."""
     return SubspaceDetector(traffic, reference_weeks, **options).anomalies()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window as W
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from gridpulse.functions.rounding import fixed_text, round_half_even
@@ -90,10 +90,28 @@ def stage_yield(stages: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Count rows while they are written: read ``observation.get["rows"]`` after the action."""
+def observed(df: DataFrame, name: str, time: str = TIME) -> tuple[DataFrame, Observation]:
+    """Count rows and note the time range while they are written: ``observation.get`` after the action has
+    ``rows``, ``first_time`` and ``last_time`` without a scan of its own.
+
+    Observe behind the last shuffle: what lies before one may run more than once.
+    """
     observation = Observation(name)
-    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+    when = F.col(time) if time in df.columns else F.lit(None).cast("timestamp")
+    return df.observe(
+        observation, F.count(F.lit(1)).alias("rows"), F.min(when).alias("first_time"), F.max(when).alias("last_time")), observation
+
+
+def observed_yield(spark: SparkSession, stages: Mapping[str, Observation]) -> DataFrame:
+    """`stage_yield` and the time range of stages out of what was observed while they were written; reads nothing."""
+    rows, before = [], None
+    for i, (name, observation) in enumerate(stages.items()):
+        seen = observation.get
+        lost = None if not before else 100.0 - seen["rows"] * 100.0 / before
+        rows.append((i, name, seen["rows"], lost, seen["first_time"], seen["last_time"]))
+        before = seen["rows"]
+    return spark.createDataFrame(
+        rows, "position int, stage string, rows bigint, reduction_percent double, first_time timestamp, last_time timestamp")
 
 
 def section(df: DataFrame, name: str, base: int, key: Column, value: Column, order: Sequence[Column]) -> DataFrame:

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from gridpulse.functions import timekeys as tk
 from gridpulse.functions.classes import COUNT_CLASSES
 from gridpulse.functions.subspace import standardised
-from gridpulse.operators import cells, distribution, geo, quality, reports, summary, timeline, traffic, weeks
+from gridpulse.operators import cells, distribution, geo, ordered, quality, reports, summary, timeline, traffic, weeks
 from gridpulse.operators import subspace as sub
 from gridpulse.operators.quantiles import exact_percentiles
 from gridpulse.plans import panels as p
-from gridpulse.schemas import ANOMALIES, FEATURES, KEY, TIME
-from gridpulse.sources import as_timestamp, finish_ingest, parse_grid, parse_lines, require_grid, unwrap_key
+from gridpulse.schemas import ANOMALIES, FEATURES, KEY, TIME, WEEK
+from gridpulse.sources import as_timestamp, finish_ingest, parse_fields, parse_grid, parse_lines, read_anomalies, require_grid, unwrap_key
 from gridpulse.sources import ingest_losses as ingest_loss_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def ingest_parse(spark, sf):
     return comparable(finish_ingest(parse_lines(p.event_lines(spark, sf))))
 
 
+@query
+def ingest_fields(spark, sf):
+    """The same records split and cast in generated code; imperfect ones take the library's way."""
+    return comparable(finish_ingest(parse_fields(p.event_lines(spark, sf))))
+
+
 @query
 def traffic_agg(spark, sf):
     return comparable(traffic.sum_measures(p.events_ingested(spark, sf)))
@@ -107,6 +113,12 @@ def csv_table(spark, sf):
     return comparable(as_timestamp(unwrap_key(rows.select("r.*"))))
 
 
+@query
+def anomalies_from_csv(spark, sf):
+    """Anomaly records out of CSV files, through the reader that takes any stage table."""
+    return comparable(read_anomalies(spark, p.anomalies_csv(spark, sf)))
+
+
 @query
 def grid_parse(spark, sf):
     """The grid out of GeoJSON text, ids as numbers and as text, with the ring's corners."""
@@ -121,16 +133,16 @@ def grid_parse(spark, sf):
 
 @query
 def nearest_contract_findings(spark, sf):
-    """A traffic panel without one feature fits no contract: the missing column is named."""
+    """A traffic panel without one feature fits no contract: the missing column is named, the others are checked."""
     return quality.validate(p.events_traffic(spark, sf).drop("calls_total"))
 
 
 @query
 def schema_findings(spark, sf):
-    """Order lines held against the traffic contract: what is missing, foreign or of another type."""
+    """Order lines held against the traffic contract: what is missing, foreign or of another type, and what their values break."""
     lines = p.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias(KEY), F.col("l_shipdate").cast("string").alias(TIME), F.col("l_quantity").alias(FEATURES[0]), "l_discount")
-    found = quality.schema_check(lines, "preprocessed")
+    found = quality.validate(lines, "preprocessed")
     return found.withColumn("rows", F.lit(lines.count()))
 
 
@@ -175,6 +187,19 @@ def dup_keys(spark, sf):
     return quality.duplicate_keys(p.events_ingested(spark, sf))
 
 
+@query
+def dup_keys_clustered(spark, sf):
+    """The same out of files clustered on the keys: neighbours are compared, the rows are not shuffled."""
+    return ordered.clustered_duplicates(p.events_clustered(spark, sf))
+
+
+@query
+def dup_keys_unordered(spark, sf):
+    """Order lines as they lie in their file, which is in no order of the keys."""
+    lines = p.table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate")
+    return ordered.clustered_duplicates(lines, ("l_suppkey", "l_shipdate"))
+
+
 @query
 def null_counts(spark, sf):
     return comparable(quality.null_counts(p.events_ingested(spark, sf)))
@@ -362,6 +387,18 @@ def osp_model(spark, sf):
         "mean_error", "std_error", "threshold"))
 
 
+@query
+def osp_model_merged(spark, sf):
+    """The model whose axes come from stored weekly moments; two loads of them, cut in the middle of weeks."""
+    panel = p.events_traffic(spark, sf)
+    loads = [panel.where(F.dayofmonth(TIME) <= 10), panel.where(F.dayofmonth(TIME) > 10)]
+    moments = p.staged(spark, sf, "moments", lambda: reduce(DataFrame.unionByName, map(sub.week_moments, loads)))
+    model = p.detector(spark, sf, moments=moments).model()
+    return comparable(model.select(
+        KEY, "n_train", "rank", *[F.col("eigenvalues")[i].alias(f"eigenvalue_{i + 1}") for i in range(3)],
+        "mean_error", "std_error", "threshold"))
+
+
 @query
 def osp_residual_map(spark, sf):
     """The map onto what the kept axes do not explain; unlike the axes it has no free sign."""
@@ -407,6 +444,19 @@ def osp_anomalies_salted(spark, sf):
     return _flagged(p.detector(spark, sf, 2, limit=0, part_rows=20).anomalies())
 
 
+@query
+def osp_anomalies_weekly(spark, sf):
+    """The panel in a folder per week: training reads the folders of reference weeks, found at run time."""
+    found = sub.SubspaceDetector(p.events_weekly(spark, sf), p.events_weeks(spark, sf), week=WEEK)
+    return _flagged(found.anomalies())
+
+
+@query
+def orders_training_weekly(spark, sf):
+    """Training rows of seven years of orders out of the listed weeks' folders."""
+    return comparable(sub.training_rows(p.orders_weekly(spark, sf), p.orders_weeks(spark, sf), week=WEEK).drop(WEEK))
+
+
 @query
 def osp_score_stored_model(spark, sf):
     """A written model table applied to the panel."""
@@ -415,6 +465,14 @@ def osp_score_stored_model(spark, sf):
     return comparable(scored.select(KEY, TIME, "anomaly_score", "threshold"))
 
 
+@query
+def osp_scores_bucketed(spark, sf):
+    """The stored model applied to the panel where its buckets lie."""
+    model = p.staged(spark, sf, "model", lambda: p.detector(spark, sf).model())
+    scored = sub.score_bucketed(p.events_bucketed(spark, sf), model)
+    return comparable(scored.select(KEY, TIME, "anomaly_score", "threshold"))
+
+
 @query
 def orders_osp_anomalies(spark, sf):
     """Supplier-days; severities reach from 2 to many thousands, so their logarithm is compared."""

@@ -365,11 +365,17 @@ ORACLE: dict[str, str] = {
     "array_key_unwrap": f"SELECT user_id AS cell_id, count(value) AS n, {r('sum(value)', 'total')} FROM events GROUP BY user_id",
     "timestamp_parse": "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS timestamp FROM events",
     # --- quality
-    "nearest_contract_findings": """SELECT * FROM (VALUES ('unknown_schema', 'cell_id,timestamp,sms_total,internet_traffic', 'error', 1::BIGINT),
-        ('missing_column', 'calls_total', 'error', 1::BIGINT)) AS v("check", subject, level, n)""",
-    "schema_findings": """SELECT *, (SELECT count(*)::INTEGER FROM lineitem) AS rows FROM (VALUES ('missing_column', 'calls_total', 'error', 1::BIGINT),
+    "nearest_contract_findings": chain("traffic", """SELECT * FROM (VALUES ('unknown_schema', 'cell_id,timestamp,sms_total,internet_traffic', 'error', 1::BIGINT),
+        ('missing_column', 'calls_total', 'error', 1::BIGINT)) AS v("check", subject, level, n)
+        UNION ALL SELECT * FROM (SELECT 'range', 'cell_id', 'warning', count(*) FILTER (cell_id < 1 OR cell_id > 100000) AS n FROM traffic
+        UNION ALL SELECT 'range', 'sms_total', 'warning', count(*) FILTER (sms_total < 0 OR sms_total > 50000) FROM traffic
+        UNION ALL SELECT 'range', 'internet_traffic', 'warning', count(*) FILTER (internet_traffic < 0 OR internet_traffic > 1e12) FROM traffic) WHERE n > 0"""),
+    "schema_findings": """SELECT *, (SELECT count(*)::INTEGER FROM lineitem) AS rows FROM (SELECT * FROM (VALUES ('missing_column', 'calls_total', 'error', 1::BIGINT),
         ('missing_column', 'internet_traffic', 'error', 1::BIGINT), ('extra_column', 'l_discount', 'info', 1::BIGINT),
-        ('type_mismatch', 'timestamp', 'warning', 1::BIGINT)) AS v("check", subject, level, n)""",
+        ('type_mismatch', 'timestamp', 'warning', 1::BIGINT)) AS v("check", subject, level, n)
+        UNION ALL SELECT * FROM (SELECT 'range', 'cell_id', 'warning', count(*) FILTER (l_suppkey < 1 OR l_suppkey > 100000) AS n FROM lineitem
+        UNION ALL SELECT 'range', 'sms_total', 'warning', count(*) FILTER (l_quantity < 0 OR l_quantity > 50000) FROM lineitem) WHERE n > 0)""",
+    "anomalies_from_csv": f"""SELECT cell_id, timestamp, {', '.join(r(f) for f in ('anomaly_score', *FEATURES, 'severity_score'))} FROM ({EVENT_ANOMALIES})""",
     "non_finite_profile": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS rows, {nulls} AS nulls, {odd} AS non_finite FROM events""" for c, nulls, odd in (
             ("cell_id", "count(*) FILTER (user_id IS NULL)", "0::BIGINT"), ("timestamp", "count(*) FILTER (ts IS NULL)", "0::BIGINT"),
@@ -387,6 +393,7 @@ ORACLE: dict[str, str] = {
         FROM traffic t LEFT JOIN (SELECT DISTINCT cell_id FROM refs) w ON w.cell_id = t.cell_id
           LEFT JOIN refs v ON v.cell_id = t.cell_id AND v.reference_week = {LABEL.format(t='t.timestamp')}
         GROUP BY t.cell_id) WHERE rows_skipped > 0 OR not_modelled <> ''"""),
+    "dup_keys_unordered": "SELECT l_suppkey, l_shipdate, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "dup_keys": chain("ingested", "SELECT cell_id, timestamp, count(*) AS n FROM ingested GROUP BY ALL HAVING count(*) > 1"),
     "null_counts": chain("ingested", " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls,
@@ -416,6 +423,8 @@ ORACLE: dict[str, str] = {
         SELECT 'traffic' AS stage, 'range' AS "check", 'cell_id' AS subject, 'warning' AS level, count(*) FILTER (cell_id < 1 OR cell_id > 100000) AS n FROM traffic
         UNION ALL SELECT 'reference_weeks', 'range', 'cell_id', 'warning', count(*) FILTER (cell_id < 1 OR cell_id > 100000) FROM refs
         UNION ALL SELECT 'reference_weeks', 'extra_column', 'stability_score', 'info', 1
+        UNION ALL SELECT 'reference_weeks', 'cells_without_weeks', 'cell_id', 'warning', count(DISTINCT cell_id) FROM traffic
+          WHERE cell_id NOT IN (SELECT cell_id FROM refs)
         ) WHERE n > 0"""),
     "validate_traffic": chain("traffic", """SELECT * FROM (
         SELECT 'range' AS "check", 'cell_id' AS subject, 'warning' AS level, count(*) FILTER (cell_id < 1 OR cell_id > 100000) AS n FROM traffic
@@ -455,6 +464,7 @@ ORACLE: dict[str, str] = {
         r(f"r{min(i, j)}{max(i, j)} / scale{j}", f"r{i}{j}") for i in range(3) for j in range(3))
         + " FROM axes x JOIN scaled s ON s.cell_id = x.cell_id", k=1),
     "osp_scores": chain("scored", f"SELECT cell_id, timestamp, {r('score', 'anomaly_score')}, {r('threshold')} FROM scored"),
+    "orders_training_weekly": chain("train", f"SELECT cell_id, timestamp, {', '.join(r(f) for f in FEATURES)} FROM train", ORDERS_INGESTED),
     "osp_anomalies_k1": chain("anomalies", f"SELECT {ANOMALY_COLUMNS} FROM anomalies", k=1),
     "osp_anomalies_k2": chain("anomalies", f"SELECT {ANOMALY_COLUMNS} FROM anomalies", k=2),
     "osp_anomalies_k3": chain("anomalies", f"SELECT {ANOMALY_COLUMNS} FROM anomalies", k=3),
@@ -630,5 +640,5 @@ ORACLE: dict[str, str] = {
         SELECT point, {r('lo + point * step', 'x')}, {r('sum(m * exp(-0.5::DOUBLE * ((lo + point * step - mid) / bw) ** 2)) / (n * bw * sqrt(2 * pi()))', 'density')}
         FROM binned CROSS JOIN k CROSS JOIN (SELECT unnest(range(200)) AS point) GROUP BY point, lo, step, n, bw""",
 }
-for _same, _as in (("osp_anomalies_salted", "osp_anomalies_k2"), ("osp_score_stored_model", "osp_scores")):
+for _same, _as in (("osp_anomalies_salted", "osp_anomalies_k2"), ("osp_anomalies_weekly", "osp_anomalies_k2"), ("dup_keys_clustered", "dup_keys"), ("osp_model_merged", "osp_model"), ("osp_scores_bucketed", "osp_scores"), ("ingest_fields", "ingest_parse"), ("osp_score_stored_model", "osp_scores")):
     ORACLE[_same] = ORACLE[_as]

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.operators.cells import cell_stats
+from gridpulse.operators.joins import BucketedPanel, write_bucketed
 from gridpulse.operators.subspace import SubspaceDetector
 from gridpulse.operators.traffic import build_traffic
 from gridpulse.operators.weeks import select_reference_weeks
 from gridpulse.schemas import FEATURES, KEY, MEASURES, TIME
-from gridpulse.session import configure, write_stage
+from gridpulse.session import configure, stage_path, write_stage
+from gridpulse.sinks import write_clustered, write_csv, write_weekly
 
 # Which event type stands for which measure.
 EVENT_MEASURES = {
@@ -28,7 +30,7 @@ ORDER_MEASURES = {
     "l_quantity": "sms_in", "l_tax": "sms_out", "l_linenumber": "call_in", "l_discount": "call_out",
     "l_extendedprice": "internet_traffic",
 }
-_STAGED: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+_STAGED: dict[tuple[str, str, str], tuple[tuple, str, T.StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,19 +38,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage table shared by the queries of one application, written by the first that needs it."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at in _STAGED:
-        path, schema = _STAGED[at]
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and modification times of the files under a folder, as its file system tells them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def staged(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], str] = write_stage,
+) -> DataFrame:
+    """A stage table shared by the queries of one application, written by the first that needs it.
+
+    It is written anew once a file of the input has changed, and the outdated one is left to the folder's owner.
+    """
+    at, state = (spark.sparkContext.applicationId, sf_dir, name), input_state(spark, sf_dir)
+    if at in _STAGED and _STAGED[at][0] == state:
+        _, path, schema = _STAGED[at]
         try:
             return spark.read.schema(schema).parquet(path)
         except AnalysisException:
             del _STAGED[at]
     df = build()
-    _STAGED[at] = (write_stage(df, name), df.schema)
-    path, schema = _STAGED[at]
-    return spark.read.schema(schema).parquet(path)
+    path = write(df, name)
+    # Folder columns come last in what is read.
+    _STAGED[at] = (state, path, spark.read.parquet(path).schema if write is not write_stage else df.schema)
+    return spark.read.schema(_STAGED[at][2]).parquet(path)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +109,47 @@ def events_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "traffic", lambda: build_traffic(events_ingested(spark, sf_dir)))
 
 
+def _clustered(df: DataFrame, name: str) -> str:
+    path = stage_path(df.sparkSession, name)
+    write_clustered(df, path)
+    return path
+
+
+def events_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingested events in files clustered on cell and time."""
+    return staged(spark, sf_dir, "ingested_clustered", lambda: events_ingested(spark, sf_dir), _clustered)
+
+
+_BUCKETED: dict[tuple[str, str], tuple[tuple, str, str]] = {}
+
+
+def events_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 8, part_rows: int = 20) -> BucketedPanel:
+    """The events panel in buckets, with so small a bound on a part that many cells are hot ones."""
+    at, state = (spark.sparkContext.applicationId, sf_dir), input_state(spark, sf_dir)
+    if at not in _BUCKETED or _BUCKETED[at][0] != state or not spark.catalog.tableExists(_BUCKETED[at][1]):
+        path = stage_path(spark, "bucketed")
+        name = "panel_" + path.rsplit("-", 1)[1]
+        write_bucketed(events_traffic(spark, sf_dir), name, path, buckets, part_rows=part_rows)
+        _BUCKETED[at] = (state, name, path)
+    return BucketedPanel(spark, *_BUCKETED[at][1:])
+
+
+def _by_week(df: DataFrame, name: str) -> str:
+    path = stage_path(df.sparkSession, name)
+    write_weekly(df, path)
+    return path
+
+
+def events_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events panel in a folder per week."""
+    return staged(spark, sf_dir, "traffic_weekly", lambda: build_traffic(events_ingested(spark, sf_dir)), _by_week)
+
+
+def orders_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order panel in a folder per week, seven years of them."""
+    return staged(spark, sf_dir, "orders_weekly", lambda: build_traffic(orders_ingested(spark, sf_dir)), _by_week)
+
+
 def events_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "weeks", lambda: select_reference_weeks(events_traffic(spark, sf_dir)))
 
@@ -120,6 +181,20 @@ def event_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CSV: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def anomalies_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the event anomalies as CSV files with a header."""
+    at, state = (spark.sparkContext.applicationId, sf_dir), input_state(spark, sf_dir)
+    if at not in _CSV or _CSV[at][0] != state:
+        path = stage_path(spark, "anomalies") + ".csv"
+        rows = event_anomalies(spark, sf_dir).withColumn(TIME, F.date_format(TIME, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        write_csv(rows, path)
+        _CSV[at] = (state, path)
+    return _CSV[at][1]
+
+
 def orders_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines by supplier and ship date, seven years long."""
     lines = table(spark, sf_dir, "lineitem")

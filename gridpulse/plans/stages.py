@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
 
 from gridpulse.operators import timeline
 from gridpulse.operators.cells import COUNT_METRIC, cell_stats, classify, extreme_cells, usable_metrics
@@ -14,12 +15,12 @@ from gridpulse.operators.geo import centroid_points, class_features, extreme_fea
 from gridpulse.operators.quality import require_clean
 from gridpulse.operators.reports import cell_report, classification_report, extreme_report
 from gridpulse.operators.subspace import SubspaceDetector
-from gridpulse.operators.summary import anomaly_summary
+from gridpulse.operators.summary import anomaly_summary, observed, observed_yield
 from gridpulse.operators.traffic import build_traffic
 from gridpulse.operators.weeks import select_reference_weeks
-from gridpulse.schemas import TIME
+from gridpulse.schemas import TIME, WEEK
 from gridpulse.session import configure, shared_dir
-from gridpulse.sinks import write_balanced, write_clustered, write_parquet
+from gridpulse.sinks import Watch, write_balanced, write_clustered, write_parquet, write_weekly
 from gridpulse.sources.raw import ingest, require_rows
 
 # The metrics a map run classifies by unless told otherwise.
@@ -31,47 +32,58 @@ def _folder(spark: SparkSession, given: str | None, kind: str) -> str:
     return (given or fresh).rstrip("/")
 
 
-def _write_zstd(df: DataFrame, path: str) -> None:
-    write_parquet(df, path, codec="zstd")
+def _write_zstd(df: DataFrame, path: str, watch: Watch | None = None) -> None:
+    write_parquet(df, path, codec="zstd", watch=watch)
 
 
 def run(
     spark: SparkSession, raw_dir: str | None = None, ingested: DataFrame | None = None, out_dir: str | None = None,
     n_components: int = 2, anomaly_threshold: float = 2.0, num_weeks: int = 4, mad_threshold: float = 1.5,
-    check: bool = True, keep_ingested: bool = True, keep_model: bool = True,
+    check: bool = True, keep_ingested: bool = True, keep_model: bool = True, by_week: bool = False,
 ) -> dict[str, DataFrame]:
     """Ingest, aggregate, select weeks, detect, summarise.
 
     Returns the stage tables (ingested, traffic, reference_weeks, model, anomalies) as read back
-    from ``out_dir`` (by default a folder of the shared directory) and the ``summary`` report.
+    from ``out_dir`` (by default a folder of the shared directory), the ``summary`` report, and ``yields``: rows, losses and
+    time range of each stage as observed while it was written.
     Without ``keep_ingested`` the raw text goes straight into the aggregation, which saves writing and
     reading every raw record; without ``keep_model`` detection is one plan that shuffles a panel of
-    too many cells for a broadcast once instead of twice.
+    too many cells for a broadcast once instead of twice. With ``by_week`` the panel is written in a folder per ISO
+    week (column ``week``), and detection trains on the folders of reference weeks only.
     """
     configure(spark)
     out = _folder(spark, out_dir, "run")
 
-    def staged(df: DataFrame, name: str, write: Callable[[DataFrame, str], None] = _write_zstd) -> DataFrame:
-        write(df, f"{out}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+    seen: dict[str, Observation] = {}
+
+    def staged(df: DataFrame, name: str, write: Callable[..., None] = _write_zstd) -> DataFrame:
+        def watch(rows: DataFrame) -> DataFrame:
+            watched, seen[name] = observed(rows, f"{name}-{uuid.uuid4().hex}")
+            return watched
+
+        write(df, f"{out}/{name}", watch=watch)
+        schema = T.StructType([*df.schema.fields, T.StructField(WEEK, T.IntegerType())]) if write is write_weekly else df.schema
+        return spark.read.schema(schema).parquet(f"{out}/{name}")
 
     tables = {}
     if ingested is None:
         ingested = ingest(spark, raw_dir)
         if keep_ingested:
             ingested = tables["ingested"] = require_rows(staged(ingested, "ingested"), "the raw files")
-    traffic = staged(build_traffic(ingested), "traffic", write_clustered)
+    panel = build_traffic(ingested)
+    traffic = staged(panel, "traffic", write_weekly if by_week else write_clustered)
     require_rows(traffic, "the panel")
     if check:
         require_clean(traffic, known_unique=True)
     weeks = staged(select_reference_weeks(traffic, num_weeks, mad_threshold), "reference_weeks")
-    detector = SubspaceDetector(traffic, weeks, n_components, anomaly_threshold)
+    detector = SubspaceDetector(traffic, weeks, n_components, anomaly_threshold, week=WEEK if by_week else None)
     model = None
     if keep_model:
         model = tables["model"] = staged(detector.model(), "model")
     anomalies = staged(detector.anomalies(model), "anomalies", write_balanced)
     return tables | {
         "traffic": traffic, "reference_weeks": weeks, "anomalies": anomalies, "summary": anomaly_summary(anomalies),
+        "yields": observed_yield(spark, seen),
     }
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 KEY = "cell_id"
 TIME = "timestamp"
+# The folder column of a panel that is written by week; holds a `week_index`.
+WEEK = "week"
 MEASURES = ("sms_in", "sms_out", "call_in", "call_out", "internet_traffic")
 FEATURES = ("sms_total", "calls_total", "internet_traffic")
 

@@ -24,9 +24,11 @@ def build_session(app_name: str = "gridpulse", master: str | None = None, **conf
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the one runtime setting results depend on: timestamps are UTC."""
-    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the one runtime setting results depend on: timestamps are UTC. Files get timestamps of a type that has
+    statistics, without which no read of a time range skips anything."""
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")):
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 
@@ -49,10 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[application]
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that no other table has."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def write_stage(df: DataFrame, name: str) -> str:
     """Write ``df`` as a Parquet table of its own in the shared folder and return its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return path
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridpulse.operators import summary
 from gridpulse.plans import panels, stages
 from gridpulse.plans.catalog import QUERIES
 from gridpulse.plans.oracle import ORACLE
@@ -51,9 +52,15 @@ def test_run_from_raw_files(spark, tmp_path):
     assert tables["anomalies"].count() == 89
     assert sorted(os.listdir(out)) == ["anomalies", "ingested", "model", "reference_weeks", "traffic"]
     assert tables["summary"].where("key = 'Total Anomalies Detected'").first().value == "89"
+    written = {n: tables[n] for n in ("ingested", "traffic", "reference_weeks", "model", "anomalies")}
+    counted = summary.stage_yield(written).collect()
+    seen = tables["yields"].orderBy("position").collect()
+    assert [(r.stage, r.rows, r.reduction_percent) for r in seen] == [(r.stage, r.rows, r.reduction_percent) for r in counted]
+    span = tables["traffic"].agg(F.min("timestamp"), F.max("timestamp")).first()
+    assert (seen[1].first_time, seen[1].last_time) == tuple(span) and seen[3].first_time is None
     assert stages.run(spark, ingested=tables["ingested"], n_components=1)["anomalies"].count() == 84
     short = stages.run(spark, str(tmp_path / "raw"), keep_ingested=False, keep_model=False)
-    assert sorted(short) == ["anomalies", "reference_weeks", "summary", "traffic"] and short["anomalies"].count() == 89
+    assert sorted(short) == ["anomalies", "reference_weeks", "summary", "traffic", "yields"] and short["anomalies"].count() == 89
     maps = stages.map_tables(spark, tables["anomalies"], panels.grid(spark, SF_DIR), metrics=("anomaly_count", "nothing"))
     assert sorted(maps) == [
         "cell_stats", "classified_anomaly_count", "extreme_cells", "features_anomaly_count", "features_extreme",
