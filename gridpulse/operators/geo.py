@@ -47,6 +47,18 @@ def _sigma(column: str) -> Column:
     return F.concat(fixed_text(column, 2), F.lit(SIGMA))
 
 
+def _means() -> list[Column]:
+    # The titles of the lines that both labels share.
+    return [
+        _line("Weighted Severity", fixed_text("weighted_severity", 1)),
+        _line("Severity Impact", fixed_text("severity_impact", 1)),
+        _line("Avg SMS", fixed_text("sms_total_mean", 1)),
+        _line("Avg Calls", fixed_text("calls_total_mean", 1)),
+        _line("Avg Internet", fixed_text("internet_traffic_mean", 1)),
+    ]
+
+
+# The titles of the lines of both labels below.
 def cell_label(key: str = KEY) -> Column:
     """What a reader sees for one cell, one fact per line."""
     marker = F.when(F.col("has_extreme_anomalies"), EXTREME_YES).otherwise(EXTREME_NO)
@@ -58,11 +70,7 @@ def cell_label(key: str = KEY) -> Column:
         _line("Avg Severity", _sigma("avg_severity")),
         _line("Max Severity", _sigma("max_severity")),
         _line("P99+ Extreme Anomalies", F.concat(marker, F.lit(" ("), _text("extreme_anomaly_count"), F.lit(")"))),
-        _line("Weighted Severity", fixed_text("weighted_severity", 1)),
-        _line("Severity Impact", fixed_text("severity_impact", 1)),
-        _line("Avg SMS", fixed_text("sms_total_mean", 1)),
-        _line("Avg Calls", fixed_text("calls_total_mean", 1)),
-        _line("Avg Internet", fixed_text("internet_traffic_mean", 1)),
+        *_means(),
     )
 
 
@@ -75,11 +83,7 @@ def extreme_label(key: str = KEY) -> Column:
         _line("Total Anomalies", _text("anomaly_count")),
         _line("Max Severity", _sigma("max_severity")),
         _line("Avg Severity", _sigma("avg_severity")),
-        _line("Weighted Severity", fixed_text("weighted_severity", 1)),
-        _line("Severity Impact", fixed_text("severity_impact", 1)),
-        _line("Avg SMS", fixed_text("sms_total_mean", 1)),
-        _line("Avg Calls", fixed_text("calls_total_mean", 1)),
-        _line("Avg Internet", fixed_text("internet_traffic_mean", 1)),
+        *_means(),
     )
 
 

@@ -19,7 +19,7 @@ from gridpulse.operators import subspace as sub
 from gridpulse.operators.quantiles import exact_percentiles
 from gridpulse.plans import panels as p
 from gridpulse.schemas import ANOMALIES, FEATURES, KEY, TIME, WEEK
-from gridpulse.sources import as_timestamp, finish_ingest, parse_fields, parse_grid, parse_lines, read_anomalies, require_grid, unwrap_key
+from gridpulse.sources import as_timestamp, finish_ingest, parse_fields, parse_grid, parse_lines, read_anomalies, read_grid, require_grid, unwrap_key
 from gridpulse.sources import ingest_losses as ingest_loss_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,7 +122,16 @@ def anomalies_from_csv(spark, sf):
 @query
 def grid_parse(spark, sf):
     """The grid out of GeoJSON text, ids as numbers and as text, with the ring's corners."""
-    grid = require_grid(parse_grid(p.grid_lines(spark, sf)))
+    return _rings(require_grid(parse_grid(p.grid_lines(spark, sf))))
+
+
+@query
+def grid_files(spark, sf):
+    """The same grid out of GeoJSON files, each read in byte ranges."""
+    return _rings(read_grid(spark, p.grid_files(spark, sf)))
+
+
+def _rings(grid: DataFrame) -> DataFrame:
     ring = F.col("geometry.coordinates")[0]
     return comparable(grid.select(
         KEY, F.col("geometry.type").alias("geometry_type"), F.size(ring).cast("bigint").alias("corners"),

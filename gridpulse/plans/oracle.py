@@ -286,6 +286,7 @@ GRID = """SELECT c_custkey AS cell_id, 9.0::DOUBLE + (c_custkey % 100) * 0.01::D
     45.0::DOUBLE + floor(c_custkey / 100) * 0.01::DOUBLE AS south FROM customer"""
 LON = "(west + (west + 0.01::DOUBLE) + (west + 0.01::DOUBLE) + west + west) / 5"
 LAT = "(south + south + (south + 0.01::DOUBLE) + (south + 0.01::DOUBLE) + south) / 5"
+# Class names and colours; those of classes, labels and report lines in the texts below are fixed too.
 COUNT_COLOURS = {
     "No Anomalies": "#2E8B57", "Low Activity": "#90EE90", "Moderate Activity": "#FFD700", "High Activity": "#FF8C00",
     "Very High Activity": "#FF4500", "Extreme Activity": "#8B0000",
@@ -640,5 +641,5 @@ ORACLE: dict[str, str] = {
         SELECT point, {r('lo + point * step', 'x')}, {r('sum(m * exp(-0.5::DOUBLE * ((lo + point * step - mid) / bw) ** 2)) / (n * bw * sqrt(2 * pi()))', 'density')}
         FROM binned CROSS JOIN k CROSS JOIN (SELECT unnest(range(200)) AS point) GROUP BY point, lo, step, n, bw""",
 }
-for _same, _as in (("osp_anomalies_salted", "osp_anomalies_k2"), ("osp_anomalies_weekly", "osp_anomalies_k2"), ("dup_keys_clustered", "dup_keys"), ("osp_model_merged", "osp_model"), ("osp_scores_bucketed", "osp_scores"), ("ingest_fields", "ingest_parse"), ("osp_score_stored_model", "osp_scores")):
+for _same, _as in (("osp_anomalies_salted", "osp_anomalies_k2"), ("osp_anomalies_weekly", "osp_anomalies_k2"), ("dup_keys_clustered", "dup_keys"), ("grid_files", "grid_parse"), ("osp_model_merged", "osp_model"), ("osp_scores_bucketed", "osp_scores"), ("ingest_fields", "ingest_parse"), ("osp_score_stored_model", "osp_scores")):
     ORACLE[_same] = ORACLE[_as]

@@ -232,6 +232,25 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select(text.alias("line"))
 
 
+FILE_FEATURES = 10_000
+_GRID_FILES: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def grid_files(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the grid as GeoJSON files, one collection of up to some ten thousand features in each."""
+    at, state = (spark.sparkContext.applicationId, sf_dir), input_state(spark, sf_dir)
+    if at not in _GRID_FILES or _GRID_FILES[at][0] != state:
+        path, cells = stage_path(spark, "grid"), grid(spark, sf_dir)
+        files = 1 + cells.count() // FILE_FEATURES
+        feature = F.to_json(F.struct(
+            F.lit("Feature").alias("type"), F.struct(F.col(KEY).alias("cellId"), F.lit('a "}" in a name').alias("name")).alias("properties"), "geometry"))
+        collections = cells.groupBy(F.pmod(F.xxhash64(KEY), F.lit(files)).alias("file")).agg(F.concat(
+            F.lit('{"type": "FeatureCollection", "features": [\n'), F.array_join(F.collect_list(feature), ",\n"), F.lit("]}")).alias("value"))
+        collections.write.partitionBy("file").text(path)
+        _GRID_FILES[at] = (state, path)
+    return _GRID_FILES[at][1]
+
+
 def imperfect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as anomaly records: a value each, some of them NaN or infinite, of either sign."""
     nth, value = F.col("event_id") % 13, F.col("value")
