@@ -7,7 +7,7 @@ import random
 import pytest
 
 from gridpulse.schemas import RAW
-from gridpulse.sources.raw import _OPTIONS, ingest, read_raw
+from gridpulse.sources.raw import _OPTIONS, parse_fields
 
 FIELDS = ["1", "12", "-3", "+4", "", "1.5", "-.5", "5.", ".", "1e3", "1E-2", "1e", "e5", "--1", "1-", "9223372036854775808", "2147483648", "007",
           "NULL", "null", "NaN", "nan", "Inf", "-Inf", "Infinity", "inf", " 1", "1 ", "1.5d", "1.5f", "0x10", '"7"', '"7', '7"', '""', "a", "é", "1,5", "1_0",
@@ -24,7 +24,7 @@ def by_library(spark, path):
 
 def check(spark, tmp_path, lines, end="\n", last=True):
     (tmp_path / "a.txt").write_bytes(end.join(lines).encode() + (end.encode() if last else b""))
-    assert shown(read_raw(spark, str(tmp_path))) == shown(by_library(spark, tmp_path))
+    assert shown(parse_fields(spark.read.text(f"{tmp_path}/*.txt"), "value")) == shown(by_library(spark, tmp_path))
 
 
 @pytest.mark.parametrize("at", range(len(RAW.fields)))
@@ -54,5 +54,5 @@ def test_random_lines(spark, tmp_path):
 
 def test_plain_lines_stay_in_generated_code(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1\t1383260400000\t39\t0.1\t0.2\t0.3\t0.4\t0.5\n")
-    plan = ingest(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = parse_fields(spark.read.text(str(tmp_path)), "value")._jdf.queryExecution().executedPlan().toString()
     assert "Scan text" in plan and "Python" not in plan and "Exchange" not in plan
