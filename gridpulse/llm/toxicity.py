@@ -7,13 +7,13 @@ models is averaged over the text and over its strongest stretches of 1, 4 and 12
 length-normalised likelihood ratios), and a logistic curve over the four averages gives the score.
 
 The word model is used without its context order on purpose: in a ratio of classes, a context that one
-class happens to have once outweighs any word. On labelled rows of the test tables the bigram order
-lowered held-out AUC from 0.9999 to 0.94.
+class happens to have once outweighs any word. Held-out AUC on a table of 10,000 documents: 0.948 with words, 0.766 with
+interpolated bigrams, 0.876 with bigrams that occur in two documents or more; with the mean ratio alone 0.708 and 0.632.
 
-Classifier parameters are fitted on bounded samples of labelled rows, chosen by hash of doc_id: ``per_class`` rows of
-each class for the counts and ``calibration`` other rows for the curve. The shared backoff counts
-cover every row of the corpus and are kept in 2**SLOT_BITS hashed slots, so the model's size is
-fixed; a word's share of a slot stays the same as the corpus grows.
+Classifier parameters are fitted on bounded samples of labelled ids, one text each, chosen by hash of doc_id: ``per_class``
+ids of each class for the counts and ``calibration`` other ids for the curve. The shared backoff counts are exact: documents
+per distinct word of the whole corpus, a table that Spark sums and that grows with the corpus. Scoring needs those of the sampled
+words only: a word that neither sample has gets the same backoff from both classes, so its ratio is that of the backoff weights.
 
 Defined cases: null and wordless texts score the share of toxic rows in the samples (0 without any), as
 does every text when there is no toxic or no ordinary sample row to learn from; conflicting labels of
@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import ready
-from gridpulse.llm.text import LETTERS_AND_DIGITS, as_bytes, blocks, join_hashes, words
+from gridpulse.llm.common import cut, ready
+from gridpulse.llm.text import LETTERS_AND_DIGITS, Words, as_bytes, blocks, join_hashes, words
 
-PER_CLASS, CALIBRATION, SLOT_BITS, REJECT_FROM = 3000, 4000, 20, 0.7
+PER_CLASS, CALIBRATION, REJECT_FROM = 3000, 4000, 0.7
 STRETCHES = (1, 4, 12)
 _U = np.uint64
-_PARTS = 64
+# Distinct words that a task holds before it passes their counts on.
+_HELD = 1 << 20
 
 
 class ClassModel(NamedTuple):
@@ -49,12 +50,14 @@ class ClassModel(NamedTuple):
 
 
 class Model(NamedTuple):
-    toxic: ClassModel | None
-    ordinary: ClassModel | None
-    shared: np.ndarray
+    """The log-ratio of each sampled word, by sorted hash, and of every other word; the curve over the features."""
+
+    key: np.ndarray
+    ratio: np.ndarray
+    rest: float
     centre: np.ndarray
     spread: np.ndarray
-    curve: np.ndarray
+    curve: np.ndarray | None
     toxic_share: float
 
 
@@ -83,17 +86,26 @@ def class_model(hashes: list[np.ndarray]) -> ClassModel:
     return ClassModel(key, np.maximum(count - discount, 0) / total, float(discount.sum() / total))
 
 
-def log_ratios(hashes: np.ndarray, model: Model) -> np.ndarray:
-    """Toxic against ordinary log-likelihood of each word."""
-    base = model.shared[(hashes >> _U(64 - SLOT_BITS)).astype(np.int64)]
+def word_ratios(toxic: ClassModel, ordinary: ClassModel, key: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, float]:
+    """Toxic against ordinary log-likelihood of each word of ``key``, which has every word of both classes, and of any other word."""
+
+    def weight(of: ClassModel) -> float:
+        return max(of.backoff, 1e-3)
 
     def likelihood(of: ClassModel) -> np.ndarray:
-        if not len(of.key):
-            return base
-        at = np.minimum(np.searchsorted(of.key, hashes), len(of.key) - 1)
-        return np.where(of.key[at] == hashes, of.share[at], 0) + max(of.backoff, 1e-3) * base
+        share = np.zeros(len(key))
+        share[np.searchsorted(key, of.key)] = of.share
+        return share + weight(of) * shared
 
-    return np.log(likelihood(model.toxic)) - np.log(likelihood(model.ordinary))
+    return np.log(likelihood(toxic)) - np.log(likelihood(ordinary)), float(np.log(weight(toxic)) - np.log(weight(ordinary)))
+
+
+def log_ratios(hashes: np.ndarray, model: Model) -> np.ndarray:
+    """Toxic against ordinary log-likelihood of each word."""
+    if not len(model.key):
+        return np.full(len(hashes), model.rest)
+    at = np.minimum(np.searchsorted(model.key, hashes), len(model.key) - 1)
+    return np.where(model.key[at] == hashes, model.ratio[at], model.rest)
 
 
 def features(ratios: np.ndarray) -> list[float]:
@@ -132,37 +144,72 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         used[:-1] &= weights[:-1] >= 0
 
 
-def shared_counts(documents: DataFrame) -> np.ndarray:
-    """In how many documents of the corpus the words of each slot occur, over all rows.
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    key, count = np.concatenate([np.empty(0, _U), *keys]), np.concatenate([np.empty(0, np.int64), *counts])
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    return key[head], np.add.reduceat(count, head) if len(head) else count
 
-    A task sums its own documents; the slot ranges of all tasks meet in one row per range.
+
+def document_counts(block: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a block of documents and in how many of them each occurs."""
+    owner = np.repeat(np.arange(len(block.offset) - 1), np.diff(block.offset))
+    order = np.argsort(block.hash, kind="stable")
+    key, owner = block.hash[order], owner[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[:len(key)]
+    return np.unique(key[new], return_counts=True)
+
+
+def shared_counts(documents: DataFrame) -> DataFrame:
+    """(word, n): in how many rows of the corpus each word occurs, for every word of every text.
+
+    A task adds up its own rows and passes partial counts on whenever it holds many distinct words.
     """
-    slots = 1 << SLOT_BITS
-    width = slots // _PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.uint32)
+        keys, counts, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0], pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for _, texts in blocks(as_bytes(batch.column(0))):
-                block = words(texts, LETTERS_AND_DIGITS)
-                owner = np.repeat(np.arange(len(texts)), np.diff(block.offset))
-                met = np.unique(owner * slots + (block.hash >> _U(64 - SLOT_BITS)).astype(np.int64)) % slots
-                total += np.bincount(met, minlength=slots).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(range(_PARTS), pa.int32()),
-            pa.array([total[p * width:(p + 1) * width].tobytes() for p in range(_PARTS)], pa.binary()),
-        ], names=["part", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in table.column("counts").to_pylist())
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-    out = np.zeros(slots, np.int64)
-    for part, counts in rows.collect():
-        out[part * width:(part + 1) * width] = np.frombuffer(bytes(counts), np.int64)
-    return out
+                key, n = document_counts(words(texts, LETTERS_AND_DIGITS))
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > _HELD:
+                    keys, counts = ([x] for x in merged(keys, counts))
+                    held = len(keys[0])
+                    if held > _HELD // 2:
+                        yield out()
+                        keys, counts, held = [], [], 0
+        keys, counts = ([x] for x in merged(keys, counts))
+        yield out()
+
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(
+        F.sum("n").alias("n"))
+
+
+def shared_shares(documents: DataFrame, key: np.ndarray) -> np.ndarray:
+    """The backoff share of each word of ``key`` (sorted): documents with it, plus one, of all words' documents."""
+    counts = cut(shared_counts(documents))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    wanted = documents.sparkSession.sparkContext.broadcast(key)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(_U)
+            at = np.minimum(np.searchsorted(wanted.value, word), len(wanted.value) - 1)
+            yield batch.filter(pa.array(wanted.value[at] == word))
+
+    # No more rows than the samples have words.
+    table = counts.mapInArrow(known, "word long, n long").toArrow()
+    n = np.zeros(len(key))
+    n[np.searchsorted(key, table.column("word").to_numpy().view(_U))] = table.column("n").to_numpy()
+    return (n + 1) / (total + distinct + 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> Model:
@@ -183,20 +230,22 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
             found = [words([t], LETTERS_AND_DIGITS).hash.tobytes() for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["toxic", "calibrates", "words"])
 
-    # At most 2 * per_class + calibration ids: a bounded broadcast.
+    # At most 2 * per_class + calibration ids, a bounded broadcast, and one text of each, however many rows an id has.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "calibrates", "text").mapInArrow(
+    sampled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
+    rows = sampled.select("toxic", "calibrates", "text").mapInArrow(
         hash_words, "toxic int, calibrates boolean, words binary").collect()
     hashed = [(r.toxic, r.calibrates, np.frombuffer(bytes(r.words), _U)) for r in rows]
     toxic, ordinary = ([h for t, c, h in hashed if t == k and not c] for k in (1, 0))
-    counts = shared_counts(documents)
-    shared = (counts + 1) / (counts.sum() + len(counts))
     share = sum(t for t, _, _ in hashed) / len(hashed) if hashed else 0.0
     width = 1 + len(STRETCHES)
-    flat = Model(None, None, shared, np.zeros(width), np.ones(width), np.zeros(width + 1), share)
+    flat = Model(np.empty(0, _U), np.empty(0), 0.0, np.zeros(width), np.ones(width), None, share)
     if not toxic or not ordinary:
         return flat
-    model = flat._replace(toxic=class_model(toxic), ordinary=class_model(ordinary))
+    classes = class_model(toxic), class_model(ordinary)
+    key = np.union1d(classes[0].key, classes[1].key)
+    ratio, rest = word_ratios(*classes, key, shared_shares(documents, key)) if len(key) else (np.empty(0), 0.0)
+    model = flat._replace(key=key, ratio=ratio, rest=rest)
     judged = [(t, h) for t, c, h in hashed if c]
     if len({t for t, _ in judged}) < 2:  # tiny inputs: calibrate on what there is
         judged = [(t, h) for t, _, h in hashed]
@@ -207,7 +256,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
     """The score of each text."""
-    if model.toxic is None:
+    if model.curve is None:
         return np.full(len(texts), model.toxic_share)
     out, sizes = [], []
     for _, part in blocks(texts):

@@ -40,6 +40,49 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0 and toxicity.keep_ordinary(docs, labels.limit(0)).count() == 204
 
 
+def test_backoff_counts_are_exact_for_every_word(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(0, 60)) % 5000) for _ in range(400)] + [None, "", "One one ONE"]
+    expected = {}
+    for t in texts:
+        for w in set((t or "").lower().split()):
+            expected[w] = expected.get(w, 0) + 1
+    names = sorted(expected)
+    hashes = toxicity.words([w.encode() for w in names], toxicity.LETTERS_AND_DIGITS).hash.view(np.int64).tolist()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for held in (1 << 20, 50):  # whole counts, and partial ones passed on early
+        monkeypatch.setattr(toxicity, "_HELD", held)
+        got = {r.word: r.n for r in toxicity.shared_counts(docs).collect()}
+        assert got == {h: expected[w] for h, w in zip(hashes, names, strict=True)}
+    key = np.sort(np.array([*hashes[::3], 12345], np.int64).view(np.uint64))
+    shares = toxicity.shared_shares(docs, key)
+    total = sum(expected.values()) + len(expected) + 1
+    by_hash = {h % (1 << 64): expected[w] for h, w in zip(hashes, names, strict=True)}
+    assert np.allclose(shares, [(by_hash.get(k, 0) + 1) / total for k in key.tolist()])
+
+
+def test_toxicity_samples_one_text_of_an_id(spark):
+    rows = [(i, "you are an awful moron indeed" if i % 4 == 0 else "the weather is fine today") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    often = spark.createDataFrame(rows + [r for r in rows if r[0] in hot] * 150, "doc_id long, text string")
+    a, b = toxicity.fit(once, labels), toxicity.fit(often, labels)
+    assert a.toxic_share == b.toxic_share and (a.key == b.key).all()  # counts of copies of an id do not enter the classes
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(often, labels).collect()}
+    assert all((s >= 0.7) == (i % 4 == 0) for i, s in scores.items())
+
+
+def test_toxicity_of_very_long_texts_and_ties(spark):
+    rows = [(i, "you are an awful moron indeed" if i % 4 == 0 else "the weather is fine today and the road is long") for i in range(200)]
+    long = "the weather is fine today and the road is long " * 40_000
+    rows += [(900, long), (901, long + "you are an awful moron indeed"), (902, long), (903, "x" * 2_000_000)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[900] == got[902] < 0.7 and got[901] > got[900] and 0 <= got[903] <= 1
+    assert len({got[i] for i in range(0, 200, 4)}) == 1
+
+
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
