@@ -211,6 +211,77 @@ def test_the_lexer_is_linear(part):
     assert time.process_time() - began < 20
 
 
+KEY = "aB3xQ7zLm9Rt5KwV2nY8cD4fG6hJ1pS0uE"
+
+
+@pytest.mark.parametrize("text", [
+    'private_key = f"KEY"', 'private_key = b"KEY"', "private_key = rb'KEY'", 'private_key = """KEY"""', "private_key = \'\'\'\nKEY\n\'\'\'\nx = 1", "private_key = `KEY`;",
+    "a:\n  private_key: |\n    KEY\n  other: no", "private_key: >-\n  KEY\n", 'private_key = ("KEY")', 'private_key = bytes("KEY", "utf-8")', 'private_key = new SecretStr("KEY")',
+    'private_key = os.environ.get("PK", "KEY")', 'private_key = getenv(NAME, "KEY")', 'user, private_key = "bob", "KEY"', "const [private_key, id] = [\'KEY\', 7];",
+    '#define PRIVATE_KEY "KEY"', "#define PRIVATE_KEY KEY\n", "define(\'PRIVATE_KEY\', \'KEY\');", 'conf.set("private_key", "KEY")', '<add key="private_key" value="KEY"/>',
+    'private_key = DEFAULT\nDEFAULT = "KEY"', 'private_key = A\nA = B\nB = "KEY"', 'A = B\nprivate_key = A\nB = "KEY"', "private_key: bytes = b'KEY'", "private_key=KEY"])
+def test_literal_syntax(text):
+    text = text.replace("KEY", "@").replace("PRIVATE_@", "PRIVATE_KEY").replace("@", KEY)
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == [KEY]
+    assert KEY not in secrets.masked(text, secrets.all_spans(text))
+
+
+@pytest.mark.parametrize("text", [
+    "private_key = ('A'\n   'B')", "private_key = 'A' + 'B'", "private_key = 'A' \\\n 'B'", "private_key = 'A'\n  + 'B'", "private_key = bytes('A' 'B')", "private_key: 'A' 'B'"])
+def test_joined_strings_are_reported_piece_by_piece(text):
+    text = text.replace("B", KEY[17:]).replace("A", KEY[:17])
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == [KEY[:17], KEY[17:]]
+
+
+def test_multi_line_keys_are_whole():
+    body = "\n".join(KEY for _ in range(3))
+    armoured = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    text = f'private_key = """\n{armoured}\n"""\n'
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == [armoured]
+    text = "private_key: |\n" + "".join(f"    {line}\n" for line in armoured.split("\n")) + "next: 1"
+    (span,) = secrets.lexed_spans(text)
+    assert text[span[0]:span[1]].startswith("-----BEGIN") and text[span[0]:span[1]].endswith("KEY-----")
+    assert secrets.lexed_spans('credential_help = """\nSome words that\ntell a story here.\n"""') == []
+
+
+@pytest.mark.parametrize("text", [
+    "private_key = os.environ.PRIVATE_KEY_PROD", "credentials = load_credentials_from_disk(path)", 'credentials = os.environ.get("CREDENTIALS_V2_PROD")', "private_key = settings.keys_2024[3]",
+    'private_key = load_key("conf/Keys2024/prod-1.pem")', 'private_key = environ["PRIVATE_KEY_Prod1"]', 'private_key = f"{KEYS_2024.prod}"', "private_key, n = make_key_V2(), 7", "a = b\nb = a\nprivate_key = a",
+    'name, title = "private_key", "Xy7-99aaQQbb"', "private_key: |\nnext: 1", "private_key = "])
+def test_expressions_are_no_literals(text):
+    assert secrets.lexed_spans(text) == [] and secrets.masked(text, secrets.all_spans(text)) == text
+
+
+def test_generated_statements_are_read_as_they_were_written():
+    rng = random.Random(77)
+    quotes = [("\"", "\""), ("'", "'"), ("`", "`"), ("f\"", "\""), ('"""', '"""'), ("'''\n", "\n'''"), ("bytes(\"", "\")"), ("(\n'", "'\n)"), ("env.get('k', '", "')")]
+    signs = [" = ", "=", ": ", " := ", ": str = ", "[7] = "]
+    for _ in range(3000):
+        expected, lines = [], []
+        for k in range(rng.randint(1, 8)):
+            literal = "".join(rng.choices("abcdefXYZQRS0123456789+/-", k=rng.randint(24, 60))) + "aZ9x"
+            (left, right), sensitive = rng.choice(quotes), rng.random() < 0.5
+            name = rng.choice(["private_key", "dbPwd", "client_credentials", "bearer"] if sensitive else ["title", "colour", "row_count", "path"])
+            if rng.random() < 0.2:
+                lines += [f"C{k} = {left}{literal}{right}", f"{name} = C{k}"]
+                if rng.random() < 0.5:
+                    lines[-2:] = reversed(lines[-2:])
+            else:
+                lines.append(f"{name}{rng.choice(signs)}{left}{literal}{right}")
+            expected += [literal] * sensitive
+        text = "\n".join(lines)
+        assert sorted(text[a:b] for a, b, _ in secrets.lexed_spans(text)) == sorted(expected), text
+
+
+@pytest.mark.parametrize("part", ['a=("x=" ', "a='''", 'a="""\'\'\'', "a: |\n ", "a=(", "a=b(", "a=b('c', ", "a,b='c',", "set('a', ", "#define a ", "a=`", "a='b'+", "a=b\n", "key='a' value=", "a, ", "a=b.c."])
+def test_longer_literals_are_read_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    secrets.lexed_spans(part * (400_000 // len(part)) + "=")
+    assert time.process_time() - began < 20
+
+
 def test_masking_covers_every_span(spark):
     docs = documents(spark, SECRET_TEXTS)
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
