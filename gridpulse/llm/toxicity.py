@@ -11,7 +11,7 @@ class happens to have once outweighs any word. Held-out AUC on a table of 10,000
 interpolated bigrams, 0.876 with bigrams that occur in two documents or more; with the mean ratio alone 0.708 and 0.632.
 
 Classifier parameters are fitted on bounded samples of labelled ids, one text each, chosen by hash of doc_id: ``per_class``
-ids of each class for the counts and ``calibration`` other ids for the curve. The shared backoff counts are exact: documents
+ids of each class for the counts and ``calibration`` other ids for the curve; one executor task learns from them. The shared backoff counts are exact: documents
 per distinct word of the whole corpus, a table that Spark sums and that grows with the corpus. Scoring needs those of the sampled
 words only: a word that neither sample has gets the same backoff from both classes, so its ratio is that of the backoff weights.
 
@@ -23,11 +23,13 @@ extra columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ STRETCHES = (1, 4, 12)
 _U = np.uint64
 # Distinct words that a task holds before it passes their counts on.
 _HELD = 1 << 20
+# A batch of sampled texts, or of counted words, as one row.
+_PACKED_NAMES = ["toxic", "calibrates", "sizes", "words", "n"]
+_PACKED = ", ".join(f"{c} binary" for c in _PACKED_NAMES)
 
 
 class ClassModel(NamedTuple):
@@ -162,8 +167,8 @@ def document_counts(block: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key[new], return_counts=True)
 
 
-def shared_counts(documents: DataFrame) -> DataFrame:
-    """(word, n): in how many rows of the corpus each word occurs, for every word of every text.
+def document_words(documents: DataFrame) -> DataFrame:
+    """(word, n): partial counts of the rows of the corpus in which each word occurs, for every word of every text.
 
     A task adds up its own rows and passes partial counts on whenever it holds many distinct words.
     """
@@ -189,8 +194,12 @@ def shared_counts(documents: DataFrame) -> DataFrame:
         keys, counts = ([x] for x in merged(keys, counts))
         yield out()
 
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n"))
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long")
+
+
+def shared_counts(documents: DataFrame) -> DataFrame:
+    """(word, n): in how many rows of the corpus each word occurs."""
+    return document_words(documents).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def shared_shares(documents: DataFrame, key: np.ndarray) -> np.ndarray:
@@ -212,6 +221,39 @@ def shared_shares(documents: DataFrame, key: np.ndarray) -> np.ndarray:
     return (n + 1) / (total + distinct + 1)
 
 
+def pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, calibrates, text) as one row a batch: both marks, the number of words and the word hashes of every text."""
+    for batch in batches:
+        found = [words([t], LETTERS_AND_DIGITS).hash for t in as_bytes(batch.column(2))]
+        toxic, calibrates = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+        packed = [toxic, calibrates, np.array([len(h) for h in found], np.int64), np.concatenate([np.empty(0, _U), *found])]
+        yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in packed], pa.nulls(1, pa.binary())], names=_PACKED_NAMES)
+
+
+def unpack_documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(toxic, calibrates, word hashes) of each text of packed rows."""
+    for row in batch.to_pylist():
+        toxic, calibrates, sizes = (np.frombuffer(row[c], np.int64) for c in _PACKED_NAMES[:3])
+        ends = np.cumsum(sizes)
+        for t, c, low, high in zip(toxic.tolist(), calibrates.tolist(), ends - sizes, ends, strict=True):
+            yield t, c, np.frombuffer(row["words"], _U)[low:high]
+
+
+def class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) with n = 0: the words of the texts that teach a class."""
+    for batch in batches:
+        key = np.unique(np.concatenate([np.empty(0, _U), *[h for _, c, h in unpack_documents(batch) if not c]]))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int64))], names=["word", "n"])
+
+
+def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n) as one row a batch, beside the packed texts."""
+    for batch in batches:
+        if batch.num_rows:
+            blobs = [pa.array([batch.column(i).to_numpy().astype(np.int64).tobytes()], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.binary())] * 3, *blobs], names=_PACKED_NAMES)
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> Model:
     """Both class models, the shared backoff and the curve; held-out rows teach only the shared counts."""
     ready(documents.sparkSession)
@@ -225,17 +267,34 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
     chosen = sample("not calibrates and toxic = 1", per_class).unionByName(
         sample("not calibrates and toxic = 0", per_class)).unionByName(sample("calibrates", calibration))
 
-    def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [words([t], LETTERS_AND_DIGITS).hash.tobytes() for t in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["toxic", "calibrates", "words"])
-
     # At most 2 * per_class + calibration ids, a bounded broadcast, and one text of each, however many rows an id has.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sampled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
-    rows = sampled.select("toxic", "calibrates", "text").mapInArrow(
-        hash_words, "toxic int, calibrates boolean, words binary").collect()
-    hashed = [(r.toxic, r.calibrates, np.frombuffer(bytes(r.words), _U)) for r in rows]
+    packed = cut(sampled.select("toxic", "calibrates", "text").mapInArrow(pack_documents, _PACKED))
+    # The samples' words are marked while all words are counted; a sampled text is one of the documents, so this adds no word.
+    every = document_words(documents).withColumn("sampled", F.lit(False)).unionByName(
+        packed.mapInArrow(class_words, "word long, n long").withColumn("sampled", F.lit(True)))
+    counts = cut(every.groupBy("word").agg(F.sum("n").alias("n"), F.max("sampled").alias("sampled")))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shares = counts.where("sampled").select("word", "n").mapInArrow(pack_counts, _PACKED)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, n = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            is_count = batch.column(4).is_valid()
+            for row in batch.filter(is_count).to_pylist():
+                key.append(np.frombuffer(row["words"], np.int64))
+                n.append(np.frombuffer(row["n"], np.int64))
+            held += unpack_documents(batch.filter(pc.invert(is_count)))
+        model = learned(held, np.concatenate(key).view(_U), np.concatenate(n), total + distinct + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(model))], pa.binary())], names=["model"])
+
+    # The samples are bounded, so one task learns from them; the driver gets the model alone.
+    return Model(*pickle.loads(packed.unionByName(shares).repartition(1).mapInArrow(learn, "model binary").first().model))
+
+
+def learned(hashed: list[tuple[int, int, np.ndarray]], word: np.ndarray, n: np.ndarray, all_words: int) -> Model:
+    """The model out of sampled texts (toxic, calibrates, word hashes) and the documents that have each of their words."""
     toxic, ordinary = ([h for t, c, h in hashed if t == k and not c] for k in (1, 0))
     share = sum(t for t, _, _ in hashed) / len(hashed) if hashed else 0.0
     width = 1 + len(STRETCHES)
@@ -243,8 +302,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cal
     if not toxic or not ordinary:
         return flat
     classes = class_model(toxic), class_model(ordinary)
-    key = np.union1d(classes[0].key, classes[1].key)
-    ratio, rest = word_ratios(*classes, key, shared_shares(documents, key)) if len(key) else (np.empty(0), 0.0)
+    key, documents = merged([word], [n])
+    # The backoff share of a word: documents with it, plus one, of all words' documents.
+    ratio, rest = word_ratios(*classes, key, (documents + 1) / all_words) if len(key) else (np.empty(0), 0.0)
     model = flat._replace(key=key, ratio=ratio, rest=rest)
     judged = [(t, h) for t, c, h in hashed if c]
     if len({t for t, _ in judged}) < 2:  # tiny inputs: calibrate on what there is

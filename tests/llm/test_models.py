@@ -174,3 +174,17 @@ def test_more_languages_than_are_learned(spark):
     assert len(langid.fit(df, per_lang=50, steps=1).langs) == 200  # beside the commonest, stray tags up to the bound
 
 
+
+
+def test_the_driver_gets_the_model_and_no_samples(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "you vile fool go away" if i % 4 == 0 else f"a calm day by the sea {i}") for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    counted = []
+    for name, size in (("collect", len), ("toArrow", lambda t: t.num_rows)):
+        def watched(self, got=getattr(type(docs), name), size=size):
+            found = got(self)
+            counted.append(size(found))
+            return found
+        monkeypatch.setattr(type(docs), name, watched)
+    model = toxicity.fit(docs, labels)
+    assert len(model.key) > 10 and model.curve is not None and counted and max(counted) <= 1
